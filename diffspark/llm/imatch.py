@@ -33,7 +33,8 @@ def lexicon(docs: DataFrame, *, doc_id: str, text: str, band=BAND, rates=RATES,
     for k, rate in enumerate(rates):
         digits = F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|{k // 8}"), "term")), 1 + 4 * (k % 8), 4)
         bits = bits + F.when(F.conv(digits, 16, 10).cast("int") < int(rate * 65536), 1 << k).otherwise(0)
-    return kept.select("term", bits.alias("subsets")).where("subsets <> 0")
+    # Tied to the counts, so that the optimiser doesn't hash every word of every document in a filter below the aggregation.
+    return kept.select("term", F.when(F.col("_df") >= 2, bits).alias("subsets")).where("subsets <> 0")
 
 
 def fingerprints(texts: DataFrame, words: DataFrame, *, n_subsets: int = len(RATES)) -> DataFrame:

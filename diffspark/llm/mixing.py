@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from diffspark.llm._common import WORD, checkpoint
 
 #: Documents for each bucket of a source's key order; a bucket is what one task sorts at a time.
-BUCKET = 20_000
+BUCKET = 2_000
 
 
 def hash_uniform(key: Column) -> Column:
@@ -35,22 +35,25 @@ def source_targets(sizes: DataFrame, *, cycle: int = 3, most: float = 3.0) -> Da
     return table.select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", quality: str | None = None, cycle: int = 3, most: float = 3.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: DataFrame | None = None, cycle: int = 3, most: float = 3.0, seed: int = 7) -> DataFrame:
     """Sample documents so that each source comes near its target share of words.
 
-    Size of a document: its words. A source whose target is q times its size and a part is taken q times whole (complete epochs), and the part is drawn by Efraimidis-Spirakis sampling: each document has the key -ln(u)/weight, u from a hash of its id and weight from the column ``quality`` (positive; null or absent: 1), and documents are taken in key order while the prefix sum of their sizes stays under the rest of the budget; the one that crosses it is taken if that comes nearer.
+    Size of a document: its words. A source whose target is q times its size and a part is taken q times whole (complete epochs), and the part is drawn by Efraimidis-Spirakis sampling: each document has the key -ln(u)/weight, u from a hash of its id and weight from ``weights(doc_id, weight)`` (positive, one row for each id; null or absent: 1), and documents are taken in key order while the prefix sum of their sizes stays under the rest of the budget; the one that crosses it is taken if that comes nearer.
 
-    The prefix sums don't gather a source in one task: a source's key range is cut into buckets of about 20,000 documents by a monotone function of the key, buckets are summed first, and a document's prefix is its bucket's plus a window within the bucket.
+    The prefix sums don't gather a source in one task: a source's key range is cut into buckets of about 2,000 documents by a monotone function of the key, buckets are summed first, and a document's prefix is its bucket's plus a window within the bucket.
 
     Returns the columns of ``docs`` and ``size``, ``source_size``, ``target`` (double), ``epochs`` (times that the document is taken, long), ``taken`` = epochs * size; input columns of these names are replaced. DataFrame functions only.
 
     Defined cases: a null text has size 0; a null source is a source of its own, last in order; equal keys go by id, then size; repeated rows are taken equally often, as one document whose size counts for each copy; documents of size 0 add no words and may be taken or not; all sizes 0, or an empty table: targets are 0 and nothing is taken.
     """
     named = ("size", "source_size", "target", "epochs", "taken")
-    weight = F.lit(1.0) if quality is None else F.coalesce(F.col(quality).cast("double"), F.lit(1.0))
     row = F.xxhash64(F.col(doc_id), F.col(source), F.col(text))
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(row.alias("_row"), F.col(doc_id).alias("id"), F.col(source).alias("source"), size.alias("size"), weight.alias("weight"))
+    sized = docs.select(row.alias("_row"), F.col(doc_id).alias("id"), F.col(source).alias("source"), size.alias("size"))
+    if weights is None:
+        sized = sized.withColumn("weight", F.lit(1.0))
+    else:
+        sized = sized.join(weights.select(F.col("doc_id").alias("id"), F.col("weight").cast("double")), "id", "left").na.fill({"weight": 1.0})
     sized = checkpoint(sized.groupBy("_row", "id", "source", "size", "weight").agg(F.count("*").alias("copies")))
     plan = mixing_plan(sized, cycle=cycle, most=most, seed=seed).select("_row", *named)
     return docs.select(row.alias("_row"), *(c for c in docs.columns if c not in named)).join(plan, "_row").drop("_row")

@@ -5,29 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffspark.llm._common import documents
+from diffspark.llm import langid, quality, toxicity
+from diffspark.llm._common import documents, remainder
 from diffspark.llm.imatch import imatch
 from diffspark.llm.line_dedup import line_dedup
 from diffspark.llm.mixing import mix
+from diffspark.llm.packing import pack
 from diffspark.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=2)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(documents(spark, sf_dir), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents and ``_weight``: 2 where labelled good, 0.5 where labelled bad, 1 where there is no label."""
-    labels = labels.groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5)).alias("_weight"))
-    return docs.join(labels, "doc_id", "left")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, labels(spark, sf_dir), among=remainder(F.col("doc_id"), 3) != 1)
+    return toxicity.toxicity(docs, model, threshold=0.7).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "offending")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.quality(docs, quality.fit(docs, labels(spark, sf_dir)))
+
+
+def quality_weights(labels: DataFrame) -> DataFrame:
+    """doc_id, weight: 2 where labelled good, 0.5 where labelled bad."""
+    return labels.groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5)).alias("weight"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mix(docs, quality="_weight").select("doc_id", "size", "source_size", "target", "taken")
+    out = mix(documents(spark, sf_dir), weights=quality_weights(labels(spark, sf_dir)))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    filters = langid.fit(docs, among=remainder(F.col("doc_id"), 3) != 1)
+    return langid.language(docs, filters).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +63,11 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
+    "op9_langid": op9_langid,
     "op10_imatch": op10_imatch,
 }
