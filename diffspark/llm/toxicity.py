@@ -21,43 +21,61 @@ def sentences(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_MAP).split(b"\n")
 
 
-class NoisyOr:
-    """p(sentence) = sigmoid(bias + sum of the weights of its known words); p(document) = 1 - product of (1 - p(sentence))."""
+def features(word: bytes) -> list[bytes]:
+    """A word and its beginnings of 4 to 8 bytes, each with a ``^`` in front, which no word has."""
+    return [word, *(b"^" + word[:k] for k in range(4, min(9, len(word))))]
+
+
+class Known(dict):
+    """Word -> indexes of its features in the vocabulary; a memo, emptied when full."""
 
-    def __init__(self, words: list[bytes], weights: np.ndarray, bias: float):
-        self.index = {w: i for i, w in enumerate(words)}
-        self.words, self.weights, self.bias = frozenset(words), weights, bias
+    def __init__(self, vocabulary: list[bytes], most: int = 1_000_000):
+        super().__init__()
+        self.vocabulary, self.most = {w: i for i, w in enumerate(vocabulary)}, most
 
-    def spans(self, text: str | None) -> tuple[list[tuple[int, int, float]], int]:
-        """(start, end, logit) in bytes of each sentence with known words, and how many sentences have words but no known one."""
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[word] = tuple(self.vocabulary[f] for f in features(word) if f in self.vocabulary)
+        return found
+
+    def text(self, text: str | None) -> tuple[list[tuple[int, int, list[int]]], int]:
+        """(start, end, features) in bytes of each sentence with known features, and how many sentences have words but no known feature."""
         at, out, others = 0, [], 0
         for s in sentences(text):
             if parts := s.split():
-                if found := self.words.intersection(parts):
-                    out.append((at, at + len(s), self.bias + sum(self.weights[self.index[w]] for w in found)))
+                if found := [k for w in parts for k in self[w]]:
+                    out.append((at, at + len(s), sorted(set(found))))
                 else:
                     others += 1
             at += len(s) + 1
         return out, others
 
-    def score(self, text: str | None) -> tuple[float, list[dict]]:
+
+class NoisyOr:
+    """p(sentence) = sigmoid(bias + sum of the weights of its features); p(document) = 1 - product of (1 - p(sentence))."""
+
+    def __init__(self, vocabulary: list[bytes], weights: np.ndarray, bias: float):
+        self.vocabulary, self.weights, self.bias = vocabulary, weights, bias
+
+    def score(self, text: str | None, known: Known) -> tuple[float, list[dict]]:
         """Of the document, and the sentences that are more likely offending than not."""
-        spans, others = self.spans(text)
-        z = np.array([s[2] for s in spans] + [self.bias])
-        log_clean = -np.logaddexp(0, z) @ np.array([1.0] * len(spans) + [others])
-        return float(-np.expm1(log_clean)), [{"start": a, "end": b, "score": float(1 / (1 + np.exp(-v)))} for a, b, v in spans if v > 0]
+        spans, others = known.text(text)
+        z = np.array([self.bias + self.weights[ids].sum() for _, _, ids in spans])
+        log_clean = -np.logaddexp(0, z).sum() - others * np.logaddexp(0, self.bias)
+        return float(-np.expm1(log_clean)), [{"start": a, "end": b, "score": float(1 / (1 + np.exp(-v)))} for (a, b, _), v in zip(spans, z, strict=True) if v > 0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", among: Column | None = None, per_class: int = 4000, vocabulary: int = 2000, least_z: float = 3.0, ridge: float = 0.1, steps: int = 400) -> NoisyOr:
-    """Learn from at most ``per_class`` documents of each label, with at most ``vocabulary`` words: those that documents labelled 1 have more often, by ``least_z`` standard errors at least.
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", among: Column | None = None, per_class: int = 4000, vocabulary: int = 2000, least_z: float = 3.0, ridge: float = 0.05, steps: int = 400) -> NoisyOr:
+    """Learn from at most ``per_class`` documents of each label, with at most ``vocabulary`` features (words and their beginnings): those that documents labelled 1 have more often, by ``least_z`` standard errors at least.
 
-    Word counts and sentences are made by Spark over whole texts; only the words' counts and, for each sentence, its known words reach the driver. Without labelled documents the model scores 0 everywhere but for its bias.
+    Word counts and sentences are made by Spark over whole texts; only the chosen features and, for each sentence, its own of them reach the driver. Without labelled documents the model scores 0 everywhere but for its bias.
     """
     sample = labelled(docs, labels, "toxic", doc_id=doc_id, text=text, per_class=per_class, among=among).persist()
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(w, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in {w for s in sentences(t) for w in s.split()}]
+            rows = [(w, y) for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in {f for s in sentences(t) for w in s.split() for f in features(w)}]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32())], ["word", "label"])
 
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -69,24 +87,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     share = (F.col("c0") + F.col("c1") + 1) / float(n0 + n1 + 2)
     z = (F.col("c1") / n1 - F.col("c0") / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
     words = [bytes(r["word"]) for r in counts.where("c0 + c1 >= 3").where(z > least_z).orderBy(z.desc(), "word").limit(vocabulary).collect()]
-    model = NoisyOr(words, np.zeros(len(words)), -6.0)
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(words)
         for b in batches:
-            ids, others = [], []
-            for t in b.column(0).to_pylist():
-                found, other = [], 0
-                for s in sentences(t):
-                    if parts := s.split():
-                        if hit := model.words.intersection(parts):
-                            found.append(sorted(model.index[w] for w in hit))
-                        else:
-                            other += 1
-                ids.append(found)
-                others.append(other)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.list_(pa.int32()))), pa.array(others, pa.int32()), b.column(1), b.column(2)], ["found", "others", "label", "id"])
-
-    rows = sample.select("text", "label", "id").mapInArrow(known, "found array<array<int>>, others int, label int, id " + dict(sample.dtypes)["id"]).orderBy("id").collect()
+            got = [known.text(t) for t in b.column(0).to_pylist()]
+            found = [[ids for _, _, ids in g[0]] for g in got]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.list_(pa.int32()))), pa.array([g[1] for g in got], pa.int32()), b.column(1), b.column(2)], ["found", "others", "label", "id"])
+
+    rows = sample.select("text", "label", "id").mapInArrow(sparse, "found array<array<int>>, others int, label int, id " + dict(sample.dtypes)["id"]).orderBy("id").collect()
     sample.unpersist()
     doc = np.array([i for i, r in enumerate(rows) for _ in r["found"]], int)
     pair_s = np.array([k for k, s in enumerate(s for r in rows for s in r["found"]) for _ in s], int)
@@ -116,8 +125,9 @@ def toxicity(docs: DataFrame, model: NoisyOr, *, doc_id: str = "doc_id", text: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(model.vocabulary)
         for b in batches:
-            scored = [model.score(x.as_py()) for x in b.column(1)]
+            scored = [model.score(x.as_py(), known) for x in b.column(1)]
             spans = pa.array([s[1] for s in scored], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s[0] for s in scored], pa.float64()), spans], ["doc_id", "score", "offending"])
 
