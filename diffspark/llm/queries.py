@@ -9,6 +9,7 @@ from diffspark.llm import langid, quality, toxicity
 from diffspark.llm._common import documents, remainder
 from diffspark.llm.imatch import imatch
 from diffspark.llm.line_dedup import line_dedup
+from diffspark.llm.minhash import near_duplicates
 from diffspark.llm.mixing import mix
 from diffspark.llm.packing import pack
 from diffspark.llm.sql import SQL
@@ -26,6 +27,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=2)
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), n=5, percent=75)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(documents(spark, sf_dir), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -64,6 +69,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_minhash": op2_minhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
