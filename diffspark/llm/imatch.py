@@ -38,19 +38,19 @@ def lexicon(docs: DataFrame, *, doc_id: str, text: str, band=BAND, rates=RATES,
 
 
 def fingerprints(texts: DataFrame, words: DataFrame, *, n_subsets: int = len(RATES)) -> DataFrame:
-    """Fingerprints of ``texts(key, text)`` over the lexicon ``words``: key, fingerprint.
+    """Fingerprints of ``texts(range, key, text)`` over the lexicon ``words``: range, key, fingerprint. Rows dealt out by range stay where they are.
 
     For each subset the document's terms that it keeps are sorted and hashed; the fingerprint joins the hashes with '-'. A subset without a term gives dots. A text without any kept term has no row here; see ``plain``.
     """
-    split = texts.select("key", F.explode(terms(F.col("text"))).alias("term"))
-    found = split.join(F.broadcast(words), "term").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "subsets"))).alias("_terms"))
+    split = texts.select("range", "key", F.explode(terms(F.col("text"))).alias("term"))
+    found = split.join(F.broadcast(words), "term").groupBy("range", "key").agg(F.array_sort(F.collect_list(F.struct("term", "subsets"))).alias("_terms"))
 
     def subset(k: Column) -> Column:
         own = F.filter("_terms", lambda t: F.getbit(t["subsets"], k) == 1)
         return F.when(F.size(own) == 0, NONE).otherwise(F.substring(F.md5(F.array_join(F.transform(own, lambda t: t["term"]), " ")), 1, 8))
 
     joined = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n_subsets - 1)), subset), "-")
-    return found.select("key", joined.alias("fingerprint"))
+    return found.select("range", "key", joined.alias("fingerprint"))
 
 
 def plain(text: Column) -> Column:
@@ -68,7 +68,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, *, doc_id: str, text: str, per_range: int = 2000) -> DataFrame:
-    """Each row and its successor in descending order of id, the last one's being the first: key, doc_id, text, next_key, next_text.
+    """Each row and its successor in descending order of id, the last one's being the first: range, key, id, text, next_key, next_text.
 
     The ids' span is cut into ranges of equal width, about ``per_range`` rows each for evenly spread ids; a row's successor is read by a window within its range, and a range's last row has the first row of the next range that isn't empty. Only ranges, not rows, are ordered as a whole.
     """
@@ -85,9 +85,9 @@ def with_next(docs: DataFrame, *, doc_id: str, text: str, per_range: int = 2000)
     after = W.orderBy("_range")
     links = names.select("_range", F.coalesce(F.lead("_range").over(after), F.first("_range").over(after)).alias("_to"))
     heads = links.join(heads.select(F.col("_range").alias("_to"), F.struct("key", "text").alias("_head")), "_to").select("_range", "_head")
-    out = rows.join(heads, "_range")
+    out = rows.join(heads, "_range").withColumnRenamed("_range", "range")
     follower = F.coalesce("_next", "_head")
-    return out.select("key", "id", "text", follower["key"].alias("next_key"), follower["text"].alias("next_text"))
+    return out.select("range", "key", "id", "text", follower["key"].alias("next_key"), follower["text"].alias("next_text"))
 
 
 def imatch(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", band=BAND, rates=RATES, seed: int = 7) -> DataFrame:
@@ -107,10 +107,10 @@ def imatch(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", band=
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - part), F.substring(F.col("next_text"), F.lit(1), part))
     pairs = with_next(docs, doc_id=doc_id, text=text).withColumn("edited", edited)
     versions = F.explode(F.array(F.struct((F.col("key") * 2).alias("key"), "text"), F.struct((F.col("key") * 2 + 1).alias("key"), F.col("edited").alias("text"))))
-    found = fingerprints(pairs.select(versions.alias("v")).select("v.key", "v.text"), words, n_subsets=len(rates))
-    both = found.groupBy(F.shiftright("key", 1).alias("key")).agg(*(F.max(F.when(F.col("key") % 2 == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("_own", "_edited"))))
-    rows = pairs.select("key", F.col("id").alias(doc_id), "next_key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), plain(F.col("text")).alias("_plain"), plain(F.col("edited")).alias("_plain_edited"))
-    rows = rows.join(both, "key", "left").withColumn("fingerprint", F.coalesce("_own", "_plain")).withColumn("edited_fingerprint", F.coalesce("_edited", "_plain_edited"))
+    found = fingerprints(pairs.select("range", versions.alias("v")).select("range", "v.key", "v.text"), words, n_subsets=len(rates))
+    both = found.groupBy("range", F.shiftright("key", 1).alias("key")).agg(*(F.max(F.when(F.col("key") % 2 == k, F.col("fingerprint"))).alias(c) for k, c in enumerate(("_own", "_edited"))))
+    rows = pairs.select("range", "key", F.col("id").alias(doc_id), "next_key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), plain(F.col("text")).alias("_plain"), plain(F.col("edited")).alias("_plain_edited"))
+    rows = rows.join(both, ["range", "key"], "left").withColumn("fingerprint", F.coalesce("_own", "_plain")).withColumn("edited_fingerprint", F.coalesce("_edited", "_plain_edited"))
     nexts = rows.select(F.col("key").alias("next_key"), F.col("fingerprint").alias("_next"))
     out = rows.join(nexts, "next_key")
     own = F.col("fingerprint")
