@@ -13,6 +13,7 @@ from diffspark.llm.minhash import near_duplicates
 from diffspark.llm.mixing import mix
 from diffspark.llm.packing import pack
 from diffspark.llm.sql import SQL
+from diffspark.llm.suffix_dedup import suffix_dedup
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -57,6 +58,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir), length=50)
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     filters = langid.fit(docs, among=remainder(F.col("doc_id"), 3) != 1)
@@ -74,6 +79,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_langid": op9_langid,
     "op10_imatch": op10_imatch,
 }
