@@ -14,6 +14,7 @@ from diffspark.llm.mixing import mix
 from diffspark.llm.packing import pack
 from diffspark.llm.sql import SQL
 from diffspark.llm.suffix_dedup import suffix_dedup
+from diffspark.llm.suffix_tree import suffix_tree_scores
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -58,6 +59,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_scores(documents(spark, sf_dir), held_out=10)
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir), length=50)
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
+    "op7_suffix_tree": op7_suffix_tree,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_langid": op9_langid,
     "op10_imatch": op10_imatch,
