@@ -10,6 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from diffspark.llm.samples import first_by_hash
 
@@ -121,16 +122,17 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     return filters
 
 
-def language(docs: DataFrame, filters: Filters, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Predict the language of every whole text: doc_id, lang_pred, score (0 to 1: the share of n-grams that the language's filter holds, false positives taken off).
+def language(docs: DataFrame, filters: Filters, *, text: str = "text") -> DataFrame:
+    """Predict the language of every whole text: the columns of ``docs`` with lang_pred, score (0 to 1: the share of n-grams that the language's filter holds, false positives taken off); input columns of these two names are replaced.
 
-    Defined cases: a null text and one without a letter are ``und`` with score 0; equal shares go to the first language by name; a text of letters too few for an n-gram, and any text of a model without languages, has score 0; repeated rows and null ids give a row each; an empty table gives an empty table; other columns are not read.
+    Defined cases: a null text and one without a letter are ``und`` with score 0; equal shares go to the first language by name; a text of letters too few for an n-gram has score 0, and any text is ``und`` for a model without languages; repeated rows and null ids give a row each; an empty table gives an empty table.
     """
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    rows = docs.select(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [filters.decide(x.as_py()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+            got = [filters.decide(x.as_py()) for x in b.column(text)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*names, "lang_pred", "score"])
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, lang_pred string, score double")
+    return rows.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -70,7 +70,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     filters = langid.fit(docs, among=remainder(F.col("doc_id"), 3) != 1)
-    return langid.language(docs, filters).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+    return langid.language(docs.select("doc_id", "text"), filters).select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
