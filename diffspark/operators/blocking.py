@@ -327,7 +327,7 @@ def min_vertex_cut(arcs: list[tuple[int, int]], seeds: list[int], target: int) -
             out[a][b] -= push
             out[b][a] += push
     side = found()
-    return sorted(a[0] for a in side if a[1] == 0 and a[0] != "s" and (a[0], 1) not in side)
+    return sorted(a[0] for a in side if a[1] == 0 and a[0] != "s" and a[0] not in own and (a[0], 1) not in side)
 
 
 def world_cuts(live: DataFrame, seeds: DataFrame, samples: int, targets: list[int]) -> DataFrame:
