@@ -116,13 +116,14 @@ def verified(pairs: DataFrame, texts: DataFrame, *, n: int, percent: int) -> Dat
     return full.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, coordinates: int = COORDINATES, least: int = LEAST, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, coordinates: int = COORDINATES, least: int = LEAST, hub_rounds: int = 2, seed: int = 7) -> DataFrame:
     """Link documents of alike word shingles: id, n_shingles, component_id, kept.
 
     1. One pass makes each document's shingle set hash and MinHash signature. Documents of one set are one class, with the least id as representative.
     2. Representatives are posted under each coordinate-value pair (an inverted list); ``prefixes`` keeps the postings that a pair above the match threshold must share.
     3. In each list the least representative is paired with the others. Pairs whose signatures agree in ``least`` coordinates are compared on their full shingle sets. The links give components.
-    4. Lists that still hold several components are gone through again: their members outside the list's largest component are paired with all members of other components, and the pairs are checked alike. So every pair that shares a kept posting is compared, unless its two documents are in one component anyway: a group of thousands of near copies costs about a pair for each copy, not their square.
+    4. In lists that still hold several components, ``hub_rounds`` times, the members outside the largest one are paired with its member of most links, which lies nearest to the middle of its group.
+    5. In lists that hold several components even then, the members outside the largest one are paired with all members of other components whose size and signature allow a link, and the pairs are compared. So every pair that shares a kept posting is compared, unless its two documents are in one component anyway: a group of thousands of near copies costs some pairs for each copy, not their square.
 
     Full texts travel compressed, and only those of documents that share a kept posting with another.
 
@@ -130,8 +131,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     sigs = checkpoint(signatures(docs, doc_id=doc_id, text=text, n=n, coordinates=coordinates, seed=seed))
     own = sigs.where("n_shingles > 0 and id is not null")
-    classes = own.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"))
-    sets = checkpoint(classes.select("rep", "signature"))
+    classes = own.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
+    sets = checkpoint(classes.select("rep", "signature", "size"))
     posts = checkpoint(prefixes(sets, coordinates, least))
     wanted = posts.select("rep").distinct()
 
@@ -143,25 +144,44 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).where("rep is not null")
     texts = checkpoint(rows.mapInArrow(packed, "rep long, z binary").join(wanted, "rep", "left_semi").dropDuplicates(["rep"]))
 
+    def may_link(x: str, y: str):
+        """Sizes and signatures that a pair above both thresholds can have."""
+        sizes = 100 * F.least(f"{x}.size", f"{y}.size") >= percent * F.greatest(f"{x}.size", f"{y}.size")
+        return sizes & (F.size(F.filter(F.zip_with(f"{x}.signature", f"{y}.signature", lambda u, v: u == v), lambda e: e)) >= least)
+
     def alike(pairs: DataFrame) -> DataFrame:
-        """Of the pairs, those that pass the signature threshold, compared on their sets."""
-        both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
-        matches = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-        return verified(both.where(matches >= least).select("a", "b"), texts, n=n, percent=percent)
-
-    leaders = posts.groupBy("list").agg(F.min("rep").alias("a"))
-    star = posts.join(leaders, "list").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = checkpoint(alike(star))
-    found = checkpoint(components(links))
-    # Every member with its component; lists of one component are done.
-    member = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("list", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = member.groupBy("list", "component").agg(F.count("*").alias("k"))
-    largest = mixed.groupBy("list").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("list", "largest")
-    open_lists = checkpoint(member.join(largest, "list"))
-    few = open_lists.where("component <> largest").select("list", F.col("rep").alias("x"), F.col("component").alias("cx"))
-    every = open_lists.select("list", F.col("rep").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("largest")).alias("main"))
-    cross = few.join(every, "list").where("cx <> cy and (main or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = checkpoint(alike(cross.join(star, ["a", "b"], "left_anti")))
+        """Of the pairs (a, b), those that pass the signature threshold, compared on their sets."""
+        left = pairs.join(sets.alias("s"), F.col("a") == F.col("s.rep")).select("a", "b", F.struct("s.size", "s.signature").alias("sa"))
+        both = left.join(sets.alias("t"), (F.col("b") == F.col("t.rep")) & may_link("sa", "t"))
+        return verified(both.select("a", "b"), texts, n=n, percent=percent)
+
+    def members(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Postings of the lists that hold several components, with each member's component and links, and whether its component is the list's largest."""
+        found = checkpoint(components(links))
+        ties = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("ties"))
+        member = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(ties, "rep", "left")
+        member = member.select("list", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("ties", F.lit(0)).alias("ties"))
+        parts = member.groupBy("list", "component").agg(F.count("*").alias("k"))
+        largest = parts.groupBy("list").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("list", "largest")
+        return found, member.join(largest, "list").select("list", "rep", "component", "ties", (F.col("component") == F.col("largest")).alias("main"))
+
+    def ordered(x: str, y: str):
+        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
+
+    leaders = posts.groupBy("list").agg(F.min("rep").alias("hub"))
+    tried = checkpoint(posts.join(leaders, "list").where("rep <> hub").select(*ordered("rep", "hub")).distinct())
+    links = checkpoint(alike(tried))
+    for _ in range(hub_rounds):
+        open_lists = checkpoint(members(links)[1])
+        hubs = open_lists.where("main").groupBy("list").agg(F.max(F.struct("ties", (-F.col("rep")).alias("rep")))["rep"].alias("hub"))
+        pairs = open_lists.where("not main").join(hubs.withColumn("_hub", -F.col("hub")), "list").select(*ordered("rep", "_hub")).distinct()
+        pairs = checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))
+        links, tried = checkpoint(links.union(alike(pairs))), tried.union(pairs)
+    open_lists = checkpoint(members(links)[1].join(sets, "rep"))
+    few, every = open_lists.where("not main").alias("x"), open_lists.alias("y")
+    near = (F.col("x.list") == F.col("y.list")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.main") | (F.col("x.rep") < F.col("y.rep")))
+    cross = few.join(every, near & may_link("x", "y")).select(*ordered("x.rep", "y.rep")).distinct()
+    more = checkpoint(verified(cross.join(tried, ["a", "b"], "left_anti"), texts, n=n, percent=percent))
     found = checkpoint(components(links.union(more)))
     reps = own.groupBy("set_a", "set_b").agg(F.min("id").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
     reps = reps.select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
