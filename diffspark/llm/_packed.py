@@ -22,17 +22,26 @@ def bucket(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def pack(rows: np.ndarray) -> bytes:
-    """A structured array, field by field, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(len(rows).to_bytes(8, "little") + b"".join(np.ascontiguousarray(rows[f]).tobytes() for f in rows.dtype.names))
+    """A structured array, field by field, compressed. Unsigned 8-byte fields hold hashes of 48 bits and take 6 bytes."""
+    parts = [len(rows).to_bytes(8, "little")]
+    for f in rows.dtype.names:
+        column = np.ascontiguousarray(rows[f])
+        parts.append(column.view("u1").reshape(-1, 8)[:, :6].tobytes() if rows.dtype[f] == "<u8" else column.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpack(data: bytes, kind: np.dtype) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(data)
     out, at = np.empty(int.from_bytes(raw[:8], "little"), kind), 8
     for f in kind.names:
-        size = kind[f].itemsize * len(out)
-        out[f] = np.frombuffer(raw, kind[f], len(out), at)
-        at += size
+        if kind[f] == "<u8":
+            column = np.zeros((len(out), 8), "u1")
+            column[:, :6] = np.frombuffer(raw, "u1", 6 * len(out), at).reshape(-1, 6)
+            out[f] = column.view("<u8")[:, 0]
+            at += 6 * len(out)
+        else:
+            out[f] = np.frombuffer(raw, kind[f], len(out), at)
+            at += kind[f].itemsize * len(out)
     return out
 
 
