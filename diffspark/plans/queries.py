@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from diffspark.functions.lineage import checkpoint
 from diffspark.functions.rng import uniform, uniform_sql
-from diffspark.operators import blocking, detect, diffusion, graph, metrics, sequential
+from diffspark.operators import blocking, containment, detect, diffusion, graph, metrics, sequential
+from diffspark.operators.message_passing import message_passing
 from diffspark.plans.registry import query
 from diffspark.sources import graphs
 
@@ -486,8 +489,6 @@ def eprocess(spark, sf_dir):
 
 @query("eprocess_alarm", f"{_SEQ}, {_EPROC} SELECT cascade, min(round) AS alarm_round FROM ep WHERE log_e >= ln(5) GROUP BY cascade")
 def eprocess_alarm(spark, sf_dir):
-    import math
-
     return sequential.alarms(eprocess_of(spark, sf_dir), "log_e", math.log(5))
 
 
@@ -547,8 +548,6 @@ eps AS (SELECT c.cascade, c.kappa > 1 AS harmful, m.alarm_round, t.h AS at_alarm
 SELECT round(avg(CASE WHEN NOT harmful THEN CASE WHEN alarm_round IS NULL THEN 0.0 ELSE 1.0 END END), 6) AS false_alarms, round(avg(CASE WHEN harmful THEN CASE WHEN alarm_round IS NULL THEN 0.0 ELSE 1.0 END END), 6) AS detected,
        round(avg(CASE WHEN harmful THEN alarm_round END), 6) AS delay, round(1 - sum(CASE WHEN harmful THEN final END) / sum(CASE WHEN harmful THEN counter END)::DOUBLE, 6) AS saved FROM eps""")
 def detection_summary(spark, sf_dir):
-    import math
-
     arcs, cascades, act, _, ev = evidence_of(spark, sf_dir)
     alarm = checkpoint(sequential.alarms(sequential.eprocess(ev, len(GRID), GRID), "log_e", math.log(5)))
     at = sequential.harm_at_alarm(arcs, act, alarm, cascades.select("cascade", "kappa")).select("cascade", F.col("harm").alias("harm_at_alarm"))
@@ -625,3 +624,52 @@ def pivot_by_status(spark, sf_dir):
 @query("hash_uniforms", f"SELECT o_orderkey, {uniform_sql(SEED, 'o_orderkey', 'o_custkey')} AS u FROM orders")
 def hash_uniforms(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", uniform(SEED, "o_orderkey", "o_custkey").alias("u"))
+
+
+# Containment: cascades are stopped by plans made when their alarm fires.
+def alarmed(spark, sf_dir):
+    """edges, arcs, cascades, activations, alarms by size, state at the alarm"""
+    arcs, cascades, act = running_cascades(spark, sf_dir)
+    alarms = checkpoint(sequential.alarms(sequential.growth(act), "size", 3))
+    return arcs, cascades, act, alarms, checkpoint(containment.state_at(act, alarms))
+
+
+_ALARMED = f"""WITH RECURSIVE {EDGES}, {WC}, {CASCADES}, g AS (SELECT cascade, round, count(*) AS new FROM act GROUP BY cascade, round),
+s AS (SELECT cascade, round, sum(new) OVER (PARTITION BY cascade ORDER BY round) AS size FROM g), alarm AS (SELECT cascade, min(round) AS alarm_round FROM s WHERE size >= 3 GROUP BY cascade),
+pre AS (SELECT a.cascade, a.node, a.round, m.alarm_round FROM act a JOIN alarm m ON m.cascade = a.cascade WHERE a.round <= m.alarm_round),
+state AS (SELECT cascade, node, round = max(round) OVER (PARTITION BY cascade) AS front FROM pre)"""
+
+
+@query("state_at_alarm", _ALARMED + " SELECT cascade, node, front FROM state")
+def state_at_alarm(spark, sf_dir):
+    return alarmed(spark, sf_dir)[4]
+
+
+@query("contain_degree", _ALARMED + """ SELECT cascade, node, rank FROM (SELECT c.cascade, d.node, row_number() OVER (PARTITION BY c.cascade ORDER BY d.deg DESC, d.node) AS rank
+FROM (SELECT DISTINCT cascade FROM state) c, deg d WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.cascade = c.cascade AND s.node = d.node)) WHERE rank <= 5""")
+def contain_degree(spark, sf_dir):
+    return containment.degree_plan(edges_of(spark, sf_dir), alarmed(spark, sf_dir)[4], 5)
+
+
+@query("contain_proximity", _ALARMED + """, hop AS (SELECT cascade, node, 0 AS dist FROM state WHERE front UNION SELECT h.cascade, e.dst, h.dist + 1 FROM hop h JOIN edges e ON e.src = h.node WHERE h.dist < 3),
+near AS (SELECT cascade, node, min(dist) AS dist FROM hop GROUP BY cascade, node)
+SELECT cascade, node, rank FROM (SELECT n.cascade, n.node, row_number() OVER (PARTITION BY n.cascade ORDER BY n.dist, d.deg DESC, n.node) AS rank FROM near n JOIN deg d ON d.node = n.node
+WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.cascade = n.cascade AND s.node = n.node)) WHERE rank <= 5""")
+def contain_proximity(spark, sf_dir):
+    return containment.proximity_plan(edges_of(spark, sf_dir), alarmed(spark, sf_dir)[4], 5, max_depth=3)
+
+
+@query("contain_dominator")
+def contain_dominator(spark, sf_dir):
+    """Harm with and without the plans of the dominator planner, by cascade."""
+    arcs, cascades, act, alarms, state = alarmed(spark, sf_dir)
+    plan = checkpoint(containment.dominator_plan(arcs, state, cascades.select("cascade", "kappa"), 4, samples=8))
+    after = containment.contained(arcs, cascades, alarms, plan, seed=SEED, max_rounds=ROUNDS)
+    count = lambda rows, name: rows.groupBy("cascade").agg(F.count("*").alias(name))
+    return count(act, "harm_counterfactual").join(count(after, "harm_final"), "cascade")
+
+
+@query("source_message_passing")
+def source_message_passing(spark, sf_dir):
+    edges, _, _, snap = epidemic(spark, sf_dir)
+    return message_passing(edges, snap, beta=BETA, horizon=HORIZON).withColumn("score", F.round("score", 6))
