@@ -62,3 +62,11 @@ def ids_of(column: pa.Array) -> np.ndarray:
     return column.fill_null(int(NO_ID)).to_numpy(zero_copy_only=False).astype("i8")
 
 
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut into parts of about ``most`` bytes, so that what a task holds for one is bounded (but for a single text longer than that)."""
+    for b in batches:
+        rows = max(1, b.num_rows // max(1, -(-b.nbytes // most)))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
