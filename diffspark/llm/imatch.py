@@ -27,8 +27,7 @@ def lexicon(docs: DataFrame, *, doc_id: str, text: str, band=BAND, rates=RATES,
     """
     n = docs.select(F.count("*").alias("_n"))
     counts = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("_df"))
-    idf = F.log2(F.col("_n") / F.col("_df"))
-    kept = counts.where("_df >= 2").join(F.broadcast(n)).where((idf >= band[0]) & (idf <= band[1]))
+    kept = counts.where("_df >= 2").join(F.broadcast(n)).where((F.col("_n") >= F.col("_df") * 2.0 ** band[0]) & (F.col("_n") <= F.col("_df") * 2.0 ** band[1]))
     bits = F.lit(0)
     for k, rate in enumerate(rates):
         digits = F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|{k // 8}"), "term")), 1 + 4 * (k % 8), 4)

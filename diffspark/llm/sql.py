@@ -1,5 +1,7 @@
 """DuckDB SQL for the results of the registered queries that SQL can express."""
 
+from diffspark.llm.imatch import RATES
+
 OP3 = r"""
 WITH lines AS (
   SELECT doc_id, line, pos,
@@ -61,4 +63,60 @@ SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id,
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id
 """
 
-SQL = {"op2_minhash": OP2, "op3_line_dedup": OP3, "op6_mixing": OP6}
+OP8 = """
+WITH sized AS (SELECT doc_id, h, CAST(length(h) / 2 AS BIGINT) AS n FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 49, 0))) AS i FROM sized)),
+firsts AS (SELECT w, min(doc_id) AS m FROM win GROUP BY w),
+hits AS (SELECT a.doc_id, a.i FROM win a JOIN firsts f ON f.w = a.w WHERE f.m < a.doc_id),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM hits),
+grouped AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked),
+spans AS (SELECT doc_id, g, min(i) AS s, max(i) + 50 AS e FROM grouped GROUP BY doc_id, g),
+pieces AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS z FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(max(p.e), 0), d.n FROM sized d LEFT JOIN spans p ON p.doc_id = d.doc_id GROUP BY d.doc_id, d.n),
+kept AS (SELECT p.doc_id, string_agg(substr(d.h, 2 * p.a + 1, 2 * (p.z - p.a)), '' ORDER BY p.a) AS k FROM pieces p JOIN sized d ON d.doc_id = p.doc_id GROUP BY p.doc_id),
+counts AS (SELECT doc_id, CAST(sum(e - s) AS BIGINT) AS gone, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(c.gone, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans, sha256(unhex(k.k)) AS kept_sha256
+FROM sized d JOIN kept k ON k.doc_id = d.doc_id LEFT JOIN counts c ON c.doc_id = d.doc_id
+"""
+
+
+def imatch_sql(rates: tuple[float, ...] = RATES, seed: int = 7) -> str:
+    """Fingerprints subset by subset: a row for each document, version and subset that keeps a term."""
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    keeps = "\n".join(
+        f"  UNION ALL SELECT term, {k} FROM lexicon WHERE ('0x' || substr(md5('{seed}|{k // 8}|' || term), {1 + 4 * (k % 8)}, 4))::BIGINT < {int(rate * 65536)}" for k, rate in enumerate(rates)
+    ).replace("  UNION ALL", "  ", 1)
+    return f"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+         coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), first_value(doc_id) OVER (ORDER BY doc_id DESC)) AS next_id FROM documents),
+edits AS (
+  SELECT o.doc_id, o.text, o.n, o.next_id, substr(o.text, 1, o.n - CAST(floor(o.n / 3.0) AS BIGINT)) || substr(x.text, 1, CAST(floor(o.n / 3.0) AS BIGINT)) AS edited
+  FROM ordered o JOIN ordered x ON x.doc_id = o.next_id),
+versions AS (SELECT doc_id, 0 AS v, text AS t FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits),
+terms AS (SELECT DISTINCT doc_id, v, term FROM (SELECT doc_id, v, unnest(regexp_extract_all({lower.format("t")}, '[^\\x20\\x09-\\x0D]+')) AS term FROM versions)),
+df AS (SELECT term, count(*) AS df FROM terms WHERE v = 0 GROUP BY term),
+lexicon AS (SELECT term FROM df WHERE df >= 2 AND (SELECT count(*) FROM documents) >= df * 4 AND (SELECT count(*) FROM documents) <= df * 1024),
+subsets(term, k) AS (
+{keeps}),
+hashes AS (SELECT t.doc_id, t.v, s.k, substr(md5(string_agg(t.term, ' ' ORDER BY t.term)), 1, 8) AS h FROM terms t JOIN subsets s ON s.term = t.term GROUP BY t.doc_id, t.v, s.k),
+slots AS (SELECT d.doc_id, d.v, k.k FROM (SELECT DISTINCT doc_id, v FROM hashes) d, (SELECT unnest(range({len(rates)})) AS k) k),
+prints AS (SELECT s.doc_id, s.v, string_agg(coalesce(h.h, '........'), '-' ORDER BY s.k) AS f FROM slots s LEFT JOIN hashes h ON h.doc_id = s.doc_id AND h.v = s.v AND h.k = s.k GROUP BY s.doc_id, s.v),
+full_prints AS (SELECT v.doc_id, v.v, coalesce(p.f, 'all:' || md5({lower.format("v.t")})) AS f, p.f IS NULL AS plain FROM versions v LEFT JOIN prints p ON p.doc_id = v.doc_id AND p.v = v.v),
+pairs AS (SELECT doc_id AS a, 0 AS av, doc_id AS b, 1 AS bv, 0 AS kind FROM edits UNION ALL SELECT doc_id, 0, next_id, 0, 1 FROM edits),
+either AS (
+  SELECT p.a, p.kind, count(*) AS used, count(*) FILTER (WHERE x.h = y.h) AS same
+  FROM pairs p, (SELECT unnest(range({len(rates)})) AS k) s
+  LEFT JOIN hashes x ON x.doc_id = p.a AND x.v = p.av AND x.k = s.k LEFT JOIN hashes y ON y.doc_id = p.b AND y.v = p.bv AND y.k = s.k
+  WHERE x.h IS NOT NULL OR y.h IS NOT NULL GROUP BY p.a, p.kind),
+near AS (
+  SELECT p.a, p.kind, CASE WHEN x.f = y.f THEN 1.0::DOUBLE WHEN x.plain OR y.plain THEN 0.0::DOUBLE ELSE e.same / e.used::DOUBLE END AS likeness
+  FROM pairs p JOIN full_prints x ON x.doc_id = p.a AND x.v = p.av JOIN full_prints y ON y.doc_id = p.b AND y.v = p.bv LEFT JOIN either e ON e.a = p.a AND e.kind = p.kind)
+SELECT e.doc_id, e.n AS n_chars, sha256(e.edited) AS edited_sha256, f.f AS fingerprint, g.f AS edited_fingerprint, x.likeness AS near_edited, y.likeness AS near_next
+FROM edits e JOIN full_prints f ON f.doc_id = e.doc_id AND f.v = 0 JOIN full_prints g ON g.doc_id = e.doc_id AND g.v = 1
+JOIN near x ON x.a = e.doc_id AND x.kind = 0 JOIN near y ON y.a = e.doc_id AND y.kind = 1
+"""
+
+
+SQL = {"op2_minhash": OP2, "op3_line_dedup": OP3, "op6_mixing": OP6, "op8_suffix_dedup": OP8, "op10_imatch": imatch_sql()}
