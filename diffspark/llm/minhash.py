@@ -177,10 +177,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         pairs = open_lists.where("not main").join(hubs.withColumn("_hub", -F.col("hub")), "list").select(*ordered("rep", "_hub")).distinct()
         pairs = checkpoint(pairs.join(tried, ["a", "b"], "left_anti"))
         links, tried = checkpoint(links.union(alike(pairs))), tried.union(pairs)
-    open_lists = checkpoint(members(links)[1].join(sets, "rep"))
+    own_lists = posts.groupBy("rep").agg(F.array_sort(F.collect_list("list")).alias("lists"))
+    open_lists = checkpoint(members(links)[1].join(sets, "rep").join(own_lists, "rep"))
     few, every = open_lists.where("not main").alias("x"), open_lists.alias("y")
     near = (F.col("x.list") == F.col("y.list")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.main") | (F.col("x.rep") < F.col("y.rep")))
-    cross = few.join(every, near & may_link("x", "y")).select(*ordered("x.rep", "y.rep")).distinct()
+    # A list that two components share is open, so a pair's first shared list is one of these, and the pair comes up in that one alone.
+    once = F.element_at(F.array_intersect("x.lists", "y.lists"), 1) == F.col("x.list")
+    cross = few.join(every, near & may_link("x", "y") & once).select(*ordered("x.rep", "y.rep")).distinct()
     more = checkpoint(verified(cross.join(tried, ["a", "b"], "left_anti"), texts, n=n, percent=percent))
     found = checkpoint(components(links.union(more)))
     reps = own.groupBy("set_a", "set_b").agg(F.min("id").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
