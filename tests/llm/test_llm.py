@@ -19,7 +19,7 @@ from diffspark.llm.line_dedup import line_dedup
 from diffspark.llm.minhash import near_duplicates
 from diffspark.llm.mixing import mix, source_targets
 from diffspark.llm.packing import Encoder, best_fill, pack, plan_windows
-from diffspark.llm.suffix_dedup import suffix_dedup
+from diffspark.llm.suffix_dedup import suffix_dedup, suffix_repeats
 from diffspark.llm.suffix_tree import suffix_tree_scores
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -240,6 +240,27 @@ def test_suffix_dedup_against_brute_force(spark, length):
     assert got == brute_suffix(texts, length)
 
 
+def test_suffix_dedup_of_a_long_stretch(spark):
+    texts = [(1, "=" * 80), (2, "=" * 70_000)]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup(docs(spark, texts), length=50).collect()}
+    assert got == {1: (80, 0, 0, hashlib.sha256(b"=" * 80).hexdigest()), 2: (70_000, 70_000, 1, hashlib.sha256(b"").hexdigest())}
+
+
+@pytest.mark.parametrize("length", [20, 50, 56])
+def test_suffix_repeats_in_parts(length):
+    rng = random.Random(length)
+    pool = [bytes(rng.choice(b"ab") for _ in range(90)) for _ in range(4)]
+    segments = [rng.choice(pool)[rng.randrange(20) :] for _ in range(60)]
+    owners, counts = np.array([rng.randrange(30) for _ in segments]), np.array([len(s) - length + 1 for s in segments])
+    least: dict[bytes, int] = {}
+    windows = [(s[k : k + length], d) for s, d, c in zip(segments, owners.tolist(), counts.tolist(), strict=True) for k in range(c)]
+    for w, d in windows:
+        least[w] = min(d, least.get(w, d))
+    want = [d > least[w] for w, d in windows]
+    assert suffix_repeats(segments, owners, counts, length).tolist() == want
+    assert suffix_repeats(segments, owners, counts, length, most=100).tolist() == want
+
+
 def test_suffix_dedup_odd(spark, odd):
     out = suffix_dedup(odd, length=20, with_text=True).collect()
     assert len(out) == len(ODD)
