@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from diffspark.llm.samples import first_by_hash
+from diffspark.llm.samples import first_by_hash_each
 
 _LETTER = regex.compile(r"\p{L}")
 #: Byte map for n-grams: A-Z lower case, other ASCII than letters a space; bytes of longer characters as they are.
@@ -47,7 +47,7 @@ def places(grams: np.ndarray, slots: int, hashes: int) -> Iterator[np.ndarray]:
 
 @dataclass
 class Filters:
-    """Slot s of ``slots`` holds, bit by bit, which languages' filters have it set, so that one read answers for all languages."""
+    """Slot s of ``slots`` holds, bit by bit, which languages' filters have it set, so that one read answers for 64 languages; a slot has as many words of 64 bits as the languages need."""
 
     languages: list[str]
     slots: np.ndarray
@@ -56,10 +56,11 @@ class Filters:
     false_rate: np.ndarray
 
     def masks(self, grams: np.ndarray) -> np.ndarray:
-        """Languages that contain each n-gram, as bit masks."""
-        out = np.full(len(grams), np.iinfo("u8").max, "u8")
-        for at in places(grams, len(self.slots), self.hashes):
-            out &= self.slots[at]
+        """Languages that contain each n-gram, as bit masks: a row for each word of 64 languages."""
+        out = np.full((len(self.slots), len(grams)), np.iinfo("u8").max, "u8")
+        for at in places(grams, self.slots.shape[1], self.hashes):
+            for own, word in zip(out, self.slots, strict=True):
+                own &= word[at]
         return out
 
     def decide(self, text: str | None) -> tuple[str, float]:
@@ -67,30 +68,26 @@ class Filters:
         if not self.languages or not text or not _LETTER.search(text):
             return UNDETERMINED, 0.0
         masks = self.masks(grams(text, self.n))
-        total = len(masks)
+        total = masks.shape[1]
         if not total:
             return self.languages[0], 0.0
-        values, counts = np.unique(masks, return_counts=True)
-        hits = np.array([counts[(values >> np.uint64(k) & np.uint64(1)) == 1].sum() for k in range(len(self.languages))]) / total
+        hits = np.zeros(len(self.languages))
+        for word, own in enumerate(masks):
+            values, counts = np.unique(own, return_counts=True)
+            for k in range(64 * word, min(64 * word + 64, len(hits))):
+                hits[k] = counts[(values >> np.uint64(k % 64) & np.uint64(1)) == 1].sum() / total
         share = np.clip((hits - self.false_rate) / (1 - self.false_rate), 0, 1)
         best = int(np.argmax(share))
         return self.languages[best], float(share[best])
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", among: Column | None = None, per_language: int = 1000, n: int = 4, least_docs: int = 3, ratio: float = 0.2, bits: int = 20, hashes: int = 4) -> Filters:
-    """Filters of at most 64 languages, learnt from at most ``per_language`` documents of each.
+    """Filters of all languages that ``lang`` names, learnt from at most ``per_language`` documents of each.
 
-    A language contains an n-gram that at least ``least_docs`` of its sampled documents have (all of them, if there are fewer), and a share of them at least ``ratio`` times the largest share in any language: a few foreign passages don't enter a filter. Documents are counted by Spark; the kept pairs are at most those of the sample. ``2**bits`` slots of 64 bits are 8 MB for the default.
+    A language contains an n-gram that at least ``least_docs`` of its sampled documents have (all of them, if there are fewer), and a share of them at least ``ratio`` times the largest share in any language: a few foreign passages don't enter a filter. Documents are counted by Spark; the kept pairs are at most those of the sample. ``2**bits`` slots of 64 bits are 8 MB for the default, and for every 64 languages.
     """
     learn = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & (F.lit(True) if among is None else among)).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
-    names = [r["lang"] for r in learn.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(64).collect()]
-    if not names:
-        return Filters([], np.zeros(1 << bits, "u8"), hashes, n, np.zeros(0))
-    names.sort()
-    keys = None
-    for name in names:
-        part = first_by_hash(learn.where(F.col("lang") == name), per_language, F.col("id"))
-        keys = part if keys is None else keys.union(part)
+    keys = first_by_hash_each(learn, per_language, F.col("id"), "lang")
     sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(keys), "id").dropDuplicates(["id"])
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,23 +98,29 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
 
     sample = sample.select("text", "lang").persist()
     sizes = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        sample.unpersist()
+        return Filters([], np.zeros((1, 1 << bits), "u8"), hashes, n, np.zeros(0))
+    names = sorted(sizes)
+    number = F.create_map(*(x for k, v in enumerate(names) for x in (F.lit(v), F.lit(k))))
     least = F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(v, least_docs)))))
     size = F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(float(v)))))
     counts = sample.mapInArrow(distinct, "lang string, gram long").groupBy("gram", "lang").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / size[F.col("lang")])
     top = counts.groupBy("gram").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "n", "share")).alias("all"))
     kept = top.select("gram", "top", F.explode("all").alias("a")).where((F.col("a.n") >= least[F.col("a.lang")]) & (F.col("a.share") >= ratio * F.col("top")))
-    table = kept.select("gram", "a.lang").toPandas()
+    table = kept.select("gram", number[F.col("a.lang")].alias("lang")).toPandas()
     sample.unpersist()
-    names = [x for x in names if x in sizes]
-    filters = Filters(names, np.zeros(1 << bits, "u8"), hashes, n, np.zeros(len(names)))
+    filters = Filters(names, np.zeros((-(-len(names) // 64), 1 << bits), "u8"), hashes, n, np.zeros(len(names)))
     fill = np.zeros(len(names))
-    for k, name in enumerate(names):
-        g = table.loc[table["lang"] == name, "gram"].to_numpy().astype("u8")
+    found = table["gram"].to_numpy().astype("u8")[np.argsort(table["lang"].to_numpy(), kind="stable")]
+    ends = np.cumsum(np.bincount(table["lang"].to_numpy(), minlength=len(names)))
+    for k in range(len(names)):
+        g = found[ends[k - 1] if k else 0 : ends[k]]
         own = np.zeros(1 << bits, "u8")
         for at in places(g, 1 << bits, hashes):
             own[at] = 1
         fill[k] = own.mean()
-        filters.slots |= own << np.uint64(k)
+        filters.slots[k // 64] |= own << np.uint64(k % 64)
     filters.false_rate = fill**hashes
     return filters
 

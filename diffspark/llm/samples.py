@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -11,6 +12,13 @@ def first_by_hash(rows: DataFrame, n: int, key: Column) -> DataFrame:
     return rows.withColumn("_order", F.md5(F.coalesce(key.cast("string"), F.lit("")))).orderBy("_order", *rows.columns).limit(n).drop("_order")
 
 
+def first_by_hash_each(rows: DataFrame, n: int, key: Column, group: str) -> DataFrame:
+    """Of each value of ``group`` at most ``n`` rows, the same as ``first_by_hash`` takes, in one pass. Spark cuts each task's part to ``n`` rows a group before it shuffles them, for ``n`` up to ``spark.sql.optimizer.windowGroupLimitThreshold``."""
+    hashed = rows.withColumn("_order", F.md5(F.coalesce(key.cast("string"), F.lit(""))))
+    order = W.partitionBy(group).orderBy("_order", *rows.columns)
+    return hashed.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n).drop("_order", "_place")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, column: str, *, doc_id: str = "doc_id", text: str = "text", per_class: int, among: Column | None = None) -> DataFrame:
     """Texts of at most ``per_class`` documents labelled 0 and as many labelled 1: id, text, label.
 

@@ -309,6 +309,19 @@ def test_language_held_out(spark):
     assert langid.language(odd.limit(0), langid.fit(odd.limit(0))).isEmpty()
 
 
+def test_more_than_64_languages(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(70):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)]
+        rows += [(k * 4 + i, " ".join(rng.choice(own) for _ in range(60)), f"l{k:02}") for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = langid.fit(d, among=F.col("doc_id") % 4 != 0)
+    assert len(filters.languages) == 70
+    got = langid.language(d.where("doc_id % 4 = 0"), filters).collect()
+    assert all(r["lang_pred"] == r["lang"] and r["score"] > 0.25 for r in got)
+
+
 def test_toxicity_held_out_and_located(spark):
     rng = random.Random(9)
     rows, labels = [], []
