@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from diffspark.llm.line_dedup import line_dedup
 from diffspark.llm.minhash import near_duplicates
 from diffspark.llm.mixing import mix
 from diffspark.llm.packing import pack
+from diffspark.llm.queries import labels, quality_weights
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document whose best language holds a smaller share of its n-grams is in no language that the filters know.
@@ -38,9 +40,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return one.union(docs.where("doc_id is null")).select(COLUMNS)
 
 
+def label_weights(spark: SparkSession, sf_dir: str) -> DataFrame | None:
+    """The weights of ``op6_mixing``; None where ``sf_dir`` has no labels."""
+    try:
+        own = labels(spark, sf_dir)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return quality_weights(own)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mix(docs).where("epochs > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), "epochs"))).select(COLUMNS)
+    """Each document as often as the mix takes it, weighted by the quality labels of ``sf_dir`` where it has any."""
+    return mix(docs, weights=label_weights(spark, sf_dir)).where("epochs > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), "epochs"))).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -400,3 +400,16 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "line_dedup":
             assert step.where(F.col("text").contains("shared")).isEmpty()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_mixing_weighs_by_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    texts = [(i, words(rng, 20)) for i in range(1200)]
+    d = docs(spark, texts, ["a" if i % 3 else "b" for i, _ in texts]).select(corpus_pipeline.COLUMNS)  # a's target is half its size
+    plain = corpus_pipeline.mixing(spark, d, str(tmp_path))
+    assert collections.Counter(r["doc_id"] for r in plain.collect()) == {r["doc_id"]: r["epochs"] for r in mix(d).where("epochs > 0").collect()}
+    spark.createDataFrame([(i, i // 3 % 2, 0) for i, _ in texts if i % 3], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    taken = collections.Counter(r["doc_id"] // 3 % 2 for r in corpus_pipeline.mixing(spark, d, str(tmp_path)).where("source = 'a'").collect())
+    assert taken[1] > 2 * taken[0] > 0
