@@ -202,6 +202,31 @@ def test_near_duplicates_odd(spark, odd):
     assert near_duplicates(odd.limit(0)).isEmpty()
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    rng = random.Random(21)
+    a, b, c, d = (words(rng, 60) for _ in range(4))
+    edited = a.rsplit(" ", 1)[0] + " end"
+    rows = [(1, a), (2, b), (2, edited), (3, c), (3, d), (4, d), (5, b), (None, a)]
+    out = collections.defaultdict(set)
+    for r in near_duplicates(docs(spark, rows)).collect():
+        out[r["doc_id"]].add((r["component_id"], r["kept"]))
+    assert out == {1: {(1, True)}, 2: {(1, False)}, 3: {(3, True)}, 4: {(3, False)}, 5: {(1, False)}, None: {(None, True)}}
+
+
+def test_near_duplicates_around_one_text(spark):
+    """Hundreds of near copies of one text, many of them too far from it and from each other."""
+    rng = random.Random(22)
+    base = words(rng, 150, 100_000).split()
+    texts = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(14)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(300)}"
+        texts.append((i, " ".join(w)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_components(texts) and len({c for _, c in got.values()}) > 20
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["component"] for r in components(edges).collect()} == {0} and components(edges).count() == 301
