@@ -2,69 +2,98 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from diffspark.llm._common import checkpoint
+from diffspark.llm._packed import slices
 
 CAPACITY = 4096
 #: Pieces that one task numbers together; salts are as many as that needs.
 GROUP = 20_000
 #: Entries of a worker's memo of encoded chunks; it is emptied when full, which changes no result.
 MEMO = 1_000_000
+#: Bytes of text that a task encodes at a time.
+TEXT = 4 << 20
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
+def byte_characters() -> dict[int, str]:
+    """How byte-level tokenizers write a byte as a character: printable Latin-1 ones stand for themselves, the others, in order, for the characters from 256 on."""
+    direct = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [x for x in range(256) if x not in direct]
+    return {x: chr(256 + k) for k, x in enumerate(others)}
+
+
 class Encoder(dict):
     """Ids of the chunks between a text's white space, by a tokenizers file; each chunk is encoded once and kept.
 
-    White space must separate the tokenizer's tokens, so that a text's ids are those of its chunks in turn. ``by_pieces`` says that its normaliser is NFC and lower-casing and its pre-tokenizer splits by ``PIECES`` and maps bytes to characters: chunks of printable Latin-1 characters, which NFC leaves alone, are then put together from pieces, and the model is asked for a piece directly where its bytes stand for themselves.
+    White space must separate the tokenizer's tokens, so that a text's ids are those of its chunks in turn. ``by_pieces`` says that its normaliser is NFC and lower-casing and its pre-tokenizer splits by apostrophe endings, runs of letters, single numerals and runs of anything else, and writes bytes as characters: chunks of printable Latin-1 characters, which NFC leaves alone, are then put together from such pieces, and the model is asked for a piece directly.
     """
 
-    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    PLAIN = regex.compile(r"[!-~\xa1-\xff]+")
-    DIRECT = regex.compile(r"[!-~\xa1-\xac\xae-\xff]+")
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-z0-9ªµºß-öø-ÿ²³¹¼½¾]+|\n")
+    PLAIN = re.compile(r"[!-~\xa1-\xff]+")
+    BREAK = np.array([0xFFFFFFFF], "<u4").tobytes()
+    BYTES = byte_characters()
 
     def __init__(self, path: str, by_pieces: bool):
         super().__init__()
-        self.tokenizer, self.by_pieces, self.pieces = Tokenizer.from_file(path), by_pieces, {}
+        self.tokenizer, self.by_pieces, self.pieces = Tokenizer.from_file(path), by_pieces, {"\n": self.BREAK}
 
     def raw(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def piece(self, piece: str) -> bytes:
-        if self.DIRECT.fullmatch(mapped := piece.encode().decode("latin-1")):
-            return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
-        return self.raw(piece)
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if self.by_pieces and "<|" not in text and self.PLAIN.fullmatch(text):
-            parts = self.PIECES.findall(text.lower())
-            for p in parts:
-                if p not in self.pieces:
-                    self.pieces[p] = self.piece(p)
-            ids = b"".join([self.pieces[p] for p in parts])
-        else:
-            ids = self.raw(text)
-        self[chunk] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
+    def plain(self, chunk: str) -> bool:
+        return self.by_pieces and chunk != "" and "<|" not in chunk and (chunk.isascii() and chunk.isprintable() or self.PLAIN.fullmatch(chunk) is not None)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Encode new chunks, all at once: their pieces lie in one text with line feeds between the chunks, and ids that no token has mark these."""
+        own = [c for c in chunks if self.plain(c)]
+        for c in set(chunks).difference(own) if len(own) < len(chunks) else ():
+            self[c] = self.raw(c)
+        if not own:
+            return
+        parts = self.PIECES.findall("\n".join(own).lower())
+        pieces, tokenize = self.pieces, self.tokenizer.model.tokenize
+        for p in set(parts).difference(pieces):
+            pieces[p] = array("I", [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self.BYTES))]).tobytes()
+        ids = b"".join(map(pieces.__getitem__, parts))
+        ends = [*(4 * np.flatnonzero(np.frombuffer(ids, "<u4") == 0xFFFFFFFF)).tolist(), len(ids)]
+        self.update(zip(own, map(ids.__getitem__, map(slice, [0, *(e + 4 for e in ends[:-1])], ends)), strict=True))
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (string, no nulls) as little-endian unsigned 32-bit integers. Chunks are cut and numbered by Arrow, so that Python sees each only once for a batch."""
         if len(self) + len(self.pieces) > MEMO:
             self.clear()
-            self.pieces.clear()
-        return b"".join(map(self.__getitem__, text.encode().split()))
+            self.pieces = {"\n": self.BREAK}
+        cut = pc.ascii_split_whitespace(texts)
+        coded = cut.flatten().dictionary_encode()
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.get, own))
+        if new := [k for k, x in enumerate(known) if x is None]:
+            self.learn([own[k] for k in new])
+            for k in new:
+                known[k] = self[own[k]]
+        size = np.fromiter(map(len, known), "i8", len(known)) // 4
+        begin, pool = np.cumsum(size) - size, np.frombuffer(b"".join(known), "<u4")
+        at = coded.indices.to_numpy()
+        each = size[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = pool[np.repeat(begin[at] - ends[:-1], each) + np.arange(ends[-1])]
+        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype("i8"))])].tolist()
+        return (ids[a:z].tobytes() for a, z in itertools.pairwise(bounds))
 
 
 def encoder(path: str, by_pieces: bool) -> Encoder:
@@ -81,10 +110,10 @@ def tokenize(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, by_pieces)
         last = np.array([end], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, TEXT):
             row, cols, ids = [], [[], [], [], []], []
-            for i, x in enumerate(batch.column(1)):
-                data = encode.ids(x.as_py() or "") + last
+            for i, data in enumerate(encode.batch(batch.column(1).fill_null(""))):
+                data += last
                 for at in range(0, len(data), 4 * capacity):
                     part = data[at : at + 4 * capacity]
                     row.append(i)

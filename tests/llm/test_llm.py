@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -101,8 +102,10 @@ def test_encoder_is_the_tokenizer():
     rng = random.Random(1)
     alphabet = "aàéßIi'stredmvl12½²!?.,<|>-_ \t\n\x0b\x1c\x85\xa0\xadΣςİ中́"
     texts = ["<|endoftext|> x<|startoftext|>", "I'm it's'S DON'T"] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(800)]
-    for t in texts:
-        assert fast.ids(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
+    texts += ["".join(chr(rng.choice([*range(32, 127), *range(0xA0, 0x180)])) for _ in range(rng.randrange(40))) for _ in range(1500)] + [chr(c) for c in range(1, 0x250)]
+    for some in (texts[:3], texts[3:], texts):
+        for t, ids in zip(some, fast.batch(pa.array(some)), strict=True):
+            assert ids == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
 
 
 def test_best_fill_against_enumeration():
