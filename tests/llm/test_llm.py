@@ -20,7 +20,7 @@ from diffspark.llm.line_dedup import line_dedup
 from diffspark.llm.minhash import near_duplicates
 from diffspark.llm.mixing import mix, source_targets
 from diffspark.llm.packing import Encoder, best_fill, pack, plan_windows
-from diffspark.llm.suffix_dedup import suffix_dedup, suffix_repeats
+from diffspark.llm.suffix_dedup import common_prefixes, previous_factors, suffix_dedup, suffix_repeats
 from diffspark.llm.suffix_tree import suffix_tree_scores
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -274,6 +274,32 @@ def test_suffix_dedup_of_a_long_stretch(spark):
     assert got == {1: (80, 0, 0, hashlib.sha256(b"=" * 80).hexdigest()), 2: (70_000, 70_000, 1, hashlib.sha256(b"").hexdigest())}
 
 
+def test_suffix_dedup_of_periodic_texts(spark):
+    rng = random.Random(2)
+    unit = "".join(rng.choice("abcdefghijklmnop") for _ in range(32))
+    texts = [(1, unit * 8000), (2, (unit * 8001)[5:])]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffix_dedup(docs(spark, texts), length=50).collect()}
+    assert got == {1: (256_000, 0, 0), 2: (256_027, 256_027, 1)}
+
+
+@pytest.mark.parametrize("length", [20, 50, 56])
+def test_previous_factors(length):
+    rng = random.Random(length)
+    pool = [bytes(rng.choice(b"ab") for _ in range(length)) for _ in range(6)]
+    rows = [rng.choice(pool)[: rng.choice([0, 3, 8, 9, length - 1, length])] for _ in range(300)]
+    rows = [(r + bytes(rng.choice(b"abc") for _ in range(length)))[:length] for r in rows]
+    owners = np.array([rng.randrange(40) for _ in rows])
+    at = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+    keys = [np.array([int.from_bytes(r[k : k + 8], "big") for r in rows], "u8") for k in at]
+    share = lambda a, b: next((k for k in range(length) if a[k] != b[k]), length)
+    want = [max((share(a, b) for b, e in zip(rows, owners, strict=True) if e < d), default=0) for a, d in zip(rows, owners, strict=True)]
+    got = previous_factors(keys, at, owners, length)
+    assert all(g == w if w == length else g <= w for g, w in zip(got.tolist(), want, strict=True)) and length in want
+    order = np.lexsort(keys[::-1])
+    near = common_prefixes([k[order] for k in keys], at, length).tolist()
+    assert near == [0, *(share(rows[a], rows[b]) for a, b in zip(order[:-1], order[1:], strict=True))]
+
+
 @pytest.mark.parametrize("length", [20, 50, 56])
 def test_suffix_repeats_in_parts(length):
     rng = random.Random(length)
