@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from diffspark.llm import langid, quality, toxicity
 from diffspark.llm.components import components
-from diffspark.llm.imatch import imatch
+from diffspark.llm.imatch import imatch, with_next
 from diffspark.llm.line_dedup import line_dedup
 from diffspark.llm.minhash import near_duplicates
 from diffspark.llm.mixing import mix, source_targets
@@ -437,6 +437,19 @@ def test_imatch(spark, odd):
     assert imatch(odd).count() == len(ODD) and imatch(odd.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("ids", [[-(2**63) + 5, 2**63 - 10, 0, 7], [5] * 6 + [2**62 + k for k in range(5)], [None] * 8, [3, None, 10**12, 4, 4, 1]])
+def test_successors_of_any_ids(spark, ids):
+    texts = [(i, f"text {k}") for k, i in enumerate(ids)]
+    rows = with_next(docs(spark, texts), doc_id="doc_id", text="text", per_range=2, spans=4).collect()
+    assert sorted(r["text"] for r in rows) == sorted(r["next_text"] for r in rows) == sorted(t for _, t in texts)
+    order = sorted({i for i in ids if i is not None}, reverse=True) + [None] * (None in ids)
+    of = {t: i for i, t in texts}
+    steps = collections.Counter((r["id"], of[r["next_text"]]) for r in rows)
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        assert steps[a, b] >= 1 and (len(order) == 1 or steps[a, b] == 1)
+    assert all(a == b for (a, b) in steps if (a, b) not in set(zip(order, order[1:] + order[:1], strict=True)))
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
