@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zlib
 
@@ -36,10 +37,13 @@ def py_remainder(doc_id: int | None, divisor: int) -> int:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the folder that ``spark.checkpoint.dir`` names; only where it names none, a temporary one is set."""
+    """Cut the lineage of ``df`` in the folder that ``spark.checkpoint.dir`` names. Only a session of one machine may do without: a temporary folder is set for it."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="diffspark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="diffspark-"))
     return df.checkpoint()
 
 

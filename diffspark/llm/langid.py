@@ -84,11 +84,11 @@ class Filters:
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", among: Column | None = None, per_language: int = 1000, n: int = 4, least_docs: int = 3, ratio: float = 0.2, bits: int = 20, hashes: int = 4) -> Filters:
     """Filters of all languages that ``lang`` names, learnt from at most ``per_language`` documents of each.
 
-    A language contains an n-gram that at least ``least_docs`` of its sampled documents have (all of them, if there are fewer), and a share of them at least ``ratio`` times the largest share in any language: a few foreign passages don't enter a filter. Documents are counted by Spark; the kept pairs are at most those of the sample. ``2**bits`` slots of 64 bits are 8 MB for the default, and for every 64 languages.
+    Of rows of one id that differ, the least text and language count. A language contains an n-gram that at least ``least_docs`` of its sampled documents have (all of them, if there are fewer), and a share of them at least ``ratio`` times the largest share in any language: a few foreign passages don't enter a filter. Documents are counted by Spark; the kept pairs are at most those of the sample. ``2**bits`` slots of 64 bits are 8 MB for the default, and for every 64 languages.
     """
     learn = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & (F.lit(True) if among is None else among)).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"))
     keys = first_by_hash_each(learn, per_language, F.col("id"), "lang")
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(keys), "id").dropDuplicates(["id"])
+    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(keys), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -55,8 +55,10 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     else:
         sized = sized.join(weights.select(F.col("doc_id").alias("id"), F.col("weight").cast("double")), "id", "left").na.fill({"weight": 1.0})
     sized = checkpoint(sized.groupBy("_row", "id", "source", "size", "weight").agg(F.count("*").alias("copies")))
-    plan = mixing_plan(sized, cycle=cycle, most=most, seed=seed).select("_row", *named)
-    return docs.select(row.alias("_row"), *(c for c in docs.columns if c not in named)).join(plan, "_row").drop("_row")
+    plan = mixing_plan(sized, cycle=cycle, most=most, seed=seed).select(F.struct("_row", "id").alias("_plan"), *(F.col(c).alias(f"_{c}") for c in named)).alias("p")
+    rows = docs.select(F.struct("*").alias("_doc"), row.alias("_of"), F.col(doc_id).alias("_id"))
+    met = rows.join(plan, (F.col("_of") == F.col("_plan._row")) & F.col("_id").eqNullSafe(F.col("_plan.id")))
+    return met.select(*(F.col("_doc")[c].alias(c) for c in docs.columns if c not in named), *(F.col(f"_{c}").alias(c) for c in named))
 
 
 def mixing_plan(sized: DataFrame, *, cycle: int = 3, most: float = 3.0, seed: int = 7) -> DataFrame:
@@ -65,11 +67,13 @@ def mixing_plan(sized: DataFrame, *, cycle: int = 3, most: float = 3.0, seed: in
     targets = source_targets(sized.withColumn("size", F.col("size") * F.col("copies")), cycle=cycle, most=most)
     targets = targets.withColumn("_whole", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
     targets = targets.withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size")).withColumn("_buckets", F.ceil(F.col("n_docs") / BUCKET))
+    means = sized.groupBy(F.col("source").alias("_of")).agg(F.avg("weight").alias("_mean"))
+    targets = targets.join(means, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     keyed = sized.withColumn("_k", -F.log(u) / F.col("weight"))
     here = F.col("k.source").eqNullSafe(F.col("t.source"))
     keyed = keyed.alias("k").join(targets.alias("t"), here).select("k.*", *(F.col(f"t.{c}") for c in targets.columns if c != "source"))
-    # Monotone in the key and spread over the buckets where weights are near 1.
-    keyed = keyed.withColumn("_bucket", F.least(F.col("_buckets") - 1, F.floor(F.col("_buckets") * (1 - F.exp(-F.col("_k"))))))
+    # Monotone in the key, and spread over the buckets where weights are near their mean.
+    keyed = keyed.withColumn("_bucket", F.least(F.col("_buckets") - 1, F.floor(F.col("_buckets") * (1 - F.exp(-F.col("_k") * F.col("_mean"))))))
     words = F.col("size") * F.col("copies")
     sums = keyed.groupBy("source", "_bucket").agg(F.sum(words).alias("_sum"))
     before = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -22,9 +22,9 @@ def first_by_hash_each(rows: DataFrame, n: int, key: Column, group: str) -> Data
 def labelled(docs: DataFrame, labels: DataFrame, column: str, *, doc_id: str = "doc_id", text: str = "text", per_class: int, among: Column | None = None) -> DataFrame:
     """Texts of at most ``per_class`` documents labelled 0 and as many labelled 1: id, text, label.
 
-    ``among``, over the column ``doc_id``, says which rows of ``labels`` may be learnt from (None: all). Rows whose label is null, or that have more than one label, count with the larger one. The keys are at most ``2 * per_class`` rows, a bound that lets them be broadcast.
+    ``among``, over the column ``doc_id``, says which rows of ``labels`` may be learnt from (None: all). Rows that have more than one label count with the larger one, those whose label is null not at all; of rows of one id that differ, the least text counts. The keys are at most ``2 * per_class`` rows, a bound that lets them be broadcast.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & (F.lit(True) if among is None else among)).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     keys = first_by_hash(own.where("label = 0"), per_class, F.col("doc_id")).union(first_by_hash(own.where("label = 1"), per_class, F.col("doc_id")))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(keys.withColumnRenamed("doc_id", "id")), "id").dropDuplicates(["id"])
+    return texts.join(F.broadcast(keys.withColumnRenamed("doc_id", "id")), "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))

@@ -480,3 +480,24 @@ def test_pipeline_mixing_weighs_by_labels(spark, tmp_path):
     spark.createDataFrame([(i, i // 3 % 2, 0) for i, _ in texts if i % 3], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     taken = collections.Counter(r["doc_id"] // 3 % 2 for r in corpus_pipeline.mixing(spark, d, str(tmp_path)).where("source = 'a'").collect())
     assert taken[1] > 2 * taken[0] > 0
+
+
+def test_pipeline_stages_odd(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    text = lambda: ". ".join(" ".join(rng.choice(["the", "and", "house", "river", "walking", f"w{rng.randrange(300)}"]) for _ in range(12)) for _ in range(6))
+    twice = text()
+    texts = [*((i, text()) for i in range(40)), (50, twice), (50, twice), (51, twice), (60, text()), (60, text()), (None, text()), (None, text()), (70, None), (71, ""), (72, "the house " * 30_000)]
+    d = docs(spark, texts, [None if k % 3 else "s" for k in range(len(texts))])  # with columns that clash
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (d, d.limit(0)):
+            out = stage(spark, rows, str(tmp_path)).collect()
+            got = collections.Counter((r["doc_id"], r["text"]) for r in out) if name != "packing" else None
+            if rows is d and name == "language_id":
+                assert got == {k: n for k, n in collections.Counter(texts).items() if k[1]}
+            if rows is d and name == "near_dedup":
+                assert got == {k: n for k, n in (collections.Counter(texts) | {(50, twice): 1}).items() if k[0] != 51 and k != (50, twice)} | {(50, twice): 1}
+            if rows is d and name == "packing":
+                assert {r["doc_id"] for r in out} == {i for i, _ in texts}
+            assert out == [] or rows is d
