@@ -22,8 +22,8 @@ from diffspark.llm._packed import slices
 CAPACITY = 4096
 #: Pieces that one task numbers together; salts are as many as that needs.
 GROUP = 20_000
-#: Entries of a worker's memo of encoded chunks; it is emptied when full, which changes no result.
-MEMO = 1_000_000
+#: Entries of a worker's memo of encoded chunks and pieces, which outlives its tasks; it is emptied when full, which changes no result.
+MEMO = 250_000
 #: Bytes of text that a task encodes at a time.
 TEXT = 4 << 20
 
