@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from diffspark.functions.lineage import checkpoint
@@ -154,6 +153,62 @@ def lower_bound(z: float) -> Callable[[DataFrame, int], DataFrame]:
     return score
 
 
+def cross_validated(top_k: int) -> Callable[[DataFrame, int], DataFrame]:
+    """Score by the second half of the worlds, of the ``top_k`` best nodes of the first half only, so that no node is judged by the worlds that made it stand out."""
+
+    def score(gains: DataFrame, samples: int) -> DataFrame:
+        half = samples // 2
+        first, second = (F.coalesce(F.sum(F.when(c, F.col("gain"))), F.lit(0)) for c in (F.col("sample") < half, F.col("sample") >= half))
+        return top(gains.groupBy("node").agg(first.alias("a"), second.cast("double").alias("gain")), top_k, F.col("a").desc(), F.col("node")).select("node", "gain")
+
+    return score
+
+
+def control_variate_gains(live: DataFrame, seeds: DataFrame, arcs: DataFrame, samples: int, *, shrink: float = 5.0) -> DataFrame:
+    """Mean saving of blocking each node, that of the seeds' neighbours corrected by whether a seed's arc to them is live, whose chance is known: node, gain.
+
+    The slope of a neighbour's saving over that event is shrunk towards the pooled slope of all neighbours, by the weight ``shrink`` against the number of worlds.
+    """
+    gains = checkpoint(block_gains(reachable_arcs(live, seeds, samples), seeds))
+    from_seeds = arcs.join(seeds.withColumnRenamed("node", "src"), "src", "left_semi").join(seeds.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    chance = from_seeds.groupBy(F.col("dst").alias("node")).agg((-F.expm1(F.sum(F.log1p(-F.least(F.lit(1 - 1e-12), F.col("p")))))).alias("q"))
+    hits = live.join(seeds.withColumnRenamed("node", "src"), "src", "left_semi").select("sample", F.col("dst").alias("node")).distinct().withColumn("hit", F.lit(1))
+    sums = gains.join(hits, ["sample", "node"], "left").groupBy("node").agg(F.sum("gain").alias("g"), F.sum(F.col("gain") * F.coalesce("hit", F.lit(0))).alias("gh"))
+    rows = chance.join(sums, "node", "left").join(hits.groupBy("node").agg(F.sum("hit").alias("h")), "node", "left").na.fill(0, ["g", "gh", "h"])
+    rows = checkpoint(rows.withColumn("cov", (F.col("gh") - F.col("g") * F.col("h") / samples) / (samples - 1)).withColumn("var", (F.col("h") - F.col("h") * F.col("h") / samples) / (samples - 1)))
+    whole = rows.agg(F.sum("cov").alias("cov"), F.sum("var").alias("var")).first()
+    pooled = (whole["cov"] or 0.0) / max(whole["var"] or 0.0, 1e-12)
+    slope = (samples * F.when(F.col("var") > 0, F.col("cov") / F.col("var")).otherwise(0.0) + shrink * pooled) / (samples + shrink)
+    near = rows.select("node", F.greatest(F.lit(0.0), F.col("g") / samples - slope * (F.col("h") / samples - F.col("q"))).alias("gain"))
+    return near.union(sums.join(rows, "node", "left_anti").select("node", (F.col("g") / samples).alias("gain")))
+
+
+def cost_aware_plan(live: DataFrame, seeds: DataFrame, arcs: DataFrame, samples: int, budget: int) -> DataFrame:
+    """Greedy moves by what they save for each blocked node: a single node, or all free out-neighbours of a seed at once, which cuts it off: move, node, ratio (sum over worlds).
+
+    Blocking one by one can't see a cut whose nodes save little alone. A round brings back its best node, a row for each seed, and the nodes of the move.
+    """
+    live, plan, left, move = reachable_arcs(live, seeds, samples), [], budget, 0
+    starts = {r["node"] for r in seeds.select("node").distinct().collect()}
+    around = checkpoint(arcs.join(seeds.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst").distinct())
+    while left > 0:
+        gone = [n for _, n, _ in plan]
+        gains = checkpoint(block_gains(live, seeds, blocked=gone, with_sources=True).groupBy("node").agg(F.sum("gain").alias("gain")))
+        best = gains.where(~F.col("node").isin(starts)).orderBy(F.col("gain").desc(), "node").first()
+        ratio, nodes = (float(best["gain"]), [best["node"]]) if best and best["gain"] > 0 else (0.0, [])
+        free = around.where(~F.col("dst").isin([*starts, *gone]))
+        costs = free.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("cost"))
+        for r in gains.join(costs, "node").where((F.col("cost") <= left) & (F.col("gain") > 0)).orderBy("node").collect():
+            if r["gain"] / r["cost"] > ratio:
+                ratio, nodes = r["gain"] / r["cost"], sorted(x["dst"] for x in free.where(F.col("src") == r["node"]).collect())
+        if not nodes:
+            break
+        move += 1
+        plan += [(move, n, ratio) for n in nodes]
+        left -= len(nodes)
+    return live.sparkSession.createDataFrame(plan, "move int, node long, ratio double")
+
+
 def greedy_replace(live: DataFrame, seeds: DataFrame, samples: int, k: int) -> DataFrame:
     """Fill from the seeds' live out-neighbours, top up from all nodes, then take back each pick, latest first, and put the best node in its place, until one is its own best: rank, node, gain."""
     live = reachable_arcs(live, seeds, samples)
@@ -259,8 +314,8 @@ def best_swaps(live: DataFrame, seeds: DataFrame, samples: int, plan: DataFrame,
         moved = False
         for i in range(len(nodes)):
             totals = block_gains(live, seeds, blocked=nodes[:i] + nodes[i + 1 :]).groupBy("node").agg(F.sum("gain").alias("gain"))
-            order = W.orderBy(F.col("gain").desc(), "node")
-            rows = {r["node"]: r["gain"] for r in totals.withColumn("r", F.row_number().over(order)).where((F.col("r") == 1) | (F.col("node") == nodes[i])).collect()}
+            totals = checkpoint(totals)
+            rows = {r["node"]: r["gain"] for r in top(totals, 1, F.col("gain").desc(), F.col("node")).union(totals.where(F.col("node") == nodes[i])).collect()}
             node = max(rows, key=lambda v: (rows[v], -v), default=nodes[i])
             now = rows.get(nodes[i], 0)
             own[i] = now

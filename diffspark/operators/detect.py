@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from diffspark.functions.lineage import checkpoint
 from diffspark.operators.graph import induced, pairwise_hops
 
 SCORES = "sim_id long, node long, score double"
@@ -153,11 +154,13 @@ def monte_carlo(train: DataFrame, sims: DataFrame, snapshots: DataFrame, n_nodes
     seen = seen.select("source", "node", "sims", "c1", "c2", log_s.alias("log_s"))
     rest = F.log((F.col("sims") + 1) / (F.col("sims") + 3))
     whole = seen.groupBy("source", "sims").agg(F.sum("log_s").alias("known"), F.count("*").alias("k"))
-    whole = whole.select(F.col("source").alias("candidate"), "sims", (F.col("known") + (n_nodes - F.col("k")) * rest).alias("all_s"))
+    whole = whole.select(F.col("source").alias("candidate"), "sims", (F.coalesce("known", F.lit(0.0)) + (n_nodes - F.col("k")) * rest).alias("all_s"))
     pairs = snapshots.select("sim_id", F.col("node").alias("candidate")).join(whole, "candidate")
     cells = pairs.join(snapshots, "sim_id").join(seen.select(F.col("source").alias("candidate"), "node", "c1", "c2", "log_s"), ["candidate", "node"], "left")
     count = F.coalesce(F.when(F.col("state") == 1, F.col("c1")).otherwise(F.col("c2")), F.lit(0))
-    gain = F.log((count + 1) / (F.col("sims") + 3)) - F.coalesce("log_s", rest)
+    # A candidate's own susceptible count leaves nothing (log 0), which the sum over known nodes has left out.
+    known = F.when(F.col("c1").isNotNull(), F.coalesce("log_s", F.lit(0.0))).otherwise(rest)
+    gain = F.log((count + 1) / (F.col("sims") + 3)) - known
     return cells.groupBy("sim_id", F.col("candidate").alias("node")).agg((F.first("all_s") + F.sum(gain)).alias("score"))
 
 
@@ -175,6 +178,32 @@ def soft_margin(train: DataFrame, snapshots: DataFrame, *, width: float = 0.5) -
     return out.join(snapshots.select("sim_id", "node"), ["sim_id", "node"], "left_semi")
 
 
+def soft_margin_sweep(train: DataFrame, snapshots: DataFrame, *, widths: int = 15, jump: float = 0.05) -> DataFrame:
+    """Log of the mean kernel of ``soft_margin``, with the narrowest width of 2^-1, 2^-2, ... that still gives a stable estimate: sim_id, node, score.
+
+    Widths are tried from the widest on. The search ends, and keeps the width before, where all kernels vanish, or where the best source stays and its share of the sum moves by more than ``jump``; and it ends behind a width at which even the best source has next to nothing.
+    """
+    sizes = train.groupBy("source", "sim").agg(F.count("*").alias("size"))
+    own = snapshots.groupBy("sim_id").agg(F.count("*").alias("n_inf"))
+    common = snapshots.select("sim_id", "node").join(train, "node").groupBy("sim_id", "source", "sim").agg(F.count("*").alias("common"))
+    j = F.col("common") / (F.col("size") + F.col("n_inf") - F.col("common"))
+    met = common.join(sizes, ["source", "sim"]).join(own, "sim_id").select("sim_id", "source", j.alias("j"))
+    a = F.pow(F.lit(0.5), F.col("k"))
+    tried = met.select("sim_id", "source", "j", F.explode(F.sequence(F.lit(1), F.lit(widths))).alias("k"))
+    sums = tried.groupBy("sim_id", "source", "k").agg(F.sum(F.exp(-((F.col("j") - 1) ** 2) / (a * a))).alias("s"), F.count("*").alias("met"))
+    grid = own.select("sim_id").crossJoin(sizes.groupBy("source").agg(F.count("*").alias("n"))).select("*", F.explode(F.sequence(F.lit(1), F.lit(widths))).alias("k"))
+    value = (F.coalesce("s", F.lit(0.0)) + (F.col("n") - F.coalesce("met", F.lit(0))) * F.exp(-1 / (a * a))) / F.col("n")
+    per = checkpoint(grid.join(sums, ["sim_id", "source", "k"], "left").select("sim_id", "source", "k", value.alias("v")))
+    tops = per.groupBy("sim_id", "k").agg(F.sum("v").alias("total"), F.max("v").alias("best"), F.max(F.struct(F.round("v", 12).alias("r"), (-F.col("source")).alias("m"), "v")).alias("top"))
+    order = W.partitionBy("sim_id").orderBy("k")
+    tops = tops.select("sim_id", "k", "total", "best", F.col("top.m").alias("m"), F.try_divide("top.v", "total").alias("p"))
+    moved = (F.col("m") == F.lag("m").over(order)) & (F.abs(F.col("p") - F.lag("p").over(order)) > jump)
+    stop = ~F.coalesce(F.col("total") > 0, F.lit(False)) | F.coalesce(moved, F.lit(False)) | F.coalesce(F.lag("best").over(order) < 1e-12, F.lit(False))
+    picked = tops.withColumn("stop", stop).groupBy("sim_id").agg((F.coalesce(F.min(F.when(F.col("stop"), F.col("k"))), F.lit(widths + 1)) - 1).alias("k"))
+    out = per.join(picked, ["sim_id", "k"]).select("sim_id", F.col("source").alias("node"), F.log(F.greatest("v", F.lit(1e-300))).alias("score"))
+    return out.join(snapshots.select("sim_id", "node"), ["sim_id", "node"], "left_semi")
+
+
 def combined(monte: DataFrame, central: DataFrame, weight: float = 0.5) -> DataFrame:
     """Monte Carlo score plus ``weight`` times the Jordan score less its largest."""
     top = F.max("c").over(W.partitionBy("sim_id"))

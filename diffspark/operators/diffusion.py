@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,14 +113,14 @@ def competing(live: DataFrame, bad: DataFrame, good: DataFrame, samples: int, *,
     return state
 
 
-def episodes(arcs: DataFrame, cascades: DataFrame, *, seed: int = 7, max_rounds: int = 60, blocked: DataFrame | None = None, throttled: DataFrame | None = None) -> DataFrame:
+def episodes(arcs: DataFrame, cascades: DataFrame, *, seed: int = 7, max_rounds: int | None = 60, blocked: DataFrame | None = None, throttled: DataFrame | None = None) -> DataFrame:
     """Activations of ``cascades(cascade, kappa, node)`` round by round: cascade, node, round.
 
-    An arc is live if its uniform, fixed for the cascade, is below min(1, kappa * p), times rho of its source where ``throttled(cascade, node, rho)`` has it; ``blocked(cascade, node, from_round)`` keeps nodes out from a round on. All policies on one cascade share their coins.
+    An arc is live if its uniform, fixed for the cascade, is below min(1, kappa * p), times rho of its source where ``throttled(cascade, node, rho)`` has it; ``blocked(cascade, node, from_round)`` keeps nodes out from a round on. ``max_rounds`` None: until nothing new is hit. All policies on one cascade share their coins.
     """
     kappa = cascades.select("cascade", "kappa").distinct()
     state = front = checkpoint(cascades.select("cascade", "node", F.lit(0).alias("round")))
-    for turn in range(1, max_rounds + 1):
+    for turn in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
         step = front.select("cascade", F.col("node").alias("src")).join(arcs, "src").join(kappa, "cascade")
         rate = F.least(F.lit(1.0), F.col("kappa") * F.col("p"))
         if throttled is not None:

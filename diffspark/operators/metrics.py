@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from diffspark.functions.rng import uniform
+from diffspark.operators.graph import reach
 
 
 def instance_metrics(scores: DataFrame, truth: DataFrame, *, ks: tuple[int, ...] = (1, 3, 5), level: float = 0.9) -> DataFrame:
@@ -37,6 +38,33 @@ def estimates(scores: DataFrame, *, seed: int = 7) -> DataFrame:
     return scores.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("sim_id", "node")
 
 
+def error_distance(edges: DataFrame, estimates: DataFrame, truth: DataFrame) -> DataFrame:
+    """Hops between each outbreak's true source and ``estimates(sim_id, node)``: sim_id, error_distance (-1 where there is no path). All outbreaks are searched together."""
+    hops = reach(edges, truth.select("sim_id", F.col("source").alias("node")), keys=["sim_id"])
+    return estimates.join(hops, ["sim_id", "node"], "left").select("sim_id", F.coalesce("dist", F.lit(-1)).alias("error_distance"))
+
+
+def saved_fraction(live: DataFrame, seeds: DataFrame, samples: int, ranking: DataFrame, budgets: list[int], n: int) -> DataFrame:
+    """What blocking the first nodes of ``ranking(node, rank)`` saves, for each budget: budget, base, after (mean reach without and with it), saved_frac, bad_frac (of all ``n`` nodes). All budgets advance together."""
+    cases = live.sparkSession.createDataFrame([(b,) for b in sorted({0, *budgets})], "budget int")
+    starts = seeds.select("node").crossJoin(cases).select("budget", "node", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
+    gone = ranking.join(cases, F.col("rank") <= F.col("budget")).select("budget", F.col("node").alias("dst"))
+    arcs = live.crossJoin(F.broadcast(cases)).join(gone, ["budget", "dst"], "left_anti")
+    counts = reach(arcs, starts, keys=["budget", "sample"]).groupBy("budget").agg((F.count("*") / samples).alias("after"))
+    base = counts.where("budget = 0").select(F.col("after").alias("base"))
+    return counts.where("budget > 0").crossJoin(base).select("budget", "base", "after", (1 - F.col("after") / F.col("base")).alias("saved_frac"), (F.col("after") / n).alias("bad_frac"))
+
+
+def typical(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Median, 90th percentile (interpolated) and number of values, by group."""
+    return rows.groupBy(*by).agg(F.median(value).alias("median"), F.percentile(value, 0.9).alias("p90"), F.count(value).alias("n"))
+
+
+def line_fit(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
+    """Sample covariance of two columns and the slope of the least-squares line of ``y`` over ``x``, by group."""
+    return rows.groupBy(*by).agg(F.covar_samp(y, x).alias("cov"), F.regr_slope(y, x).alias("slope"))
+
+
 def summary(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Mean and standard error of each column, by group: n, <c>, <c>_se; the error of a single row is 0."""
     out = []

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from diffspark.functions.lineage import checkpoint
+from diffspark.functions.rng import uniform
+from diffspark.sources.graphs import numbered
+
 CAP, FLOOR = 1 - 1e-12, 1e-300
 
 
@@ -26,11 +30,11 @@ def exposures(arcs: DataFrame, activations: DataFrame, grid: list[float]) -> Dat
     met = front.join(arcs, "src")
     when = activations.select("cascade", F.col("node").alias("dst"), F.col("round").alias("hit_round"))
     open_ = met.join(when, ["cascade", "dst"], "left").where(F.col("hit_round").isNull() | (F.col("hit_round") >= F.col("round")))
-    factors = F.explode(F.array(*(F.struct(F.lit(k).alias("k_idx"), F.lit(float(x)).alias("factor")) for k, x in enumerate([1.0, *grid])))).alias("f")
-    open_ = open_.select("cascade", "round", "dst", "p", "hit_round", factors).select("*", "f.*")
-    rate = F.least(F.lit(CAP), F.least(F.lit(1.0), F.col("factor") * F.col("p")))
+    # One sum for each factor; rows for them only after the aggregation.
+    sums = [F.sum(F.log1p(-F.least(F.lit(CAP), float(x) * F.col("p")))).alias(f"_{k}") for k, x in enumerate([1.0, *grid])]
     hit = F.max((F.coalesce(F.col("hit_round"), F.lit(-1)) == F.col("round")).cast("int"))
-    return open_.groupBy("cascade", "round", F.col("dst").alias("node"), "k_idx").agg(F.sum(F.log1p(-rate)).alias("log1mq"), hit.alias("outcome"))
+    per = open_.groupBy("cascade", "round", F.col("dst").alias("node")).agg(hit.alias("outcome"), *sums)
+    return per.select("cascade", "round", "node", F.posexplode(F.array(*(f"_{k}" for k in range(len(sums))))).alias("k_idx", "log1mq"), "outcome")
 
 
 def round_evidence(exposure: DataFrame) -> DataFrame:
@@ -90,8 +94,9 @@ def alarms(statistic: DataFrame, column: str, threshold: float, *, strict: bool
 def calibrated_threshold(statistic: DataFrame, column: str, alpha: float) -> DataFrame:
     """One row: threshold, the ceil((m + 1)(1 - alpha))-th smallest of the m cascades' largest values (the largest at most)."""
     best = statistic.groupBy("cascade").agg(F.max(column).alias("v"))
-    ranked = best.select("v", F.row_number().over(W.orderBy("v", "cascade")).alias("r"), F.count("*").over(W.partitionBy()).alias("m"))
-    return ranked.where(F.col("r") == F.least(F.col("m"), F.ceil((F.col("m") + 1) * (1 - alpha)))).select(F.col("v").alias("threshold"))
+    m = best.count()
+    rank = min(m, math.ceil(round((m + 1) * (1 - alpha), 9)))
+    return numbered(best, "v", "cascade").where(F.col("number") == rank - 1).select(F.col("v").alias("threshold"))
 
 
 def features(activations: DataFrame, last_round: int) -> DataFrame:
@@ -127,11 +132,37 @@ def exposure_mass(arcs: DataFrame, frontier: DataFrame, kappa: float = 1.0) -> D
 
 def e_benjamini_hochberg(evalues: DataFrame, alpha: float, *, m_total: int | None = None, weight: str | None = None) -> DataFrame:
     """Rejected cascades of ``evalues(cascade, e[, weight])``: the k largest weighted values, k the largest with the k-th value at least m / (k alpha). m is the number of candidates unless ``m_total`` says otherwise; weights are normalised to mean 1."""
-    w = F.lit(1.0) if weight is None else F.col(weight) / F.avg(weight).over(W.partitionBy())
-    rows = evalues.select("cascade", (F.col("e") * w).alias("we"))
-    rows = rows.withColumn("k", F.row_number().over(W.orderBy(F.col("we").desc(), "cascade"))).withColumn("m", F.count("*").over(W.partitionBy()) if m_total is None else F.lit(m_total))
-    most = F.max(F.when(F.col("we") >= F.col("m") / (F.col("k") * alpha), F.col("k"))).over(W.partitionBy())
-    return rows.withColumn("most", most).where(F.col("k") <= F.col("most")).select("cascade", "we", "k")
+    w = F.lit(1.0)
+    if weight is not None:
+        w = F.col(weight) / F.lit(evalues.agg(F.avg(weight)).first()[0] or 1.0)
+    rows = checkpoint(numbered(evalues.select("cascade", (F.col("e") * w).alias("we")), F.col("we").desc(), F.col("cascade")).withColumn("k", F.col("number") + 1))
+    m = rows.count() if m_total is None else m_total
+    most = rows.where(F.col("we") >= m / (F.col("k") * alpha)).agg(F.max("k")).first()[0] or 0
+    return rows.where(F.col("k") <= most).select("cascade", "we", "k")
+
+
+def gated(rows: DataFrame, statistic: DataFrame, column: str, alpha: float) -> DataFrame:
+    """The rows of cascades whose latest ``statistic(cascade, round, column)`` is at log(1 / alpha) or above; all rows if ``alpha`` is 1 or more."""
+    if alpha >= 1:
+        return rows
+    now = statistic.groupBy("cascade").agg(F.max_by(column, "round").alias("_now")).where(F.col("_now") >= math.log(1 / alpha))
+    return rows.join(now.select("cascade"), "cascade", "left_semi")
+
+
+def throttle_uniform(rows: DataFrame, rho: float) -> DataFrame:
+    """All nodes at risk, slowed down alike: cascade, node, rho."""
+    return rows.select("cascade", "node", F.lit(rho).alias("rho"))
+
+
+def throttle_at_random(rows: DataFrame, fraction: float, *, seed: int = 7, mass: str = "mass") -> DataFrame:
+    """As ``throttle_by_weight``, in an order drawn by hash."""
+    return throttle_by_weight(rows.withColumn("_drawn", uniform(seed, F.lit("throttle"), "cascade", "node")), fraction, weight="_drawn", mass=mass)
+
+
+def frontier_harm(arcs: DataFrame, frontier: DataFrame, active: DataFrame, kappa: DataFrame) -> DataFrame:
+    """Expected activations of the next round under ``kappa(cascade, kappa_hat)``: cascade, harm. Arcs into active nodes don't count."""
+    near = frontier.withColumnRenamed("node", "src").join(arcs, "src").withColumnRenamed("dst", "node").join(active.select("cascade", "node"), ["cascade", "node"], "left_anti")
+    return near.join(kappa, "cascade").groupBy("cascade").agg(F.sum(F.least(F.lit(1.0), F.col("kappa_hat") * F.col("p"))).alias("harm"))
 
 
 def harm_at_alarm(arcs: DataFrame, activations: DataFrame, alarm: DataFrame, kappa: DataFrame) -> DataFrame:
@@ -148,4 +179,4 @@ def commit_exposed(arcs: DataFrame, frontier: DataFrame, plan: DataFrame, active
     q = near.groupBy("cascade", "node").agg((-F.expm1(F.sum(F.log1p(-F.least(F.lit(CAP), F.col("p")))))).alias("q"))
     beyond = q.withColumnRenamed("node", "src").join(arcs, "src").withColumnRenamed("dst", "node").join(active.select("cascade", "node"), ["cascade", "node"], "left_anti")
     c = beyond.groupBy("cascade", F.col("src").alias("node")).agg(F.count("*").alias("c"))
-    return q.join(c, ["cascade", "node"], "left").na.fill(0, ["c"]).where(F.col("q") * (F.col("c") + 1 / worth) >= 1).select("cascade", "node", "q", "c")
+    return q.join(c, ["cascade", "node"], "left").na.fill(0, ["c"]).where(F.col("q") * (F.col("c") + 1 / worth) >= 1 - 1e-9).select("cascade", "node", "q", "c")

@@ -18,14 +18,22 @@ from diffspark.sources import graphs
 SEED = 7
 THETA = 32
 EDGES = """contact AS (
-  SELECT DISTINCT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  WHERE l_linenumber = 1 AND l_quantity >= 45),
+  SELECT DISTINCT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 edges AS (SELECT a AS src, b AS dst FROM contact UNION ALL SELECT b, a FROM contact),
 deg AS (SELECT src AS node, count(*) AS deg FROM edges GROUP BY src)"""
 START = "start AS (SELECT node FROM deg ORDER BY deg DESC, node LIMIT 1)"
 WC = "arcs AS (SELECT e.src, e.dst, 1.0::DOUBLE / d.deg AS p FROM edges e JOIN deg d ON d.node = e.dst)"
 
 
+def hops_sql(name: str, starts: str, arcs: str = "edges", keys: tuple[str, ...] = (), count: str = "dist") -> str:
+    """Breadth-first hops by a recursive table that keeps one row for each key and node."""
+    own = "".join(f"{k}, " for k in keys)
+    same = "".join(f" AND r.{k} = f.{k}" for k in keys)
+    met = "".join(f" AND a.{k} = f.{k}" for k in keys) if arcs != "edges" else ""
+    return f"""{name}({own}node, {count}) USING KEY ({own}node) AS (SELECT {own}node, 0 FROM {starts}
+  UNION SELECT {"".join(f"f.{k}, " for k in keys)}a.dst, f.{count} + 1 FROM {name} f JOIN {arcs} a ON a.src = f.node{met} WHERE NOT EXISTS (SELECT 1 FROM recurring.{name} r WHERE r.node = a.dst{same}))"""
+
+
 def live_sql(theta: int) -> str:
     return f"live AS (SELECT s.sample, a.src, a.dst FROM arcs a, (SELECT unnest(range({theta})) AS sample) s WHERE {uniform_sql(SEED, 's.sample', 'a.src', 'a.dst')} < a.p)"
 
@@ -69,9 +77,13 @@ def relabel(spark, sf_dir):
     return named.where("src <> dst")
 
 
+# Each node's least label within 12 hops; the contact graph's components are far less wide.
+_LABELS = ",\n".join(["c0 AS (SELECT node, node AS label FROM deg)"] + [f"c{i + 1} AS MATERIALIZED (SELECT c.node, least(c.label, min(o.label)) AS label FROM c{i} c JOIN edges e ON e.src = c.node JOIN c{i} o ON o.node = e.dst GROUP BY c.node, c.label)" for i in range(12)])
+
+
 @query("graph_stats", f"""WITH RECURSIVE {EDGES},
-walk AS (SELECT node, node AS seen FROM deg UNION SELECT w.node, e.dst FROM walk w JOIN edges e ON e.src = w.seen),
-comp AS (SELECT node, min(seen) AS component FROM walk GROUP BY node),
+{_LABELS},
+comp AS (SELECT node, label AS component FROM c12),
 sizes AS (SELECT component, count(*) AS size FROM comp GROUP BY component)
 SELECT (SELECT count(*) FROM deg) AS n, (SELECT CAST(sum(deg) / 2 AS BIGINT) FROM deg) AS m, (SELECT avg(deg) FROM deg) AS avg_degree,
        count(*) AS n_components, max(size) AS lcc FROM sizes""")
@@ -79,20 +91,16 @@ def graph_stats(spark, sf_dir):
     return graph.graph_stats(edges_of(spark, sf_dir))
 
 
-@query("bfs_hops", f"""WITH RECURSIVE {EDGES}, {START},
-walk AS (SELECT node, 0 AS dist FROM start UNION SELECT e.dst, w.dist + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.dist < 30)
-SELECT node, min(dist) AS dist FROM walk GROUP BY node""")
+@query("bfs_hops", f"WITH RECURSIVE {EDGES}, {START}, {hops_sql('walk', 'start')} SELECT node, dist FROM walk")
 def bfs_hops(spark, sf_dir):
     edges = edges_of(spark, sf_dir)
-    return graph.reach(edges, hub(edges), max_depth=30)
+    return graph.reach(edges, hub(edges))
 
 
-@query("multi_source_hops", f"""WITH RECURSIVE {EDGES}, start AS (SELECT node FROM deg ORDER BY deg DESC, node LIMIT 5),
-walk AS (SELECT node, 0 AS dist FROM start UNION SELECT e.dst, w.dist + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.dist < 6)
-SELECT node, min(dist) AS dist FROM walk GROUP BY node""")
+@query("multi_source_hops", f"WITH RECURSIVE {EDGES}, start AS (SELECT node FROM deg ORDER BY deg DESC, node LIMIT 5), {hops_sql('walk', 'start')} SELECT node, dist FROM walk")
 def multi_source_hops(spark, sf_dir):
     edges = edges_of(spark, sf_dir)
-    return graph.reach(edges, hub(edges, 5), max_depth=6)
+    return graph.reach(edges, hub(edges, 5))
 
 
 _RANKS = ",\n".join(["r0 AS (SELECT node, 1.0::DOUBLE / count(*) OVER () AS rank FROM deg)"] + [f"r{i + 1} AS (SELECT e.dst AS node, 0.15::DOUBLE / (SELECT count(*) FROM deg) + 0.85::DOUBLE * sum(r.rank / d.deg) AS rank FROM edges e JOIN r{i} r ON r.node = e.src JOIN deg d ON d.node = e.src GROUP BY e.dst)" for i in range(10)])
@@ -168,9 +176,8 @@ def pagerank_blocker(spark, sf_dir):
 
 
 @query("proximity_blocker", f"""WITH RECURSIVE {EDGES}, {START},
-walk AS (SELECT node, 0 AS dist FROM start UNION SELECT e.dst, w.dist + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.dist < 30),
-hops AS (SELECT node, min(dist) AS dist FROM walk GROUP BY node)
-SELECT h.node, h.dist, d.deg FROM hops h JOIN deg d ON d.node = h.node WHERE h.dist > 0 ORDER BY h.dist, d.deg DESC, h.node LIMIT 10""")
+{hops_sql('walk', 'start')}
+SELECT h.node, h.dist, d.deg FROM walk h JOIN deg d ON d.node = h.node WHERE h.dist > 0 ORDER BY h.dist, d.deg DESC, h.node LIMIT 10""")
 def proximity_blocker(spark, sf_dir):
     edges = edges_of(spark, sf_dir)
     return blocking.proximity_blocker(edges, hub(edges), 10)
@@ -224,7 +231,20 @@ def isolation_gains(spark, sf_dir):
     return blocking.isolation(live, start, arcs, 8).withColumn("cost", F.col("cost").cast("long"))
 
 
-@query("ag_plan")
+def picks_sql(theta: int, k: int) -> str:
+    """Greedy picks p1 to pk, each by what blocking it would save in the worlds that the picks before leave; z1 to zk: sizes of these worlds' reach."""
+    parts = [f"WITH RECURSIVE {EDGES}, {START}, {WC}, {live_sql(theta)}, worlds AS (SELECT unnest(range({theta})) AS sample), l1 AS (SELECT * FROM live)"]
+    for i in range(1, k + 1):
+        parts.append(f"""r{i} AS (SELECT s.sample, start.node FROM start, worlds s UNION SELECT l.sample, l.dst FROM r{i} r JOIN l{i} l ON l.sample = r.sample AND l.src = r.node),
+w{i} AS (SELECT r.sample, r.node AS cut, start.node FROM r{i} r, start WHERE r.node <> start.node UNION SELECT w.sample, w.cut, l.dst FROM w{i} w JOIN l{i} l ON l.sample = w.sample AND l.src = w.node AND l.dst <> w.cut),
+z{i} AS (SELECT sample, count(*) AS n FROM r{i} GROUP BY sample),
+g{i} AS (SELECT w.sample, w.cut, s.n - count(*) AS gain FROM w{i} w JOIN z{i} s ON s.sample = w.sample GROUP BY w.sample, w.cut, s.n),
+p{i} AS MATERIALIZED (SELECT cut AS node, CAST(sum(gain) AS BIGINT) AS gain FROM g{i} GROUP BY cut ORDER BY gain DESC, cut LIMIT 1),
+l{i + 1} AS MATERIALIZED (SELECT * FROM l{i} WHERE src NOT IN (SELECT node FROM p{i}) AND dst NOT IN (SELECT node FROM p{i}))""")
+    return ",\n".join(parts)
+
+
+@query("ag_plan", picks_sql(THETA, 4) + " " + " UNION ALL ".join(f"SELECT {i} AS rank, node, gain FROM p{i} WHERE gain > 0" for i in range(1, 5)))
 def ag_plan(spark, sf_dir):
     _, _, live, start = worlds_of(spark, sf_dir)
     return blocking.advanced_greedy(live, start, THETA, 4)
@@ -236,12 +256,65 @@ def gr_plan(spark, sf_dir):
     return blocking.greedy_replace(live, start, THETA, 3)
 
 
-@query("coverage_plan")
+def coverage_sql(theta: int, k: int) -> str:
+    parts = [picks_sql(theta, 1), """d1 AS MATERIALIZED (SELECT c.sample, c.node, v.node AS covered FROM r1 c JOIN r1 v ON v.sample = c.sample
+  WHERE c.node NOT IN (SELECT node FROM start) AND v.node NOT IN (SELECT node FROM start) AND NOT EXISTS (SELECT 1 FROM w1 w WHERE w.sample = c.sample AND w.cut = c.node AND w.node = v.node))"""]
+    for i in range(1, k + 1):
+        parts.append(f"""b{i} AS MATERIALIZED (SELECT node, count(*) AS gain FROM d{i} GROUP BY node ORDER BY gain DESC, node LIMIT 1),
+d{i + 1} AS MATERIALIZED (SELECT * FROM d{i} p WHERE NOT EXISTS (SELECT 1 FROM d{i} q, b{i} b WHERE q.node = b.node AND q.sample = p.sample AND q.covered = p.covered))""")
+    return ",\n".join(parts) + " " + " UNION ALL ".join(f"SELECT {i} AS rank, node, gain FROM b{i}" for i in range(1, k + 1))
+
+
+@query("coverage_plan", coverage_sql(THETA, 4))
 def coverage_plan(spark, sf_dir):
     _, _, live, start = worlds_of(spark, sf_dir)
     return blocking.max_coverage(live, start, THETA, 4)
 
 
+@query("cross_validated_pick", _first_pick_sql(16) + """, h AS (SELECT cut, coalesce(sum(gain) FILTER (WHERE sample < 8), 0) AS a, coalesce(sum(gain) FILTER (WHERE sample >= 8), 0) AS b FROM gains GROUP BY cut),
+short AS (SELECT * FROM h ORDER BY a DESC, cut LIMIT 10) SELECT 1 AS rank, cut AS node, CAST(b AS DOUBLE) AS gain FROM short ORDER BY b DESC, cut LIMIT 1""")
+def cross_validated_pick(spark, sf_dir):
+    _, _, live, start = worlds_of(spark, sf_dir, 16)
+    return blocking.advanced_greedy(live, start, 16, 1, score=blocking.cross_validated(10))
+
+
+@query("control_variate_gains", _first_pick_sql(16) + """, near AS (SELECT a.dst AS node, a.p AS q FROM arcs a JOIN start ON a.src = start.node),
+hit AS (SELECT l.sample, l.dst AS node FROM live l JOIN start ON l.src = start.node),
+tot AS (SELECT cut AS node, sum(gain) AS g FROM gains GROUP BY cut),
+m AS (SELECT n.node, n.q, coalesce(t.g, 0) AS g, (SELECT count(*) FROM hit h WHERE h.node = n.node) AS h,
+  coalesce((SELECT sum(x.gain) FROM gains x JOIN hit h ON h.sample = x.sample AND h.node = x.cut WHERE x.cut = n.node), 0) AS gh FROM near n LEFT JOIN tot t ON t.node = n.node),
+s AS (SELECT *, (gh - g * h / 16.0::DOUBLE) / 15.0::DOUBLE AS cov, (h - h * h / 16.0::DOUBLE) / 15.0::DOUBLE AS var FROM m),
+f AS (SELECT *, (16.0::DOUBLE * CASE WHEN var > 0 THEN cov / var ELSE 0 END + 5.0::DOUBLE * (SELECT sum(cov) / greatest(sum(var), 1e-12::DOUBLE) FROM s)) / 21.0::DOUBLE AS slope FROM s)
+SELECT node, round(greatest(0.0::DOUBLE, g / 16.0::DOUBLE - slope * (h / 16.0::DOUBLE - q)), 6) AS gain FROM f
+UNION ALL SELECT node, round(g / 16.0::DOUBLE, 6) FROM tot WHERE node NOT IN (SELECT node FROM near)""")
+def control_variate_gains(spark, sf_dir):
+    _, arcs, live, start = worlds_of(spark, sf_dir, 16)
+    return blocking.control_variate_gains(live, start, arcs, 16).withColumn("gain", F.round("gain", 6))
+
+
+@query("cost_aware_plan")
+def cost_aware_plan(spark, sf_dir):
+    """Moves against a strong spread from the node of least degree, whose neighbours may all be blocked at once."""
+    edges = edges_of(spark, sf_dir)
+    arcs = checkpoint(diffusion.scaled(diffusion.edge_probabilities(edges, "wc"), 200.0))
+    start = checkpoint(graph.top(graph.degrees(edges), 1, F.col("deg"), F.col("node")).select("node"))
+    return blocking.cost_aware_plan(checkpoint(diffusion.live_arcs(arcs, 8, seed=SEED)), start, arcs, 8, 16)
+
+
+_SAVED = """WITH RECURSIVE """ + f"{EDGES}, {START}, {WC}, {live_sql(THETA)}, order_of AS (SELECT node, row_number() OVER (ORDER BY deg DESC, node) AS r FROM deg WHERE node NOT IN (SELECT node FROM start))," + f"""
+plans AS (SELECT b AS budget, s.sample FROM (VALUES (0), (1), (3), (5)) v(b), (SELECT unnest(range({THETA})) AS sample) s),
+reach AS (SELECT p.budget, p.sample, start.node FROM plans p, start UNION SELECT r.budget, r.sample, l.dst FROM reach r JOIN live l ON l.sample = r.sample AND l.src = r.node JOIN deg d ON d.node = l.dst LEFT JOIN order_of o ON o.node = l.dst WHERE o.r IS NULL OR o.r > r.budget),
+spread AS (SELECT budget, count(*) / {THETA}.0::DOUBLE AS after FROM reach GROUP BY budget)
+SELECT CAST(a.budget AS INTEGER) AS budget, b.after AS base, a.after, 1 - a.after / b.after AS saved_frac, a.after / (SELECT count(*) FROM deg) AS bad_frac FROM spread a, spread b WHERE b.budget = 0 AND a.budget > 0"""
+
+
+@query("saved_fraction", _SAVED)
+def saved_fraction(spark, sf_dir):
+    edges, _, live, start = worlds_of(spark, sf_dir)
+    ranking = blocking.degree_blocker(edges, start, 5).withColumn("rank", F.row_number().over(W.orderBy(F.col("deg").desc(), "node")))
+    return metrics.saved_fraction(live, start, THETA, ranking, [1, 3, 5], graph.degrees(edges).count())
+
+
 @query("swap_plan")
 def swap_plan(spark, sf_dir):
     edges, _, live, start = worlds_of(spark, sf_dir)
@@ -249,7 +322,7 @@ def swap_plan(spark, sf_dir):
     return blocking.best_swaps(live, start, THETA, first)
 
 
-@query("removal_plan")
+@query("removal_plan", picks_sql(8, 2) + " " + " UNION ALL ".join(f"SELECT {i} AS rank, node, CAST((SELECT sum(n) FROM z{i}) - gain AS BIGINT) AS spread FROM p{i}" for i in (1, 2)))
 def removal_plan(spark, sf_dir):
     _, _, live, start = worlds_of(spark, sf_dir, 8)
     return blocking.greedy_by_removal(live, start, 8, 2)
@@ -264,9 +337,9 @@ def world_cuts(spark, sf_dir):
 
 
 # Epidemics and source detection: 2 outbreaks from each of the 6 largest hubs, with their infected seen at a time.
-SIMS, BETA, HORIZON = 2, 1.3, 0.85
+SIMS, BETA, HORIZON = 2, 0.02, 0.85
 _REC = f"(-ln(1 - {uniform_sql(SEED, chr(39) + 'rec' + chr(39), '{s}.sim_id', '{s}.node')}))"
-_DELAY = f"(-ln(1 - {uniform_sql(SEED, chr(39) + 'arc' + chr(39), 'w.sim_id', 'e.src', 'e.dst')}) / 1.3::DOUBLE)"
+_DELAY = f"(-ln(1 - {uniform_sql(SEED, chr(39) + 'arc' + chr(39), 'w.sim_id', 'e.src', 'e.dst')}) / {BETA}::DOUBLE)"
 SIR = f"""hubs AS (SELECT node FROM deg ORDER BY deg DESC, node LIMIT 6),
 truth AS (SELECT node * {SIMS} + s AS sim_id, node AS source FROM hubs, (SELECT unnest(range({SIMS})) AS s)),
 walk AS (SELECT sim_id, source AS node, 0.0::DOUBLE AS t FROM truth
@@ -315,8 +388,8 @@ def source_degree(spark, sf_dir):
 
 _HOPS = f"""WITH RECURSIVE {EDGES}, {SIR},
 inner_arcs AS (SELECT a.sim_id, e.src, e.dst FROM snap a JOIN edges e ON e.src = a.node JOIN snap b ON b.sim_id = a.sim_id AND b.node = e.dst),
-hop AS (SELECT sim_id, node AS root, node, 0 AS dist FROM snap UNION SELECT h.sim_id, h.root, i.dst, h.dist + 1 FROM hop h JOIN inner_arcs i ON i.sim_id = h.sim_id AND i.src = h.node WHERE h.dist < 20),
-near AS (SELECT sim_id, root, node, min(dist) AS dist FROM hop GROUP BY sim_id, root, node),
+near(sim_id, root, node, dist) USING KEY (sim_id, root, node) AS (SELECT sim_id, node, node, 0 FROM snap UNION SELECT h.sim_id, h.root, i.dst, h.dist + 1 FROM near h JOIN inner_arcs i ON i.sim_id = h.sim_id AND i.src = h.node
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.near r WHERE r.sim_id = h.sim_id AND r.root = h.root AND r.node = i.dst)),
 per AS (SELECT n.sim_id, n.root AS node, max(dist) AS far, sum(dist) AS total, count(*) AS reached, (SELECT count(*) FROM snap s WHERE s.sim_id = n.sim_id) AS n_inf FROM near n GROUP BY n.sim_id, n.root)
 """
 
@@ -361,22 +434,55 @@ def training(spark, sf_dir, sims: int = 8):
     return edges, checkpoint(snap), train, runs.groupBy("source").agg(F.count("*").alias("sims")), graph.degrees(edges).count()
 
 
-@query("source_monte_carlo")
+_TRAIN = f"""{_HOPS}, pool AS (SELECT DISTINCT node FROM snap), drawn AS (SELECT node * 8 + s AS sim_id, node AS source FROM pool, (SELECT unnest(range(8)) AS s)),
+tw AS (SELECT sim_id, source AS node, 0.0::DOUBLE AS t FROM drawn
+  UNION SELECT w.sim_id, e.dst, w.t + {_DELAY.replace(f"'{SEED}'", f"'{SEED + 1}'")} FROM tw w JOIN edges e ON e.src = w.node
+  WHERE {_DELAY.replace(f"'{SEED}'", f"'{SEED + 1}'")} < {_REC.replace('{s}', 'w').replace(f"'{SEED}'", f"'{SEED + 1}'")} AND w.t + {_DELAY.replace(f"'{SEED}'", f"'{SEED + 1}'")} <= {HORIZON}),
+tt AS (SELECT w.sim_id, w.node, min(w.t) + {_REC.replace('{s}', 'w').replace(f"'{SEED}'", f"'{SEED + 1}'")} AS rec_time FROM tw w GROUP BY w.sim_id, w.node),
+train AS (SELECT d.source, t.sim_id AS sim, t.node, CASE WHEN t.rec_time <= {HORIZON} THEN 2 ELSE 1 END AS state FROM tt t JOIN drawn d ON d.sim_id = t.sim_id)"""
+_MONTE = """, seen AS (SELECT source, node, count(*) FILTER (WHERE state = 1) AS c1, count(*) FILTER (WHERE state = 2) AS c2 FROM train GROUP BY source, node),
+cells AS (SELECT c.sim_id, c.node AS cand, d.node, coalesce(o.state, 0) AS state, coalesce(s.c1, 0) AS c1, coalesce(s.c2, 0) AS c2
+  FROM snap c CROSS JOIN deg d LEFT JOIN snap o ON o.sim_id = c.sim_id AND o.node = d.node LEFT JOIN seen s ON s.source = c.node AND s.node = d.node),
+monte AS (SELECT sim_id, cand AS node, sum(ln((CASE state WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE 8 - c1 - c2 - CASE WHEN cand = node THEN 1 ELSE 0 END END + 1) / 11.0::DOUBLE)) AS score FROM cells GROUP BY sim_id, cand)"""
+
+
+@query("source_monte_carlo", _TRAIN + _MONTE + " SELECT sim_id, node, round(score, 6) AS score FROM monte")
 def source_monte_carlo(spark, sf_dir):
     _, snap, train, sims, n = training(spark, sf_dir)
-    return detect.monte_carlo(train, sims, snap, n)
+    return detect.monte_carlo(train, sims, snap, n).withColumn("score", F.round("score", 6))
+
+
+_SOFT = """, sizes AS (SELECT source, sim, count(*) AS size FROM train GROUP BY source, sim), own AS (SELECT sim_id, count(*) AS n_inf FROM snap GROUP BY sim_id),
+jac AS (SELECT z.source, z.sim, o.sim_id, c.common / (z.size + o.n_inf - c.common)::DOUBLE AS j FROM sizes z CROSS JOIN own o
+  LEFT JOIN (SELECT s.sim_id, t.source, t.sim, count(*) AS common FROM snap s JOIN train t ON t.node = s.node GROUP BY s.sim_id, t.source, t.sim) c ON c.sim_id = o.sim_id AND c.source = z.source AND c.sim = z.sim)"""
 
 
-@query("source_soft_margin")
+@query("source_soft_margin", _TRAIN + _SOFT + " SELECT j.sim_id, j.source AS node, round(avg(exp(-pow(coalesce(j, 0) - 1, 2) / 0.25::DOUBLE)), 9) AS score FROM jac j JOIN snap s ON s.sim_id = j.sim_id AND s.node = j.source WHERE EXISTS (SELECT 1 FROM jac k WHERE k.sim_id = j.sim_id AND k.source = j.source AND k.j IS NOT NULL) GROUP BY j.sim_id, j.source")
 def source_soft_margin(spark, sf_dir):
     _, snap, train, _, _ = training(spark, sf_dir)
-    return detect.soft_margin(train, snap)
+    return detect.soft_margin(train, snap).withColumn("score", F.round("score", 9))
+
+
+_SWEEP = """, widths AS (SELECT k, pow(0.5::DOUBLE, k) AS a FROM (SELECT unnest(range(1, 16)) AS k)),
+kern AS (SELECT sim_id, k, source, avg(exp(-pow(coalesce(j, 0) - 1, 2) / (a * a))) AS v FROM jac, widths GROUP BY sim_id, k, source, a),
+norm AS (SELECT *, v / sum(v) OVER (PARTITION BY sim_id, k) AS p, sum(v) OVER (PARTITION BY sim_id, k) AS total FROM kern),
+tops AS (SELECT sim_id, k, total, arg_max(source, (round(v, 12), -source)) AS m, max(v) AS best FROM norm GROUP BY sim_id, k, total),
+topp AS (SELECT t.*, n.p FROM tops t LEFT JOIN norm n ON n.sim_id = t.sim_id AND n.k = t.k AND n.source = t.m),
+marks AS (SELECT *, NOT coalesce(total > 0, FALSE) OR coalesce(m = lag(m) OVER w AND abs(p - lag(p) OVER w) > 0.05, FALSE) OR coalesce(lag(best) OVER w < 1e-12, FALSE) AS stop FROM topp WINDOW w AS (PARTITION BY sim_id ORDER BY k)),
+pick AS (SELECT sim_id, coalesce(min(k) FILTER (WHERE stop), 16) - 1 AS k FROM marks GROUP BY sim_id)"""
+
+
+@query("source_soft_margin_sweep", _TRAIN + _SOFT + _SWEEP + " SELECT n.sim_id, n.source AS node, round(ln(greatest(n.v, 1e-300::DOUBLE)), 6) AS score FROM norm n JOIN pick q ON q.sim_id = n.sim_id AND q.k = n.k JOIN snap s ON s.sim_id = n.sim_id AND s.node = n.source")
+def source_soft_margin_sweep(spark, sf_dir):
+    _, snap, train, _, _ = training(spark, sf_dir)
+    return detect.soft_margin_sweep(train, snap).withColumn("score", F.round("score", 6))
 
 
-@query("source_combined")
+@query("source_combined", _TRAIN + _MONTE + """, jordan AS (SELECT sim_id, node, CAST(-(far + 1000 * (n_inf - reached)) AS DOUBLE) AS c FROM per)
+SELECT m.sim_id, m.node, round(m.score + 0.5 * (j.c - max(j.c) OVER (PARTITION BY m.sim_id)), 6) AS score FROM monte m JOIN jordan j ON j.sim_id = m.sim_id AND j.node = m.node""")
 def source_combined(spark, sf_dir):
     edges, snap, train, sims, n = training(spark, sf_dir)
-    return detect.combined(detect.monte_carlo(train, sims, snap, n), detect.jordan(edges, snap))
+    return detect.combined(detect.monte_carlo(train, sims, snap, n), detect.jordan(edges, snap)).withColumn("score", F.round("score", 6))
 
 
 _METRICS = _HOPS + """, scores AS (SELECT sim_id, node, CAST(-(total + 1000 * (n_inf - reached)) AS DOUBLE) AS score FROM per),
@@ -413,13 +519,20 @@ def map_estimate(spark, sf_dir):
     return metrics.estimates(detect.distance(edges, snap), seed=SEED)
 
 
-# Cascades: one from each of the 40 largest hubs; every second one spreads faster.
-N_CASCADES, ROUNDS = 40, 8
+@query("error_distance", _METRICS + f""", est AS (SELECT sim_id, node FROM (SELECT sim_id, node, row_number() OVER (PARTITION BY sim_id ORDER BY score DESC, {uniform_sql(SEED, chr(39) + 'map' + chr(39), 'sim_id', 'node')}, node) AS r FROM scores) WHERE r = 1),
+starts AS (SELECT sim_id, source AS node FROM truth), {hops_sql('away', 'starts', keys=('sim_id',))}
+SELECT e.sim_id, coalesce(a.dist, -1) AS error_distance FROM est e LEFT JOIN away a ON a.sim_id = e.sim_id AND a.node = e.node""")
+def error_distance(spark, sf_dir):
+    edges, runs, _, snap = epidemic(spark, sf_dir)
+    return metrics.error_distance(edges, metrics.estimates(detect.distance(edges, snap), seed=SEED), runs.select("sim_id", "source"))
+
+
+# Cascades: one from each of the 12 largest hubs; every second one spreads faster.
+N_CASCADES = 12
 CASCADES = f"""hubs AS (SELECT node, row_number() OVER (ORDER BY deg DESC, node) - 1 AS cascade FROM deg ORDER BY deg DESC, node LIMIT {N_CASCADES}),
 cascades AS (SELECT cascade, node, CASE WHEN cascade % 2 = 1 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS kappa FROM hubs),
 hits AS (SELECT c.cascade, a.src, a.dst FROM cascades c, arcs a WHERE {uniform_sql(SEED, 'c.cascade', 'a.src', 'a.dst')} < least(1.0::DOUBLE, c.kappa * a.p)),
-spread AS (SELECT cascade, node, 0 AS round FROM cascades UNION SELECT s.cascade, h.dst, s.round + 1 FROM spread s JOIN hits h ON h.cascade = s.cascade AND h.src = s.node WHERE s.round < {ROUNDS}),
-act AS (SELECT cascade, node, min(round) AS round FROM spread GROUP BY cascade, node)"""
+{hops_sql('act', 'cascades', 'hits', ('cascade',), 'round')}"""
 GRID = sequential.factor_grid(1.5, 6.0, 0.6)
 
 
@@ -430,7 +543,7 @@ def running_cascades(spark, sf_dir):
     order = W.orderBy(F.col("deg").desc(), "node")
     hubs = graph.top(graph.degrees(edges), N_CASCADES, F.col("deg").desc(), F.col("node")).withColumn("cascade", (F.row_number().over(order) - 1).cast("long"))
     cascades = checkpoint(hubs.select("cascade", "node", F.when(F.col("cascade") % 2 == 1, 3.0).otherwise(1.0).alias("kappa")))
-    return arcs, cascades, checkpoint(diffusion.episodes(arcs, cascades, seed=SEED, max_rounds=ROUNDS))
+    return arcs, cascades, checkpoint(diffusion.episodes(arcs, cascades, seed=SEED, max_rounds=None))
 
 
 @query("episodes", f"WITH RECURSIVE {EDGES}, {WC}, {CASCADES} SELECT cascade, node, round FROM act")
@@ -536,6 +649,44 @@ def hub_throttle(spark, sf_dir):
     return sequential.throttle_by_weight(rows, 0.5)
 
 
+_ROWS = "rnd AS (SELECT cascade, node, CAST(round(mass * 1e6) AS BIGINT) AS mass, CAST(round(weight * 1e6) AS BIGINT) AS weight FROM mw)"
+
+
+def throttle_rows(spark, sf_dir):
+    """Nodes at risk of the running cascades: cascade, node, mass and weight in millionths."""
+    arcs, _, act = running_cascades(spark, sf_dir)
+    return sequential.exposure_mass(arcs, frontier_of(act)).select("cascade", "node", *(F.round(F.col(c) * 1e6).cast("long").alias(c) for c in ("mass", "weight")))
+
+
+@query("random_throttle", f"WITH RECURSIVE {EDGES}, {WC}, {CASCADES}, {_MASS}, {_ROWS}, o AS (SELECT *, coalesce(sum(mass) OVER (PARTITION BY cascade ORDER BY {uniform_sql(SEED, chr(39) + 'throttle' + chr(39), 'cascade', 'node')} DESC, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(mass) OVER (PARTITION BY cascade) AS t FROM rnd) SELECT cascade, node FROM o WHERE b < 0.5::DOUBLE * t")
+def random_throttle(spark, sf_dir):
+    return sequential.throttle_at_random(throttle_rows(spark, sf_dir), 0.5, seed=SEED)
+
+
+@query("gated_throttle", f"{_SEQ}, {_EPROC}, {_MASS}, lastly AS (SELECT cascade, arg_max(round(log_e, 4), round) AS le FROM ep GROUP BY cascade) SELECT m.cascade, m.node, 0.3::DOUBLE AS rho FROM mw m JOIN lastly l ON l.cascade = m.cascade WHERE l.le >= ln(2)")
+def gated_throttle(spark, sf_dir):
+    """All nodes at risk of the cascades whose evidence has passed a soft threshold, slowed down to 0.3."""
+    arcs, _, act, _, evidence = evidence_of(spark, sf_dir)
+    statistic = sequential.eprocess(evidence, len(GRID), GRID).withColumn("log_e", F.round("log_e", 4))
+    rows = sequential.exposure_mass(arcs, frontier_of(act))
+    return sequential.throttle_uniform(sequential.gated(rows, statistic, "log_e", 0.5), 0.3)
+
+
+_HARM = f"""{_FRONT}, lastly AS (SELECT cascade, arg_max(round(kappa_hat, 4), round) AS kappa_hat, max(round(log_e, 4)) AS le FROM ep GROUP BY cascade),
+harm AS (SELECT f.cascade, sum(least(1.0::DOUBLE, k.kappa_hat * a.p)) AS h FROM front f JOIN lastly k ON k.cascade = f.cascade JOIN arcs a ON a.src = f.node WHERE NOT EXISTS (SELECT 1 FROM act x WHERE x.cascade = f.cascade AND x.node = a.dst) GROUP BY f.cascade)"""
+
+
+@query("weighted_e_bh", f"{_SEQ}, {_EPROC}, {_HARM}, e AS (SELECT l.cascade, exp(l.le) AS e, round(coalesce(h.h, 0), 6) + 1e-9::DOUBLE AS w FROM lastly l LEFT JOIN harm h ON h.cascade = l.cascade), n AS (SELECT cascade, e * w / avg(w) OVER () AS we FROM e), r AS (SELECT cascade, we, row_number() OVER (ORDER BY we DESC, cascade) AS k, count(*) OVER () AS m FROM n), z AS (SELECT *, max(CASE WHEN we >= m / (k * 0.5::DOUBLE) THEN k END) OVER () AS most FROM r) SELECT cascade, k FROM z WHERE k <= most")
+def weighted_e_bh(spark, sf_dir):
+    """e-BH over the running cascades, weighted by what their frontiers may still reach."""
+    arcs, _, act, _, evidence = evidence_of(spark, sf_dir)
+    process = checkpoint(sequential.eprocess(evidence, len(GRID), GRID))
+    latest = process.groupBy("cascade").agg(F.max_by(F.round("kappa_hat", 4), "round").alias("kappa_hat"), F.exp(F.max(F.round("log_e", 4))).alias("e"))
+    harm = sequential.frontier_harm(arcs, frontier_of(act), act, latest).withColumn("w", F.round("harm", 6) + 1e-9)
+    rows = latest.join(harm, "cascade", "left").na.fill({"w": 1e-9})
+    return sequential.e_benjamini_hochberg(rows, 0.5, weight="w").select("cascade", "k")
+
+
 @query("e_bh", f"{_SEQ}, {_EPROC}, e AS (SELECT cascade, max(round(log_e, 4)) AS le FROM ep GROUP BY cascade), r AS (SELECT cascade, le, row_number() OVER (ORDER BY le DESC, cascade) AS k, count(*) OVER () AS m FROM e), z AS (SELECT *, max(CASE WHEN exp(le) >= m / (k * 0.5::DOUBLE) THEN k END) OVER () AS most FROM r) SELECT cascade, k FROM z WHERE k <= most")
 def e_bh(spark, sf_dir):
     best = eprocess_of(spark, sf_dir).groupBy("cascade").agg(F.exp(F.max(F.round("log_e", 4))).alias("e"))
@@ -572,7 +723,10 @@ def logistic_early(spark, sf_dir):
     return model.transform(rows).select("cascade", "harmful", F.round(vector_to_array("probability")[1], 6).alias("posterior"))
 
 
-@query("commit_exposed")
+@query("commit_exposed", f"""WITH RECURSIVE {EDGES}, {WC}, {CASCADES}, early AS (SELECT cascade, node, round FROM act WHERE round <= 1),
+risk AS (SELECT f.cascade, a.dst AS node, 1 - exp(sum(ln(1 - least(0.999999999999::DOUBLE, a.p)))) AS q FROM early f JOIN arcs a ON a.src = f.node WHERE f.round = 1 AND NOT EXISTS (SELECT 1 FROM early e WHERE e.cascade = f.cascade AND e.node = a.dst) GROUP BY f.cascade, a.dst),
+wide AS (SELECT r.cascade, r.node, r.q, (SELECT count(*) FROM arcs a WHERE a.src = r.node AND NOT EXISTS (SELECT 1 FROM early e WHERE e.cascade = r.cascade AND e.node = a.dst)) AS c FROM risk r)
+SELECT cascade, node, round(q, 9) AS q, c FROM wide WHERE q * (c + 1) >= 1 - 1e-9::DOUBLE""")
 def commit_exposed(spark, sf_dir):
     arcs, _, act = running_cascades(spark, sf_dir)
     early = act.where("round <= 1")
@@ -589,14 +743,14 @@ def competing_campaigns(spark, sf_dir):
     return out.groupBy("sample", "campaign").agg(F.count("*").alias("n"), F.max("round").alias("rounds"))
 
 
-@query("exact_spread")
+@query("exact_spread", """WITH lines AS (SELECT l_orderkey, l_suppkey, 1.0 - exp(sum(ln(1.0 - l_quantity / 100.0::DOUBLE))) AS q FROM lineitem GROUP BY l_orderkey, l_suppkey)
+SELECT l_orderkey AS graph_id, round(sum(q), 9) AS spread FROM lines GROUP BY l_orderkey""")
 def exact_spread(spark, sf_dir):
-    """Exact spread from each of the 30 largest hubs within its own star: its first 8 edges, cut short so that 2^m worlds stay few."""
-    edges = edges_of(spark, sf_dir)
-    order = W.partitionBy("src").orderBy("dst")
-    star = edges.join(hub(edges, 30).withColumnRenamed("node", "src"), "src").withColumn("r", F.row_number().over(order)).where("r <= 8")
-    packed = star.groupBy("src").agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(0.3).alias("p")))).alias("edges"))
-    return blocking.exact_spread(packed.select(F.col("src").alias("graph_id"), "edges", F.array("src").alias("seeds"), F.array().cast("array<bigint>").alias("blocked"))).withColumn("spread", F.round("spread", 9))
+    """Exact spread from each order over its lines, which lead to suppliers: a small graph for each order, lines of one supplier being parallel arcs."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", F.struct((-F.col("l_orderkey")).alias("u"), F.col("l_suppkey").alias("v"), (F.col("l_quantity") / 100.0).alias("p")).alias("e"))
+    packed = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("e")).alias("edges"))
+    graphs_of = packed.select(F.col("l_orderkey").alias("graph_id"), "edges", F.array(-F.col("l_orderkey")).alias("seeds"), F.array().cast("array<bigint>").alias("blocked"))
+    return blocking.exact_spread(graphs_of).withColumn("spread", F.round("spread", 9))
 
 
 # Reports over the star schema: the relational shapes of run records.
@@ -614,6 +768,17 @@ def paired_difference(spark, sf_dir):
     return metrics.paired_difference(rows, ends[0], ends[1], "value", ["user_id"]).select("n", *(F.round(c, 6).alias(c) for c in ("mean", "se", "win_rate")))
 
 
+@query("typical_value", "SELECT event_type, round(median(value), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, count(*) FILTER (WHERE value IS NOT NULL) AS n FROM events GROUP BY event_type")
+def typical_value(spark, sf_dir):
+    return metrics.typical(spark.read.parquet(f"{sf_dir}/events.parquet"), ["event_type"], "value").select("event_type", F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"), "n")
+
+
+@query("line_fit", "SELECT l_returnflag, round(covar_samp(l_extendedprice, l_quantity), 3) AS cov, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope FROM lineitem GROUP BY l_returnflag")
+def line_fit(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return metrics.line_fit(rows, ["l_returnflag"], "l_quantity", "l_extendedprice").select("l_returnflag", F.round("cov", 3).alias("cov"), F.round("slope", 6).alias("slope"))
+
+
 @query("pivot_by_status", "SELECT l_returnflag, round(avg(CASE WHEN l_linestatus = 'F' THEN l_quantity END), 6) AS F, round(avg(CASE WHEN l_linestatus = 'O' THEN l_quantity END), 6) AS O FROM lineitem GROUP BY l_returnflag")
 def pivot_by_status(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -651,12 +816,11 @@ def contain_degree(spark, sf_dir):
     return containment.degree_plan(edges_of(spark, sf_dir), alarmed(spark, sf_dir)[4], 5)
 
 
-@query("contain_proximity", _ALARMED + """, hop AS (SELECT cascade, node, 0 AS dist FROM state WHERE front UNION SELECT h.cascade, e.dst, h.dist + 1 FROM hop h JOIN edges e ON e.src = h.node WHERE h.dist < 3),
-near AS (SELECT cascade, node, min(dist) AS dist FROM hop GROUP BY cascade, node)
+@query("contain_proximity", _ALARMED + """, fronts AS (SELECT cascade, node FROM state WHERE front), """ + hops_sql("near", "fronts", keys=("cascade",)) + """
 SELECT cascade, node, rank FROM (SELECT n.cascade, n.node, row_number() OVER (PARTITION BY n.cascade ORDER BY n.dist, d.deg DESC, n.node) AS rank FROM near n JOIN deg d ON d.node = n.node
 WHERE NOT EXISTS (SELECT 1 FROM state s WHERE s.cascade = n.cascade AND s.node = n.node)) WHERE rank <= 5""")
 def contain_proximity(spark, sf_dir):
-    return containment.proximity_plan(edges_of(spark, sf_dir), alarmed(spark, sf_dir)[4], 5, max_depth=3)
+    return containment.proximity_plan(edges_of(spark, sf_dir), alarmed(spark, sf_dir)[4], 5)
 
 
 @query("contain_dominator")
@@ -664,7 +828,7 @@ def contain_dominator(spark, sf_dir):
     """Harm with and without the plans of the dominator planner, by cascade."""
     arcs, cascades, act, alarms, state = alarmed(spark, sf_dir)
     plan = checkpoint(containment.dominator_plan(arcs, state, cascades.select("cascade", "kappa"), 4, samples=8))
-    after = containment.contained(arcs, cascades, alarms, plan, seed=SEED, max_rounds=ROUNDS)
+    after = containment.contained(arcs, cascades, alarms, plan, seed=SEED, max_rounds=None)
     count = lambda rows, name: rows.groupBy("cascade").agg(F.count("*").alias(name))
     return count(act, "harm_counterfactual").join(count(after, "harm_final"), "cascade")
 

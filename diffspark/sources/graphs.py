@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from diffspark.functions.lineage import checkpoint
 from diffspark.functions.rng import uniform
 
 
@@ -16,9 +19,9 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return once.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*")
 
 
-def contact_pairs(spark: SparkSession, sf_dir: str, least_quantity: int = 45) -> DataFrame:
-    """Customers and suppliers that met in a large first order line: src even (customer), dst odd (supplier)."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where((F.col("l_linenumber") == 1) & (F.col("l_quantity") >= least_quantity)).select("l_orderkey", "l_suppkey")
+def contact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers that met in any order line: src even (customer), dst odd (supplier)."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_suppkey")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     met = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return met.select((F.col("o_custkey") * 2).alias("src"), (F.col("l_suppkey") * 2 + 1).alias("dst")).distinct()
@@ -49,21 +52,41 @@ def read_weighted_edges(spark: SparkSession, edges_path: str, weights_path: str)
 def relabel_by_appearance(pairs: DataFrame) -> DataFrame:
     """Dense ids from 0 in order of first appearance for ``pairs(line, src, dst)``: src, dst. The ids are counted over labels, which are sorted by range, not in one task."""
     seen = pairs.select("line", F.posexplode(F.array("src", "dst")).alias("side", "label")).groupBy("label").agg(F.min(F.struct("line", "side")).alias("first"))
-    ranked = seen.orderBy("first").rdd.map(lambda r: r["label"]).zipWithIndex()
-    ids = pairs.sparkSession.createDataFrame(ranked, f"label {dict(seen.dtypes)['label']}, id long")
+    ids = numbered(seen, "first", name="id").select("label", "id")
     out = pairs.join(ids.withColumnRenamed("label", "src").withColumnRenamed("id", "s"), "src").join(ids.withColumnRenamed("label", "dst").withColumnRenamed("id", "d"), "dst")
     return out.select(F.col("s").alias("src"), F.col("d").alias("dst"))
 
 
+def numbered(rows: DataFrame, *order: str | Column, name: str = "number") -> DataFrame:
+    """Dense numbers from 0 in the given order, which must tell all rows apart: rows are dealt out and sorted by ranges, and a range's offset is the sum of those before; only their counts are ordered as a whole."""
+    ranged = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))
+    place = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.join(offsets, "_part").withColumn(name, F.col("_before") + place).drop("_part", "_before")
+
+
 def erdos_renyi(spark: SparkSession, n: int, p: float, seed: int) -> DataFrame:
-    """Each pair by a hash coin. Pairs are drawn by skips between successes in each row, so that the work is that of the edges, not of all pairs."""
-    rows = spark.range(n).withColumnRenamed("id", "u").where(F.col("u") > 0)
-    log_q = F.log(F.lit(1 - p))
-    # The k-th gap of row u is geometric; gaps are summed until they pass the row's end.
-    most = F.greatest(F.lit(8), (F.col("u") * p * 4 + 32).cast("int"))
-    gaps = rows.select("u", F.posexplode(F.sequence(F.lit(1), most)).alias("k", "_")).withColumn("gap", F.floor(F.log(1 - uniform(seed, "u", "k")) / log_q) + 1)
-    at = F.sum("gap").over(W.partitionBy("u").orderBy("k").rowsBetween(W.unboundedPreceding, 0)) - 1
-    return both_ways(gaps.withColumn("v", at).where("v < u").select(F.col("u").alias("src"), F.col("v").cast("long").alias("dst")))
+    """Each pair by a hash coin, as independent ones would fall. Pairs are drawn by skips between successes in each row of the lower triangle, cut into stretches of about 8 / p cells that begin anew, so that the work is that of the edges, not of all pairs. A stretch may hold as many edges as it has cells."""
+    width = max(1, int(8 / p)) if p > 0 else n
+    parts = spark.range(n).withColumnRenamed("id", "u").where(F.col("u") > 0).select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("u") - 1) / width))).alias("part"))
+    if p <= 0:
+        return both_ways(parts.where("false").select(F.col("u").alias("src"), F.col("part").alias("dst")))
+    log_q = math.log(1 - p) if p < 1 else -math.inf
+    # The k-th gap is geometric; as many are drawn as the stretch has cells left at most, in rounds of 32.
+    open_ = parts.withColumn("at", F.lit(-1).cast("long")).withColumn("k", F.lit(0))
+    found = None
+    while True:
+        gaps = open_.select("u", "part", "at", F.explode(F.sequence(F.col("k") + 1, F.col("k") + 32)).alias("j"))
+        gaps = gaps.withColumn("gap", (F.floor(F.log(1 - uniform(seed, "u", "part", "j")) / log_q) + 1).cast("long"))
+        run = W.partitionBy("u", "part").orderBy("j").rowsBetween(W.unboundedPreceding, 0)
+        cells = checkpoint(gaps.withColumn("at", F.col("at") + F.sum("gap").over(run)))
+        hits = cells.where((F.col("at") < width) & (F.col("part") * width + F.col("at") < F.col("u"))).select(F.col("u").alias("src"), (F.col("part") * width + F.col("at")).alias("dst"))
+        found = hits if found is None else found.union(hits)
+        open_ = checkpoint(cells.groupBy("u", "part").agg(F.max("at").alias("at"), F.max("j").alias("k")).where((F.col("at") < width) & (F.col("part") * width + F.col("at") < F.col("u"))))
+        if open_.isEmpty():
+            return both_ways(found)
 
 
 def ring_lattice(spark: SparkSession, n: int, k: int, rewire: float, seed: int) -> DataFrame:
