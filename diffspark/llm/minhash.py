@@ -17,8 +17,8 @@ from diffspark.llm.components import components
 
 #: Coordinates of a signature, and how many two signatures must share. At the threshold of 0.75, fewer agree by chance in one pair of 10**9 or less.
 COORDINATES, LEAST = 64, 24
-#: Entries of a worker's memo of word hashes; it is emptied when full.
-MEMO = 200_000
+#: Entries of a worker's memo of word hashes; it is emptied when full, and by the task that has signed its last text, as workers go on to other stages.
+MEMO = 50_000
 #: Texts whose shingles a task holds at a time.
 SLICE = 500
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -87,6 +87,7 @@ def signatures(docs: DataFrame, *, doc_id: str, text: str, n: int, coordinates:
                 body.append(body_hash(x.as_py()))
                 sig.append(signature(s, keys) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(body, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["id", "n_shingles", "set_a", "set_b", "body", "signature"])
+        _hashes.clear()
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, body long, signature array<int>")
@@ -122,6 +123,7 @@ def verified(pairs: DataFrame, texts: DataFrame, *, n: int, percent: int) -> Dat
                 if 100 * common >= percent * (len(left) + len(right) - common):
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in names], names)
+        _hashes.clear()
 
     full = pairs.join(texts.select(F.col("rep").alias("b"), F.col("tag").alias("tb"), F.col("z").alias("zb")), ["b", "tb"])
     full = full.join(texts.select(F.col("rep").alias("a"), F.col("tag").alias("ta"), F.col("z").alias("za")), ["a", "ta"])
@@ -138,6 +140,7 @@ def tokens_of(rows: DataFrame, n: int) -> DataFrame:
                 sets = [shingles(unpack.decompress(z.as_py()).decode(), n) for z in part.column("z")]
                 row = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([part.column("rep").take(row), part.column("tag").take(row), pa.array(np.concatenate(sets).view("i8"))], ["rep", "tag", "shingle"])
+        _hashes.clear()
 
     return rows.select("rep", "tag", "z").mapInArrow(run, "rep long, tag long, shingle long")
 

@@ -22,7 +22,7 @@ from diffspark.llm._packed import slices
 CAPACITY = 4096
 #: Pieces that one task numbers together; salts are as many as that needs.
 GROUP = 20_000
-#: Entries of a worker's memo of encoded chunks and pieces, which outlives its tasks; it is emptied when full, which changes no result.
+#: Entries of a worker's memo of encoded chunks and pieces; it is emptied when full, and at the end of a task, as workers go on to other stages. That changes no result.
 MEMO = 250_000
 #: Bytes of text that a task encodes at a time.
 TEXT = 4 << 20
@@ -52,6 +52,10 @@ class Encoder(dict):
         super().__init__()
         self.tokenizer, self.by_pieces, self.pieces = Tokenizer.from_file(path), by_pieces, {"\n": self.BREAK}
 
+    def forget(self) -> None:
+        self.clear()
+        self.pieces = {"\n": self.BREAK}
+
     def raw(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -76,8 +80,7 @@ class Encoder(dict):
     def batch(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text (string, no nulls) as little-endian unsigned 32-bit integers. Chunks are cut and numbered by Arrow, so that Python sees each only once for a batch."""
         if len(self) + len(self.pieces) > MEMO:
-            self.clear()
-            self.pieces = {"\n": self.BREAK}
+            self.forget()
         cut = pc.ascii_split_whitespace(texts)
         coded = cut.flatten().dictionary_encode()
         own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
@@ -123,6 +126,7 @@ def tokenize(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str =
                         ids.append(np.frombuffer(part, "<u4").astype("i4"))
             out = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), ["doc_id", *names, *(["ids"] if with_ids else [])])
+        encode.forget()
 
     kind = dict(docs.select(F.col(doc_id).alias("doc_id")).dtypes)["doc_id"]
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names) + (", ids array<int>" if with_ids else ""))
