@@ -69,24 +69,26 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, *, doc_id: str, text: str, per_range: int = 2000, spans: int = 1 << 16) -> DataFrame:
     """Each row and its successor in descending order of id, the last one's being the first: range, place, id, text, next_range, next_place, next_text.
 
-    The ids between the least and the largest are cut into ``spans`` parts of equal width, and the rows of each part, between its own least and largest id, into ranges of equal width of about ``per_range`` rows; a part of one id alone, and the null ids, are cut by a hash of the text. So ids that cluster get ranges of their own. A row's successor is read by a window within its range, and a range's last row has the first row of the next range that isn't empty. As a whole, only the parts are ordered, ``spans`` rows at most, a bound that lets them be broadcast too.
+    The ids between the least and the largest are cut into parts of equal width, as many as would have ``per_range`` rows each if the ids were spread evenly, but ``spans`` at most, and the rows of each part, between its own least and largest id, into ranges of equal width of about ``per_range`` rows; a part of one id alone, and the null ids, are cut by a hash of the text. So ids that cluster get ranges of their own. A row's successor is read by a window within its range, and a range's last row has the first row of the next range that isn't empty. As a whole, only the parts are ordered, ``spans`` rows at most, a bound that lets them be broadcast too.
     """
     rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    seen = rows.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+    seen = docs.agg(F.min(doc_id).alias("low"), F.max(doc_id).alias("high"), F.count("*").alias("n")).first()
+    spans = max(1, min(spans, -(-seen["n"] // per_range)))
     high = 0.0 if seen["high"] is None else float(seen["high"])
     width = max(1.0, (high - float(seen["low"] or 0) + 1) / spans) if seen["low"] is not None else 1.0
     span = F.coalesce(F.least(F.lit(spans - 1), F.floor((F.lit(high) - F.col("id").cast("double")) / width)), F.lit(spans)).cast("long")
     parts = docs.select(F.col(doc_id).alias("id")).select("id", span.alias("_span")).groupBy("_span").agg(F.count("*").alias("n"), F.min("id").cast("double").alias("low"), F.max("id").cast("double").alias("high"))
-    parts = parts.withColumn("_ranges", F.ceil(F.col("n") / per_range))
+    parts = checkpoint(parts.withColumn("_ranges", F.ceil(F.col("n") / per_range)))
     inside = F.floor((F.col("high") - F.col("id").cast("double")) / F.greatest(F.lit(1.0), (F.col("high") - F.col("low") + 1) / F.col("_ranges")))
     part = F.when(F.coalesce(F.col("low") == F.col("high"), F.lit(True)), F.pmod(F.xxhash64("text"), F.col("_ranges"))).otherwise(F.least(inside, F.col("_ranges") - 1))
     # A part of large ids may hold two ids that are one double; they stay in one range then.
     part = F.when((F.col("low") == F.col("high")) & (F.abs("high") >= 2.0**53), F.lit(0)).otherwise(part)
     rows = rows.withColumn("_span", span).join(F.broadcast(parts), "_span").select("id", "text", (F.col("_span") * (1 << 40) + part.cast("long")).alias("range"))
+    names = checkpoint(rows.select("range").distinct()).select("range", F.shiftright("range", 40).alias("_span"))
     order = W.partitionBy("range").orderBy(F.col("id").desc_nulls_last(), "text")
-    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("_next", F.lead(F.struct("range", "place", "text")).over(order))
-    heads = rows.where("place = 1").select("range", F.struct("range", "place", "text").alias("_head"))
-    names = heads.select("range", F.shiftright("range", 40).alias("_span"))
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("_next", F.lead(F.struct("range", "place", "text")).over(order)).withColumn("_first", F.lag(F.lit(1)).over(order).isNull())
+    # Told by a lag, not by place 1, which Spark would take for a limit by group and shuffle all texts once more for.
+    heads = rows.where("_first").select("range", F.struct("range", "place", "text").alias("_head"))
     within = names.withColumn("_to", F.lead("range").over(W.partitionBy("_span").orderBy("range")))
     firsts = names.groupBy("_span").agg(F.min("range").alias("first"))
     after = W.orderBy("_span")
