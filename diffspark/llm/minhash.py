@@ -19,6 +19,8 @@ from diffspark.llm.components import components
 COORDINATES, LEAST = 64, 24
 #: Entries of a worker's memo of word hashes; it is emptied when full, and by the task that has signed its last text, as workers go on to other stages.
 MEMO = 50_000
+#: Hubs that a node is compared with in a round.
+HUBS = 8
 #: Texts whose shingles a task holds at a time.
 SLICE = 500
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -174,7 +176,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     1. One pass makes each document's shingle set hash and MinHash signature. Documents of one set are one class, with the least id as representative (and a tag of the set, where rows of that id differ).
     2. Representatives are posted under each coordinate-value pair (an inverted list); ``prefixes`` keeps the postings that a pair above the match threshold must share.
-    3. In each list the least representative is paired with the others. Pairs whose signatures collide in ``least`` coordinates are compared on their full shingle sets. The links give components.
+    3. In each list the least representative is the hub of the others, and each is paired with its ``HUBS`` most frequent ones. Pairs whose signatures collide in ``least`` coordinates are compared on their full shingle sets. The links give components.
     4. In lists that still hold several components, ``hub_rounds`` times, the members outside the largest one are paired with its member of most links, which lies nearest to the middle of its group.
     5. In lists that hold several components even then, the members outside the largest one are joined with all members of other components under the shingles that a pair above the threshold must share first (``across``), and the pairs are compared. So every pair that shares a kept posting is compared or can't be alike, unless its two documents are in one component anyway: a group of thousands of near copies costs some pairs for each copy, not their square.
 
@@ -221,7 +223,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         return checkpoint(member.join(largest, "list").select("list", "rep", "tag", "component", "ties", (F.col("component") == F.col("largest")).alias("main")))
 
     def with_hubs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
-        return rows.alias("x").join(hubs.alias("y"), F.col("x.list") == F.col("y.list")).where("x.rep <> y.rep").select(*ordered("x", "y")).distinct()
+        """Each node with the hubs of most of its lists, ``HUBS`` at most; what they leave apart is joined by ``across``."""
+        met = rows.alias("x").join(hubs.alias("y"), F.col("x.list") == F.col("y.list")).where("x.rep <> y.rep")
+        met = met.groupBy(F.struct("x.rep", "x.tag").alias("x"), F.struct("y.rep", "y.tag").alias("y")).agg(F.count("*").alias("lists"))
+        best = met.withColumn("_place", F.row_number().over(W.partitionBy("x").orderBy(F.col("lists").desc(), "y"))).where(F.col("_place") <= HUBS)
+        return best.select(*ordered("x", "y")).distinct()
 
     pair = ["a", "ta", "b", "tb"]
     leaders = posts.groupBy("list").agg(F.min(F.struct("rep", "tag")).alias("hub")).select("list", "hub.*")
