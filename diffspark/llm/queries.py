@@ -12,6 +12,9 @@ from diffspark.llm.line_dedup import line_dedup
 from diffspark.llm.minhash import near_duplicates
 from diffspark.llm.mixing import mix
 from diffspark.llm.packing import pack
+from diffspark.llm.runs import looped, periodic_runs
+from diffspark.llm.secrets import secret_spans
+from diffspark.llm.spelling import occurrences, spelling_variants, vocabulary
 from diffspark.llm.sql import SQL
 from diffspark.llm.suffix_dedup import suffix_dedup
 from diffspark.llm.suffix_tree import suffix_tree_scores
@@ -77,6 +80,33 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch(documents(spark, sf_dir))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_spans(documents(spark, sf_dir).select("doc_id", "text"))
+
+    def told(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    kinds = ("assign", "access", "hex")
+    counts = [(F.size("spans") - F.size(F.array_remove("spans.kind", k))).cast("long").alias(f"n_{k}") for k in kinds]
+    base = F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    return out.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    out = periodic_runs(documents(spark, sf_dir).select("doc_id", looped(F.col("text"), crc).alias("text")), least_length=24, least_exponent=3)
+    # Runs come by start, then period: only a greater exponent takes the place of an earlier one.
+    top = F.reduce("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda a, b: F.when(a.isNull() | (b["length"] * a["period"] > a["length"] * b["period"]), b).otherwise(a))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "top.start", "top.length", "top.period", F.expr("(1000 * top.length) div top.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = occurrences(documents(spark, sf_dir), least_chars=6, drop_one_in=199)
+    return spelling_variants(vocabulary(words, least=5), ratio=5)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -88,4 +118,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_langid": op9_langid,
     "op10_imatch": op10_imatch,
+    "op11_secrets": op11_secrets,
+    "op12_runs": op12_runs,
+    "op13_spelling": op13_spelling,
 }

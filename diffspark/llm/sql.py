@@ -1,6 +1,9 @@
 """DuckDB SQL for the results of the registered queries that SQL can express."""
 
+import re
+
 from diffspark.llm.imatch import RATES
+from diffspark.llm.secrets import RULES
 
 OP3 = r"""
 WITH lines AS (
@@ -119,4 +122,61 @@ JOIN near x ON x.a = e.doc_id AND x.kind = 0 JOIN near y ON y.a = e.doc_id AND y
 """
 
 
-SQL = {"op2_minhash": OP2, "op3_line_dedup": OP3, "op6_mixing": OP6, "op8_suffix_dedup": OP8, "op10_imatch": imatch_sql()}
+def secrets_sql() -> str:
+    """Matches and what lies between them, rule by rule; (?i) is spelt out, as it may fold more than ASCII."""
+    hits = []
+    for k, r in enumerate(RULES):
+        pattern = r.pattern
+        if pattern.startswith("(?i)"):
+            word, rest = pattern[4:].split(")", 1)
+            pattern = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", word) + ")" + rest
+        pattern = pattern.replace("'", "''")
+        hits.append(
+            f"""  SELECT doc_id, {k} AS k, '{r.kind}' AS kind, {r.least} AS least, unnest(range(1, len(m) + 1)) AS i, unnest(g[1:len(m)]) AS gap, unnest(m) AS m, unnest(v) AS v
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS v, string_split_regex(t, '{pattern}') AS g FROM texts WHERE regexp_matches(t, '{pattern}'))"""
+        )
+    return f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+hits AS (
+{"""
+  UNION ALL
+""".join(hits)}),
+placed AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM hits),
+spans AS (SELECT doc_id, k, kind, CAST(e - length(m) AS BIGINT) AS s, kind || ':' || CAST(e - length(m) AS BIGINT) || ':' || CAST(e AS BIGINT) AS said FROM placed WHERE length(v) >= least)
+SELECT d.doc_id, count(s.k) FILTER (WHERE s.k = 0) AS n_assign, count(s.k) FILTER (WHERE s.k = 1) AS n_access, count(s.k) FILTER (WHERE s.k = 2) AS n_hex,
+       sha256(coalesce(string_agg(s.said, ',' ORDER BY s.s, s.k) FILTER (WHERE s.k < 3), '')) AS base_sha256, coalesce(string_agg(s.said, ',' ORDER BY s.s, s.k), '') AS spans
+FROM texts d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+# What four bits add to a CRC-32 (polynomial 0xEDB88320, reflected).
+CRC = "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::BIGINT[]"
+
+#: Half a byte at a time, low half first; two words are one edit apart if deleting one place of each, or of the longer one alone, makes them equal.
+OP13 = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+keyed AS (SELECT w, count(*) AS c, regexp_replace(hex(encode(doc_id || ':' || w)), '(.)(.)', '\\2\\1', 'g') AS x FROM runs WHERE length(w) >= 6 GROUP BY doc_id, w),
+halves AS (SELECT w, c, list_transform(string_split(x, ''), lambda q: CAST(strpos('0123456789ABCDEF', q) - 1 AS BIGINT)) AS b FROM keyed),
+hashed AS (
+  SELECT w, c, xor(4294967295, list_reduce(b, lambda a, q: xor(a >> 4, ({CRC})[CAST(xor(a & 15, q) + 1 AS BIGINT)]), 4294967295::BIGINT)) AS h FROM halves),
+edited AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM hashed),
+vocab AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM edited WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.d = b.d AND a.i = b.i WHERE a.word <> b.word
+  UNION SELECT c.word, c.n, v.word, v.n FROM cut c JOIN vocab v ON v.word = c.d
+  UNION SELECT v.word, v.n, c.word, c.n FROM cut c JOIN vocab v ON v.word = c.d),
+best AS (SELECT word, n, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n FROM near GROUP BY word, n),
+forms AS (
+  SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 5 * v.n THEN b.other END AS form, CASE WHEN b.other_n >= 5 * v.n THEN b.other_n END AS form_n
+  FROM vocab v LEFT JOIN best b ON b.word = v.word),
+chain AS (
+  SELECT word, form AS root, 1 AS steps FROM forms WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, f.form, c.steps + 1 FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word)
+SELECT f.word, f.form, coalesce(r.root, f.word) AS root, f.n, f.n_near, f.form_n FROM forms f LEFT JOIN roots r ON r.word = f.word
+"""
+
+
+SQL = {"op2_minhash": OP2, "op3_line_dedup": OP3, "op6_mixing": OP6, "op8_suffix_dedup": OP8, "op10_imatch": imatch_sql(), "op11_secrets": secrets_sql(), "op13_spelling": OP13}
