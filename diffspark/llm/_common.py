@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +31,6 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def py_remainder(doc_id: int | None, divisor: int) -> int:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % divisor
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the folder that ``spark.checkpoint.dir`` names. Only a session of one machine may do without: a temporary folder is set for it."""
     context = df.sparkSession.sparkContext
