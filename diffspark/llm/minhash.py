@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -150,7 +152,7 @@ def tokens_of(rows: DataFrame, n: int) -> DataFrame:
 def across(nodes: DataFrame, texts: DataFrame, *, n: int, percent: int) -> DataFrame:
     """Every pair of ``nodes(rep, tag, component, stray, size)`` from two components, one of them a stray at least, that may be alike: a, ta, b, tb.
 
-    An exact prefix join over the nodes' full shingle sets. Each set is ordered from the shingles that fewest nodes have to those that most have; those of one component alone come before all, as they can't be common to such a pair. If two sets are alike, then after the first shingle that they share, in this order, each must still have enough shingles to reach the overlap that the threshold asks for; so a shingle brings two sets together only if both have. Near copies of one text, with edits of their own, have too few left by the first shingle that they share, unless they are alike.
+    An exact prefix join over the nodes' full shingle sets. Each set is ordered from the shingles that fewest nodes have to those that most have; those of one component alone come before all, as they can't be common to such a pair. If two sets are alike, then at the first shingle that they share, in this order, each must still have enough shingles to reach the overlap that the threshold asks for; so a shingle is posted only as far as that holds for a partner of some size (``prefix_sides``), and two sets meet under it only if their sizes allow it. Pages of one template with some text of their own have too few left by the first shingle that they share, unless they are alike, and aren't posted under it at all.
     """
     tokens = checkpoint(tokens_of(texts.join(nodes.select("rep", "tag"), ["rep", "tag"]), n))
     owners = tokens.join(nodes.select("rep", "tag", "component"), ["rep", "tag"])
@@ -158,11 +160,30 @@ def across(nodes: DataFrame, texts: DataFrame, *, n: int, percent: int) -> DataF
     order = W.partitionBy("rep", "tag").orderBy(F.col("holders").desc(), "shingle")
     left = tokens.join(counts, "shingle").withColumn("left", F.row_number().over(order))
     posts = checkpoint(left.join(nodes, ["rep", "tag"]).where(100 * F.col("left") >= percent * F.col("size")).select("shingle", "rep", "tag", "component", "stray", "size", "left"))
-    x, y = posts.where("stray").alias("x"), posts.alias("y")
-    once = ~F.col("y.stray") | (F.struct("x.rep", "x.tag") < F.struct("y.rep", "y.tag"))
+    smaller, larger = prefix_sides(posts, percent)
     enough = F.least("x.left", "y.left") * (100 + percent) >= percent * (F.col("x.size") + F.col("y.size"))
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & once & enough)
-    return pairs.select(*ordered("x", "y")).distinct()
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.lesser") == F.col("y.lesser")) & (F.col("x.greater") == F.col("y.greater"))
+    met &= (F.col("x.component") != F.col("y.component")) & (F.col("x.size") <= F.col("y.size")) & enough
+    sides = ((smaller.where("stray"), larger), (smaller.where("not stray"), larger.where("stray")))
+    return reduce(DataFrame.union, (x.alias("x").join(y.alias("y"), met).select(*ordered("x", "y")) for x, y in sides)).distinct()
+
+
+def size_bucket(size: Column) -> Column:
+    """Sizes in steps of a twentieth."""
+    return F.floor(F.log(size) / math.log(1.05)).cast("int")
+
+
+def prefix_sides(posts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``posts(shingle, size, left)`` as the smaller and as the larger set of a pair, in the buckets of sizes (lesser, greater) under which they are to meet.
+
+    With ``left`` shingles to come, itself included, a set of ``size`` can reach the threshold with sets of at most left * (100 + percent) / percent - size shingles. As the smaller of a pair it has a partner of its own size at least, which few of its shingles allow; as the larger one, a partner of percent / 100 of its size.
+    """
+    most = F.floor(F.col("left") * (100 + percent) / percent) - F.col("size")
+    own = size_bucket(F.col("size"))
+    smaller = posts.where((100 + percent) * F.col("left") >= 2 * percent * F.col("size")).withColumn("lesser", own).withColumn("greater", F.explode(F.sequence(own, F.greatest(own, size_bucket(most)))))
+    low = size_bucket(F.ceil(percent * F.col("size") / 100))
+    larger = posts.withColumn("greater", own).withColumn("lesser", F.explode(F.sequence(low, F.greatest(low, size_bucket(F.least(F.col("size"), most))))))
+    return smaller, larger
 
 
 def ordered(x: str, y: str) -> list:
