@@ -17,10 +17,11 @@ from diffspark.llm import langid, quality, toxicity
 from diffspark.llm.components import components
 from diffspark.llm.imatch import imatch, with_next
 from diffspark.llm.line_dedup import line_dedup
-from diffspark.llm.minhash import near_duplicates
+from diffspark.llm.minhash import near_duplicates, prefix_sides
 from diffspark.llm.mixing import mix, source_targets
 from diffspark.llm.packing import Encoder, best_fill, pack, plan_windows
-from diffspark.llm.suffix_dedup import common_prefixes, previous_factors, suffix_dedup, suffix_repeats
+from diffspark.llm.suffix_dedup import _runs as suffix_runs
+from diffspark.llm.suffix_dedup import common_prefixes, later, previous_factors, suffix_dedup, suffix_repeats, text_runs
 from diffspark.llm.suffix_tree import suffix_tree_scores
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -230,6 +231,37 @@ def test_near_duplicates_around_one_text(spark):
     assert got == brute_components(texts) and len({c for _, c in got.values()}) > 20
 
 
+@pytest.mark.parametrize("own", [15, 20, 25])
+def test_pages_of_one_template_meet_under_no_shingle(spark, own):
+    """Pages that share most words, but too few to be alike, make no candidate pairs, however many they are."""
+    total = 100
+    shared = total - own
+    rows = [(k, d, 0, d, True, total, shared - k) for d in range(300) for k in range(shared) if 100 * (shared - k) >= 75 * total]
+    posts = spark.createDataFrame(rows or [(0, 0, 0, 0, True, total, 0)], "shingle long, rep long, tag long, component long, stray boolean, size long, left long").where("left > 0")
+    smaller, larger = prefix_sides(posts, 75)
+    assert smaller.alias("x").join(larger.alias("y"), ["shingle", "lesser", "greater"]).isEmpty()
+
+
+def test_prefix_sides_lose_no_pair(spark):
+    """Any two sizes whose overlap may reach the threshold at some place of both meet there in one bucket."""
+    rng = random.Random(4)
+    rows = [(0, i, size, rng.randint(-(-75 * size // 100), size)) for i, size in enumerate([*range(1, 40), *(rng.randint(1, 3000) for _ in range(160))])]
+    posts = spark.createDataFrame(rows, "shingle long, rep long, size long, left long")
+    smaller, larger = prefix_sides(posts, 75)
+    met = smaller.alias("x").join(larger.alias("y"), ["shingle", "lesser", "greater"]).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    got = {(r["a"], r["b"]) for r in met.collect()}
+    want = {(a, b) for _, a, s, p in rows for _, b, t, q in rows if s <= t and min(p, q) * 175 >= 75 * (s + t)}
+    assert want <= got and len(want) > 500
+
+
+def test_many_pages_of_one_template(spark):
+    rng = random.Random(9)
+    head, tail = words(rng, 42, 10**6), words(rng, 42, 10**6)
+    texts = [(i, f"{head} {words(rng, 20, 10**6)} {tail}") for i in range(1500)] + [(5000 + i, f"{head} {words(rng, 6, 10**6)} {tail}") for i in range(3)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: 5000 if i >= 5000 else i for i, _ in texts}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r["component"] for r in components(edges).collect()} == {0} and components(edges).count() == 301
@@ -274,6 +306,28 @@ def test_suffix_dedup_of_a_long_stretch(spark):
     assert got == {1: (80, 0, 0, hashlib.sha256(b"=" * 80).hexdigest()), 2: (70_000, 70_000, 1, hashlib.sha256(b"").hexdigest())}
 
 
+def test_runs_are_told_by_both_hashes():
+    """Two runs whose mixes of anchor and segment collide are not equal; an equal one beside them is."""
+    anchor, odd = 7, 0x9E3779B97F4A7C15
+    other = pow(odd, -1, 1 << 64)
+    a2 = next(a for a in range(1, 1 << 22) if ((anchor ^ (12345 * odd % (1 << 64)) ^ a) * other % (1 << 64)) >> 48 == 0 and a != anchor)
+    s2 = (anchor ^ (12345 * odd % (1 << 64)) ^ a2) * other % (1 << 64)
+    rows = np.array([(anchor, 12345, 1, 0, 1), (a2, s2, 2, 0, 1), (a2, s2, 3, 0, 1)], suffix_runs)
+    assert (anchor ^ (12345 * odd)) % (1 << 64) == (a2 ^ (s2 * odd)) % (1 << 64)
+    assert later(rows[:2]).tolist() == [False, False] and later(rows[1:]).tolist() == [False, True]
+    assert later(rows[:0]).tolist() == []
+
+
+def test_long_text_is_cut():
+    rng = random.Random(3)
+    data = np.array([rng.choice(b"abc") for _ in range(4000)], "u1")
+    whole = text_runs(data, np.array([4000]), np.array([9]), 50)
+    parts = text_runs(data, np.array([4000]), np.array([9]), 50, most=700)
+    windows = lambda r: sorted((int(x["start"]) + k, int(x["anchor"])) for x in r for k in range(int(x["count"])))
+    assert windows(whole) == windows(parts) and len(windows(parts)) == 3951
+    assert len(text_runs(data[:20], np.array([20]), np.array([9]), 50, most=10)) == 0
+
+
 def test_suffix_dedup_of_periodic_texts(spark):
     rng = random.Random(2)
     unit = "".join(rng.choice("abcdefghijklmnop") for _ in range(32))
@@ -338,10 +392,88 @@ def test_suffix_tree(spark, odd):
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
     out = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in out) > 0.8 * sum(r["base_score"] for r in out)  # a word tells the next
-    assert suffix_tree_scores(odd).count() == len({i for i, _ in ODD})
+    assert suffix_tree_scores(odd).count() == len(ODD)
     assert suffix_tree_scores(odd.limit(0)).isEmpty()
 
 
+def brute_tree(train, depth, symbol_share, least_share, gain):
+    """The model in plain dictionaries: log10 probability of a list of tokens."""
+    c = collections.Counter(w for t in train for w in t)
+    n = sum(c.values())
+    top = {w for w, k in c.items() if k >= symbol_share * n or w == b"\n"}
+    once, twice = (sum(k == j for k in c.values()) for j in (1, 2))
+    discount = min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
+    rest, freed = n - sum(c[w] for w in top), discount * max(len(c) - len(top), 1)
+    symbols = lambda t: [w if w in top else None for w in t]
+    after = collections.defaultdict(collections.Counter)
+    for t in train:
+        s = [b"\n"] * depth + symbols(t)
+        for i in range(depth, len(s)):
+            for k in range(depth + 1):
+                after[tuple(s[i - k : i])][s[i]] += 1
+    kept = {()}
+    for x, own in after.items():
+        total = sum(own.values())
+        if x and total >= least_share * n:
+            short, whole = after[x[1:]], sum(after[x[1:]].values())
+            if len(x) == 1 or sum(short.values()) >= least_share * n:
+                if sum(k * math.log(k * whole / (total * short[y])) for y, k in own.items()) >= gain:
+                    kept.add(x)
+
+    def p(x, y):
+        while x not in kept:
+            x = x[1:]
+        own, total = after[x], sum(after[x].values())
+        if not x:
+            return own[y] / total if y in own else 1.0
+        return (own[y] + len(own) * p(x[1:], y)) / (total + len(own))
+
+    def score(t):
+        s, out = [b"\n"] * depth + symbols(t), 0.0
+        for i, w in enumerate(t):
+            out += math.log10(p(tuple(s[i : i + depth]), s[i + depth]))
+            if w not in top:
+                out += math.log10((max(c[w] - discount, 1e-9) if c[w] else freed) / max(rest, freed))
+        return out
+
+    return score
+
+
+@pytest.mark.parametrize("share", [0.02, 0.001])
+def test_suffix_tree_against_brute_force(spark, share):
+    rng = random.Random(6)
+    texts = [(i, " ".join(f"{a} {a}s" for a in words(rng, rng.randint(5, 60), 60).split()) + f" own{i}") for i in range(300)]
+    got = table(suffix_tree_scores(docs(spark, texts), symbol_share=share, least_share=0.001, gain=5.0))
+    tokens = {i: t.encode().split() + [b"\n"] for i, t in texts}
+    score = brute_tree([w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 10], 2, share, 0.001, 5.0)
+    for i, w in tokens.items():
+        assert got[i]["score"] == pytest.approx(score(w), rel=1e-6)
+
+
+@pytest.mark.parametrize("common", ["", "the "])
+def test_suffix_tree_of_few_long_texts(spark, common):
+    """The end is rare among the tokens of long texts, and counts all the same."""
+    rng = random.Random(7)
+    texts = [(i, " ".join(common + f"w{rng.randrange(9000)}" for _ in range(24_000))) for i in (1, 2, 3)]
+    got = table(suffix_tree_scores(docs(spark, texts)))
+    tokens = {i: t.encode().split() + [b"\n"] for i, t in texts}
+    c = collections.Counter(w for i in tokens if zlib.crc32(str(i).encode()) % 10 for w in tokens[i])
+    n, v = sum(c.values()), len(c)
+    for i, w in tokens.items():
+        assert (got[i]["n_tokens"], got[i]["n_known"]) == (len(w), sum(x in c for x in w))
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+
+
+def test_suffix_tree_rows_of_one_id(spark):
+    texts = [(1, "a b c"), (1, "a b c"), (1, "b"), (None, "a b c"), (None, "q"), (None, None), (2, "a a"), (2**63 - 1, "b b")]
+    out = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 9)) for r in suffix_tree_scores(docs(spark, texts)).collect())
+    train = [(i, (t or "").split() + ["\n"]) for i, t in texts if zlib.crc32(b"" if i is None else str(i).encode()) % 10]
+    c = collections.Counter(w for _, t in train for w in t)
+    n, v = sum(c.values()), len(c)
+    want = [(str(i), len(w), sum(x in c for x in w), round(sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 9)) for i, w in ((i, (t or "").split() + ["\n"]) for i, t in texts)]
+    assert out == sorted(want)
+
+
 def corpus(rng, n):
     en, fr = ["the", "and", "house", "river", "walking"], ["les", "maison", "être", "rivière", "marche"]
     rows = []
@@ -416,6 +548,19 @@ def test_quality(spark):
     y = spark.createDataFrame([(i, int(i < 1000), 0) for i, _ in good[::2] + bad[::2]], "doc_id long, quality int, toxic int")
     got = table(quality.quality(d, quality.fit(d, y)))
     assert sum(got[i]["kept"] for i, _ in good) >= 190 and sum(got[i]["kept"] for i, _ in bad) <= 6
+    assert not any(r["base_failed"] for r in got.values())
+
+
+def test_quality_catches_what_the_base_rules_pass(spark):
+    """Held-out rows: a few symbols among the words, which no good row has, set a row apart though all else is alike."""
+    rng = random.Random(17)
+    good = [(i, words(rng, rng.randint(55, 300))) for i in range(400)]
+    bad = [(1000 + i, " ".join(w + (" |" if rng.random() < rng.choice([0.1, 0.3]) else "") for w in words(rng, rng.randint(55, 300)).split())) for i in range(80)]
+    d = docs(spark, good + bad)
+    y = spark.createDataFrame([(i, int(i < 1000), 0) for i, _ in good + bad], "doc_id long, quality int, toxic int")
+    got = table(quality.quality(d, quality.fit(d, y, among=F.col("doc_id") % 2 == 0)))
+    assert sum(not got[i]["kept"] for i, _ in bad if i % 2) >= 0.9 * len(bad) / 2
+    assert sum(got[i]["kept"] for i, _ in good if i % 2) >= 0.97 * len(good) / 2
     odd = docs(spark, ODD)
     assert quality.quality(odd, quality.fit(odd, y.limit(0))).count() == len(ODD)
     assert quality.quality(odd.limit(0), quality.fit(odd.limit(0), y.limit(0))).isEmpty()
