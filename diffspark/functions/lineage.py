@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -17,3 +18,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="diffspark-"))
     return df.checkpoint()
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``checkpoint`` of ``df`` and its number of rows, by one job."""
+    seen = Observation()
+    out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return out, seen.get["rows"]

@@ -1,4 +1,7 @@
-"""Which nodes to block: heuristics, sample-average planners over dominator trees, exact evaluation on small graphs."""
+"""Which nodes to block: heuristics, sample-average planners over dominator trees, exact evaluation on small graphs.
+
+Planners take ``live(sample, src, dst)``, the live arcs of what the seeds reach in each world (``diffusion.worlds_from``); arcs of nodes that aren't reached do no harm.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from diffspark.functions.lineage import checkpoint
 from diffspark.functions.rng import uniform
 from diffspark.operators.diffusion import cascade_reach
+from diffspark.operators.dominators import dominators, plans
 from diffspark.operators.graph import degrees, pagerank, reach, top
 
 
@@ -35,111 +39,34 @@ def proximity_blocker(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return top(near.select("node", "dist", "deg"), k, F.col("dist"), F.col("deg").desc(), F.col("node"))
 
 
-def reach_blocker(edges: DataFrame, live: DataFrame, seeds: DataFrame, samples: int, k: int) -> DataFrame:
-    """Reach count over the worlds times (1 + degree): node, cnt, deg, score."""
-    counts = cascade_reach(live, seeds, samples).groupBy("node").agg(F.count("*").alias("cnt"))
+def reach_blocker(edges: DataFrame, reached: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """Number of worlds in which ``reached(sample, node)`` has it, times (1 + degree): node, cnt, deg, score."""
+    counts = reached.groupBy("node").agg(F.count("*").alias("cnt"))
     rows = counts.join(seeds, "node", "left_anti").join(degrees(edges), "node")
     return top(rows.select("node", "cnt", "deg", (F.col("cnt") * (1 + F.col("deg"))).alias("score")), k, F.col("score").desc(), F.col("node"))
 
 
-def dominator_sizes(starts: list[int], out: dict[int, list[int]]) -> tuple[dict[int, int], dict[int, int]]:
-    """For each reached node: how many nodes (itself included) are reached only through it, and its immediate dominator (-1: the common source).
-
-    Nodes are numbered by depth-first postorder from a common source before all starts; dominators are found by intersecting predecessors' paths up to a fixed point.
-    """
-    order, seen = [], set()
-    for s in starts:
-        if s in seen:
-            continue
-        seen.add(s)
-        stack = [(s, iter(out.get(s, ())))]
-        while stack:
-            node, rest = stack[-1]
-            for v in rest:
-                if v not in seen:
-                    seen.add(v)
-                    stack.append((v, iter(out.get(v, ()))))
-                    break
-            else:
-                stack.pop()
-                order.append(node)
-    number = {v: i for i, v in enumerate(order)}
-    root = number[-1] = len(order)
-    before: dict[int, list[int]] = {v: [] for v in order}
-    for u in order:
-        for v in out.get(u, ()):
-            before[v].append(u)
-    for s in starts:
-        before[s].append(-1)
-    idom, changed = {-1: -1}, True
-    while changed:
-        changed = False
-        for v in reversed(order):
-            new = None
-            for u in before[v]:
-                if u not in idom:
-                    continue
-                if new is None:
-                    new = u
-                    continue
-                a, b = new, u
-                while a != b:
-                    if number[a] < number[b]:
-                        a = idom[a]
-                    else:
-                        b = idom[b]
-                new = a
-            if new is not None and idom.get(v) != new:
-                idom[v], changed = new, True
-    sizes = dict.fromkeys(order, 1)
-    for v in order:  # a node's dominator has a higher number
-        if number[idom[v]] < root:
-            sizes[idom[v]] += sizes[v]
-    return sizes, {v: idom[v] for v in order}
-
-
 def block_gains(live: DataFrame, seeds: DataFrame, *, blocked: list[int] | None = None, with_sources: bool = False) -> DataFrame:
-    """What blocking each node alone would save in each world: sample, node, gain; with_sources: seeds too, less the seed itself (cutting all its arcs).
-
-    A node saves what it dominates. Worlds are independent groups; a group holds the live arcs of what the seeds reach.
-    """
-    starts = [r["node"] for r in seeds.select("node").distinct().orderBy("node").collect()]
-    out_of = set(blocked or [])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict[int, list[int]] = {}
-        for u, v in sorted(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)):
-            if u not in out_of and v not in out_of:
-                out.setdefault(u, []).append(v)
-        sizes, _ = dominator_sizes([s for s in starts if s not in out_of], out)
-        own = set(starts)
-        rows = [(v, n - (v in own)) for v, n in sizes.items() if with_sources or v not in own]
-        return pd.DataFrame({"sample": int(pdf["sample"].iloc[0]), "node": [r[0] for r in rows], "gain": [r[1] for r in rows]}, columns=["sample", "node", "gain"])
-
-    return live.groupBy("sample").applyInPandas(run, "sample int, node long, gain long")
-
+    """What blocking each node alone would save in each world: sample, node, gain; with_sources: seeds too, less the seed itself (cutting all its arcs). A node saves what it dominates."""
+    if blocked:
+        live, seeds = live.where(~F.col("src").isin(blocked) & ~F.col("dst").isin(blocked)), seeds.where(~F.col("node").isin(blocked))
+    tree = dominators(live, seeds, keys=["sample"])
+    rows = tree if with_sources else tree.where("not seed")
+    return rows.select("sample", "node", (F.col("size") - F.col("seed").cast("long")).alias("gain"))
 
-def reachable_arcs(live: DataFrame, seeds: DataFrame, samples: int) -> DataFrame:
-    """The live arcs that start at a reached node: all that a planner has to look at."""
-    met = cascade_reach(live, seeds, samples).select("sample", F.col("node").alias("src"))
-    return checkpoint(live.join(met, ["sample", "src"], "left_semi"))
 
-
-def advanced_greedy(live: DataFrame, seeds: DataFrame, samples: int, k: int, *, score: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def advanced_greedy(live: DataFrame, seeds: DataFrame, k: int, *, refresh_every: int = 1) -> DataFrame:
     """Pick k nodes one after another by the total gain over all worlds, ties to the lower id, until nothing is gained: rank, node, gain (sum over worlds).
 
-    Only the pick of each round, one row, reaches the driver.
+    refresh_every: picks after which the worlds that they changed are looked at anew. Between them gains are those of the stored dominator trees, less what is saved already: at most the true ones, for a fraction of the work; with 0 they are never renewed.
     """
-    live, plan = reachable_arcs(live, seeds, samples), []
-    for rank in range(1, k + 1):
-        gains = block_gains(live, seeds, blocked=[p[1] for p in plan])
-        totals = gains.groupBy("node").agg(F.sum("gain").alias("gain")) if score is None else score(gains, samples)
-        best = totals.orderBy(F.col("gain").desc(), "node").first()
-        if best is None or best["gain"] <= 0:
-            break
-        plan.append((rank, best["node"], best["gain"]))
-    kind = "long" if score is None else "double"
-    return live.sparkSession.createDataFrame(plan, f"rank int, node long, gain {kind}")
+    return plans(live, seeds, k, keys=["sample"], refresh_every=refresh_every)
+
+
+def scored_pick(live: DataFrame, seeds: DataFrame, samples: int, score: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """The best node by ``score`` of its gains in each world: rank, node, gain."""
+    best = top(score(block_gains(live, seeds), samples).where("gain > 0"), 1, F.col("gain").desc(), F.col("node"))
+    return best.select(F.lit(1).alias("rank"), "node", F.col("gain").cast("double").alias("gain"))
 
 
 def lower_bound(z: float) -> Callable[[DataFrame, int], DataFrame]:
@@ -169,7 +96,7 @@ def control_variate_gains(live: DataFrame, seeds: DataFrame, arcs: DataFrame, sa
 
     The slope of a neighbour's saving over that event is shrunk towards the pooled slope of all neighbours, by the weight ``shrink`` against the number of worlds.
     """
-    gains = checkpoint(block_gains(reachable_arcs(live, seeds, samples), seeds))
+    gains = checkpoint(block_gains(live, seeds))
     from_seeds = arcs.join(seeds.withColumnRenamed("node", "src"), "src", "left_semi").join(seeds.withColumnRenamed("node", "dst"), "dst", "left_anti")
     chance = from_seeds.groupBy(F.col("dst").alias("node")).agg((-F.expm1(F.sum(F.log1p(-F.least(F.lit(1 - 1e-12), F.col("p")))))).alias("q"))
     hits = live.join(seeds.withColumnRenamed("node", "src"), "src", "left_semi").select("sample", F.col("dst").alias("node")).distinct().withColumn("hit", F.lit(1))
@@ -183,12 +110,12 @@ def control_variate_gains(live: DataFrame, seeds: DataFrame, arcs: DataFrame, sa
     return near.union(sums.join(rows, "node", "left_anti").select("node", (F.col("g") / samples).alias("gain")))
 
 
-def cost_aware_plan(live: DataFrame, seeds: DataFrame, arcs: DataFrame, samples: int, budget: int) -> DataFrame:
+def cost_aware_plan(live: DataFrame, seeds: DataFrame, arcs: DataFrame, budget: int) -> DataFrame:
     """Greedy moves by what they save for each blocked node: a single node, or all free out-neighbours of a seed at once, which cuts it off: move, node, ratio (sum over worlds).
 
     Blocking one by one can't see a cut whose nodes save little alone. A round brings back its best node, a row for each seed, and the nodes of the move.
     """
-    live, plan, left, move = reachable_arcs(live, seeds, samples), [], budget, 0
+    plan, left, move = [], budget, 0
     starts = {r["node"] for r in seeds.select("node").distinct().collect()}
     around = checkpoint(arcs.join(seeds.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst").distinct())
     while left > 0:
@@ -209,9 +136,8 @@ def cost_aware_plan(live: DataFrame, seeds: DataFrame, arcs: DataFrame, samples:
     return live.sparkSession.createDataFrame(plan, "move int, node long, ratio double")
 
 
-def greedy_replace(live: DataFrame, seeds: DataFrame, samples: int, k: int) -> DataFrame:
+def greedy_replace(live: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     """Fill from the seeds' live out-neighbours, top up from all nodes, then take back each pick, latest first, and put the best node in its place, until one is its own best: rank, node, gain."""
-    live = reachable_arcs(live, seeds, samples)
     near = checkpoint(live.join(seeds.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct())
     plan: list[tuple[int, int]] = []
 
@@ -234,44 +160,14 @@ def greedy_replace(live: DataFrame, seeds: DataFrame, samples: int, k: int) -> D
     return live.sparkSession.createDataFrame([(i + 1, n, g) for i, (n, g) in enumerate(plan)], "rank int, node long, gain long")
 
 
-def dominated_pairs(live: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Each reached node with each node that dominates it, itself included, seeds left out: sample, node (dominator), covered."""
-    starts = [r["node"] for r in seeds.select("node").distinct().orderBy("node").collect()]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: dict[int, list[int]] = {}
-        for u, v in sorted(zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True)):
-            out.setdefault(u, []).append(v)
-        _, idom = dominator_sizes(starts, out)
-        rows, own = [], set(starts)
-        for v in idom:
-            u = v
-            while u != -1:
-                if u not in own:
-                    rows.append((u, v))
-                u = idom[u]
-        return pd.DataFrame({"sample": int(pdf["sample"].iloc[0]), "node": [r[0] for r in rows], "covered": [r[1] for r in rows]}, columns=["sample", "node", "covered"])
-
-    return live.groupBy("sample").applyInPandas(run, "sample int, node long, covered long")
-
-
-def max_coverage(live: DataFrame, seeds: DataFrame, samples: int, k: int) -> DataFrame:
-    """Greedy maximum coverage of dominated nodes on fixed worlds, found once: rank, node, gain (newly covered)."""
-    pairs, plan = checkpoint(dominated_pairs(reachable_arcs(live, seeds, samples), seeds)), []
-    left = pairs
-    for rank in range(1, k + 1):
-        best = left.groupBy("node").agg(F.count("*").alias("gain")).orderBy(F.col("gain").desc(), "node").first()
-        if best is None:
-            break
-        plan.append((rank, best["node"], best["gain"]))
-        gone = left.where(F.col("node") == best["node"]).select("sample", "covered")
-        left = checkpoint(left.join(gone, ["sample", "covered"], "left_anti"))
-    return live.sparkSession.createDataFrame(plan, "rank int, node long, gain long")
+def max_coverage(live: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """Greedy maximum coverage of dominated nodes on fixed worlds: rank, node, gain (newly covered). Subtrees of a dominator tree lie within each other or apart, so a pick only lowers the sizes above it."""
+    return plans(live, seeds, k, keys=["sample"], refresh_every=0)
 
 
-def isolation(live: DataFrame, seeds: DataFrame, arcs: DataFrame, samples: int) -> DataFrame:
+def isolation(live: DataFrame, seeds: DataFrame, arcs: DataFrame) -> DataFrame:
     """Gain for cost of blocking a node (cost 1) or cutting a seed off (cost: its out-neighbours): node, is_source, gain, cost, ratio."""
-    gains = block_gains(reachable_arcs(live, seeds, samples), seeds, with_sources=True).groupBy("node").agg(F.sum("gain").alias("gain"))
+    gains = block_gains(live, seeds, with_sources=True).groupBy("node").agg(F.sum("gain").alias("gain"))
     cost = arcs.join(seeds.withColumnRenamed("node", "src"), "src", "left_semi").groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out"))
     rows = gains.join(cost, "node", "left")
     return rows.select("node", F.col("out").isNotNull().alias("is_source"), "gain", F.coalesce("out", F.lit(1)).alias("cost"), (F.col("gain") / F.coalesce("out", F.lit(1))).alias("ratio"))
@@ -279,7 +175,7 @@ def isolation(live: DataFrame, seeds: DataFrame, arcs: DataFrame, samples: int)
 
 def greedy_by_removal(live: DataFrame, seeds: DataFrame, samples: int, k: int) -> DataFrame:
     """Greedy by running every candidate: all (candidate, world) pairs advance together without the candidate: rank, node, spread after (sum over worlds, seeds included)."""
-    live, plan = reachable_arcs(live, seeds, samples), []
+    plan = []
     for rank in range(1, k + 1):
         gone = live.sparkSession.createDataFrame([(p[1],) for p in plan], "node long")
         met = cascade_reach(live, seeds, samples, blocked=gone)
@@ -305,9 +201,8 @@ def reach_without(arcs: DataFrame, starts: DataFrame) -> DataFrame:
         done = checkpoint(done.unionByName(front))
 
 
-def best_swaps(live: DataFrame, seeds: DataFrame, samples: int, plan: DataFrame, *, least: float = 0.002, passes: int = 20) -> DataFrame:
+def best_swaps(live: DataFrame, seeds: DataFrame, plan: DataFrame, *, least: float = 0.002, passes: int = 20) -> DataFrame:
     """Improve a plan by exchanging one node for a better one, as long as the total gain grows by the share ``least``: rank, node, gain of the node given the others."""
-    live = reachable_arcs(live, seeds, samples)
     nodes = [r["node"] for r in plan.orderBy("rank").collect()]
     own = [0] * len(nodes)
     for _ in range(passes):
@@ -385,7 +280,7 @@ def min_vertex_cut(arcs: list[tuple[int, int]], seeds: list[int], target: int) -
     return sorted(a[0] for a in side if a[1] == 0 and a[0] != "s" and a[0] not in own and (a[0], 1) not in side)
 
 
-def world_cuts(live: DataFrame, seeds: DataFrame, samples: int, targets: list[int]) -> DataFrame:
+def world_cuts(live: DataFrame, seeds: DataFrame, targets: list[int]) -> DataFrame:
     """Minimum vertex cuts between the seeds and each target in each world: sample, target, cut (sorted; empty where the target isn't reached or is next to a seed). A group is one world's reachable arcs."""
     starts = [r["node"] for r in seeds.select("node").collect()]
 
@@ -394,4 +289,4 @@ def world_cuts(live: DataFrame, seeds: DataFrame, samples: int, targets: list[in
         rows = [(int(pdf["sample"].iloc[0]), t, min_vertex_cut(arcs, starts, t)) for t in targets]
         return pd.DataFrame(rows, columns=["sample", "target", "cut"])
 
-    return reachable_arcs(live, seeds, samples).groupBy("sample").applyInPandas(run, "sample int, target long, cut array<long>")
+    return live.groupBy("sample").applyInPandas(run, "sample int, target long, cut array<long>")

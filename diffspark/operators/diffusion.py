@@ -7,9 +7,9 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffspark.functions.lineage import checkpoint
+from diffspark.functions.lineage import checkpoint, counted
 from diffspark.functions.rng import normal, uniform
-from diffspark.operators.graph import degrees, reach
+from diffspark.operators.graph import SENT, degrees, explore, placed, reach
 
 
 def edge_probabilities(edges: DataFrame, model: str, *, p: float = 0.1, seed: int = 7) -> DataFrame:
@@ -36,6 +36,12 @@ def live_arcs(arcs: DataFrame, samples: int, *, seed: int = 7, undirected: bool
     return worlds.where(uniform(seed, "sample", *ends) < F.col("p")).select("sample", "src", "dst")
 
 
+def worlds_from(arcs: DataFrame, seeds: DataFrame, samples: int, *, first: int = 0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """What the seeds reach in each world from ``first`` on (sample, node, dist, parent), and the live arcs that leave it (sample, src, dst). Coins are those of ``live_arcs``, thrown only where a cascade meets an arc."""
+    starts = seeds.select("node", F.explode(F.sequence(F.lit(first), F.lit(samples - 1))).alias("sample"))
+    return explore(arcs.select("src", "dst", "p"), starts, keys=["sample"], coin=uniform(seed, "sample", "src", "dst") < F.col("p"), met=True)
+
+
 def cascade_reach(live: DataFrame, seeds: DataFrame, samples: int, *, blocked: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """Nodes reached in each world, seeds included, blocked nodes and seeds left out: sample, node, dist."""
     if blocked is not None:
@@ -119,9 +125,12 @@ def episodes(arcs: DataFrame, cascades: DataFrame, *, seed: int = 7, max_rounds:
     An arc is live if its uniform, fixed for the cascade, is below min(1, kappa * p), times rho of its source where ``throttled(cascade, node, rho)`` has it; ``blocked(cascade, node, from_round)`` keeps nodes out from a round on. ``max_rounds`` None: until nothing new is hit. All policies on one cascade share their coins.
     """
     kappa = cascades.select("cascade", "kappa").distinct()
-    state = front = checkpoint(cascades.select("cascade", "node", F.lit(0).alias("round")))
+    arcs = placed(arcs, ["src"])
+    front, size = counted(cascades.select("cascade", "node", F.lit(0).alias("round")))
+    state, total = front, size
     for turn in itertools.count(1) if max_rounds is None else range(1, max_rounds + 1):
-        step = front.select("cascade", F.col("node").alias("src")).join(arcs, "src").join(kappa, "cascade")
+        heads = front.select("cascade", F.col("node").alias("src")).join(kappa, "cascade")
+        step = (F.broadcast(heads) if size <= SENT else heads).join(arcs, "src")
         rate = F.least(F.lit(1.0), F.col("kappa") * F.col("p"))
         if throttled is not None:
             step = step.join(throttled.select("cascade", F.col("node").alias("src"), "rho"), ["cascade", "src"], "left")
@@ -129,8 +138,12 @@ def episodes(arcs: DataFrame, cascades: DataFrame, *, seed: int = 7, max_rounds:
         step = step.where(uniform(seed, "cascade", "src", "dst") < rate).select("cascade", F.col("dst").alias("node")).distinct()
         if blocked is not None:
             step = step.join(blocked.where(F.col("from_round") <= turn), ["cascade", "node"], "left_anti")
-        front = checkpoint(step.join(state, ["cascade", "node"], "left_anti").withColumn("round", F.lit(turn)))
-        if front.isEmpty():
+        before = state.select("cascade", "node")
+        front, size = counted(step.join(F.broadcast(before) if total <= SENT else before, ["cascade", "node"], "left_anti").withColumn("round", F.lit(turn)))
+        if not size:
             break
-        state = checkpoint(state.unionByName(front))
+        state, total = state.unionByName(front), total + size
+        if turn % 8 == 0:
+            state = checkpoint(state)
+    arcs.unpersist()
     return state

@@ -2,38 +2,70 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffspark.functions.lineage import checkpoint
+from diffspark.functions.lineage import checkpoint, counted
 
 
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("deg"))
 
 
-def reach(arcs: DataFrame, starts: DataFrame, *, keys: list[str] | None = None, max_depth: int | None = None, mask: DataFrame | None = None) -> DataFrame:
-    """Hop distances from ``starts(*keys, node)`` along ``arcs(*keys, src, dst)``, all keys at once: keys, node, dist.
+#: Rows of a frontier, at most, that are sent to all tasks; a longer one is shuffled to the arcs.
+SENT = 200_000
+
+
+def placed(arcs: DataFrame, on: list[str]) -> DataFrame:
+    """The arcs dealt out by ``on`` once and kept, for the rounds of a traversal; to be unpersisted after."""
+    n = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return arcs.repartition(n, *on).persist()
+
+
+def explore(arcs: DataFrame, starts: DataFrame, *, keys: list[str] | None = None, coin: Column | None = None, mask: DataFrame | None = None, outside: DataFrame | None = None, max_depth: int | None = None, met: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """What ``starts(*keys, node)`` reach along ``arcs(*keys, src, dst)``, all keys at once: (keys, node, dist, parent), and with ``met`` the arcs that leave reached nodes (keys, src, dst).
 
-    One round extends every key's frontier by a join, leaves out what was reached, and ends when no frontier is left: jobs grow with the depth, not with the number of keys. ``mask(*keys, node)`` restricts what may be reached; starts needn't be in it. Each round is checkpointed.
+    ``parent`` is the least node of the round before with an arc to the node, null for starts. ``coin``, over the keys, ``src``, ``dst``, other columns of the arcs and of ``starts``, says which arcs are live; it is asked only where a frontier meets an arc. ``mask(*some keys, node)`` restricts what may be reached, ``outside(*some keys, node)`` what may not; starts needn't be in the one or out of the other.
+
+    One round extends every key's frontier by a join, leaves out what was reached, and ends when no frontier is left: jobs grow with the depth, not with the number of keys. The arcs are dealt out once for all rounds. Each round is checkpointed.
     """
     keys = keys or []
-    on = [*keys, "node"]
-    done = checkpoint(starts.select(*on).distinct().withColumn("dist", F.lit(0)))
-    front, depth = done, 0
-    shared = [k for k in keys if k in arcs.columns]
-    while max_depth is None or depth < max_depth:
-        step = front.select(*keys, F.col("node").alias("src")).join(arcs, [*shared, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        if mask is not None:
-            step = step.join(mask, [c for c in on if c in mask.columns], "left_semi")
+    on, shared = [*keys, "node"], [k for k in keys if k in arcs.columns]
+    carried = [c for c in starts.columns if c not in on]
+    arcs = placed(arcs, [*shared, "src"])
+    own = starts.select(*on, *carried).distinct()
+    front, size = counted(own.select(*on, F.lit(0).alias("dist"), F.lit(None).cast("long").alias("parent"), *carried))
+    done, total, parts, depth = front, size, [], 0
+    while size and (max_depth is None or depth < max_depth):
+        small = front.select(*keys, F.col("node").alias("src"), *carried)
+        step = (F.broadcast(small) if size <= SENT else small).join(arcs, [*shared, "src"])
+        if coin is not None:
+            step = step.where(coin)
+        step = step.select(*keys, "src", "dst", *carried)
+        for nodes, how in ((mask, "left_semi"), (outside, "left_anti")):
+            if nodes is not None:
+                step = step.join(nodes.withColumnRenamed("node", "dst"), ["dst" if c == "node" else c for c in on if c in nodes.columns], how)
+        if met:
+            step = checkpoint(step)
+            parts.append(step.select(*keys, "src", "dst"))
         depth += 1
-        front = checkpoint(step.join(done, on, "left_anti").withColumn("dist", F.lit(depth)))
-        if front.isEmpty():
-            break
-        done = done.unionByName(front)
-        if depth % 4 == 0:
+        new = step.groupBy(*keys, F.col("dst").alias("node"), *carried).agg(F.min("src").alias("parent"))
+        before = done.select(*on)
+        front, size = counted(new.join(F.broadcast(before) if total <= SENT else before, on, "left_anti").select(*on, F.lit(depth).alias("dist"), "parent", *carried))
+        done, total = done.unionByName(front), total + size
+        if depth % 8 == 0:
             done = checkpoint(done)
-    return done
+    arcs.unpersist()
+    found = reduce(DataFrame.unionByName, parts) if parts else arcs.limit(0).crossJoin(own.limit(0).drop("node")).select(*keys, "src", "dst") if met else None
+    return done.select(*on, "dist", "parent"), found
+
+
+def reach(arcs: DataFrame, starts: DataFrame, *, keys: list[str] | None = None, max_depth: int | None = None, mask: DataFrame | None = None) -> DataFrame:
+    """Hop distances from ``starts(*keys, node)`` along ``arcs(*keys, src, dst)``, all keys at once: keys, node, dist (see ``explore``)."""
+    keys = keys or []
+    return explore(arcs, starts.select(*keys, "node"), keys=keys, max_depth=max_depth, mask=mask)[0].drop("parent")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -60,12 +92,15 @@ def pagerank(edges: DataFrame, *, damping: float = 0.85, iterations: int = 20) -
     """node, rank after a fixed number of power iterations; every node has an arc, so no rank dangles."""
     deg = checkpoint(degrees(edges))
     n = deg.count()
+    edges = placed(edges, ["src"])
     rank = deg.select("node", F.lit(1.0 / max(n, 1)).alias("rank"))
     for i in range(iterations):
         flow = edges.join(rank.join(deg, "node").select(F.col("node").alias("src"), (F.col("rank") / F.col("deg")).alias("share")), "src")
         rank = flow.groupBy(F.col("dst").alias("node")).agg((F.lit((1 - damping) / max(n, 1)) + damping * F.sum("share")).alias("rank"))
         if i % 5 == 4:
             rank = checkpoint(rank)
+    rank = checkpoint(rank)
+    edges.unpersist()
     return rank
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from diffspark.plans import planning as _planning  # noqa: F401  (registers its queries)
 from diffspark.plans import queries as _queries  # noqa: F401  (registers its queries)
 from diffspark.plans.registry import QUERIES, SQL, Query
 

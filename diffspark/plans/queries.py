@@ -51,11 +51,19 @@ def hub(edges: DataFrame, k: int = 1) -> DataFrame:
     return graph.top(graph.degrees(edges), k, F.col("deg").desc(), F.col("node")).select("node")
 
 
-def worlds_of(spark: SparkSession, sf_dir: str, theta: int = THETA) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """edges, arcs with weighted-cascade probabilities, live arcs, the hub."""
+def spread_of(spark: SparkSession, sf_dir: str, theta: int = THETA) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """edges, arcs with weighted-cascade probabilities, the hub, what it reaches in each world, and the live arcs that leave it."""
     edges = edges_of(spark, sf_dir)
     arcs = diffusion.edge_probabilities(edges, "wc")
-    return edges, arcs, checkpoint(diffusion.live_arcs(arcs, theta, seed=SEED)), checkpoint(hub(edges))
+    start = checkpoint(hub(edges))
+    reached, live = diffusion.worlds_from(arcs, start, theta, seed=SEED)
+    return edges, arcs, start, reached, checkpoint(live)
+
+
+def worlds_of(spark: SparkSession, sf_dir: str, theta: int = THETA) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """edges, arcs, the live arcs that the hub's cascades meet, the hub."""
+    edges, arcs, start, _, live = spread_of(spark, sf_dir, theta)
+    return edges, arcs, live, start
 
 
 @query("degree", f"WITH {EDGES} SELECT node, deg FROM deg")
@@ -145,8 +153,7 @@ def live_undirected(spark, sf_dir):
 
 @query("ic_reach", f"WITH RECURSIVE {EDGES}, {START}, {WC}, {live_sql(THETA)}, {reach_sql(THETA)} SELECT sample, count(*) AS n FROM reach GROUP BY sample")
 def ic_reach(spark, sf_dir):
-    _, _, live, start = worlds_of(spark, sf_dir)
-    return diffusion.cascade_reach(live, start, THETA).groupBy("sample").agg(F.count("*").alias("n"))
+    return spread_of(spark, sf_dir)[3].groupBy("sample").agg(F.count("*").alias("n"))
 
 
 @query("spread_blocked", f"""WITH RECURSIVE {EDGES}, {START}, {WC}, blocked AS (SELECT node FROM deg WHERE node NOT IN (SELECT node FROM start) ORDER BY deg DESC, node LIMIT 5),
@@ -187,8 +194,8 @@ def proximity_blocker(spark, sf_dir):
 SELECT r.node, count(*) AS cnt, d.deg, count(*) * (1 + d.deg) AS score FROM reach r JOIN deg d ON d.node = r.node
 WHERE r.node NOT IN (SELECT node FROM start) GROUP BY r.node, d.deg ORDER BY score DESC, r.node LIMIT 10""")
 def reach_blocker(spark, sf_dir):
-    edges, _, live, start = worlds_of(spark, sf_dir)
-    return blocking.reach_blocker(edges, live, start, THETA, 10)
+    edges, _, start, reached, _ = spread_of(spark, sf_dir)
+    return blocking.reach_blocker(edges, reached, start, 10)
 
 
 @query("dominator_gains", f"""WITH RECURSIVE {EDGES}, {START}, {WC}, {live_sql(8)}, {reach_sql(8)},
@@ -198,7 +205,7 @@ sizes AS (SELECT sample, count(*) AS n FROM reach GROUP BY sample)
 SELECT w.sample, w.cut AS node, s.n - count(*) AS gain FROM without w JOIN sizes s ON s.sample = w.sample GROUP BY w.sample, w.cut, s.n""")
 def dominator_gains(spark, sf_dir):
     _, _, live, start = worlds_of(spark, sf_dir, 8)
-    return blocking.block_gains(blocking.reachable_arcs(live, start, 8), start)
+    return blocking.block_gains(live, start)
 
 
 def _first_pick_sql(theta: int) -> str:
@@ -213,14 +220,14 @@ gains AS (SELECT w.sample, w.cut, s.n - count(*) AS gain FROM without w JOIN siz
 @query("greedy_first_pick", _first_pick_sql(16) + "SELECT 1 AS rank, cut AS node, CAST(sum(gain) AS BIGINT) AS gain FROM gains GROUP BY cut ORDER BY gain DESC, node LIMIT 1")
 def greedy_first_pick(spark, sf_dir):
     _, _, live, start = worlds_of(spark, sf_dir, 16)
-    return blocking.advanced_greedy(live, start, 16, 1)
+    return blocking.advanced_greedy(live, start, 1)
 
 
 @query("lcb_first_pick", _first_pick_sql(16) + """, t AS (SELECT cut, sum(gain) / 16.0::DOUBLE AS m, sum(gain * gain) / 16.0::DOUBLE AS q FROM gains GROUP BY cut)
 SELECT 1 AS rank, cut AS node, round(m - sqrt(greatest(0.0, q - m * m) / 15), 6) AS gain FROM t ORDER BY round(m - sqrt(greatest(0.0, q - m * m) / 15), 9) DESC, node LIMIT 1""")
 def lcb_first_pick(spark, sf_dir):
     _, _, live, start = worlds_of(spark, sf_dir, 16)
-    return blocking.advanced_greedy(live, start, 16, 1, score=blocking.lower_bound(1.0)).withColumn("gain", F.round("gain", 6))
+    return blocking.scored_pick(live, start, 16, blocking.lower_bound(1.0)).withColumn("gain", F.round("gain", 6))
 
 
 @query("isolation_gains", _first_pick_sql(8).replace("pool AS (SELECT DISTINCT sample, node AS cut FROM reach WHERE node NOT IN (SELECT node FROM start))", "pool AS (SELECT DISTINCT sample, node AS cut FROM reach WHERE node NOT IN (SELECT node FROM start))") + """, t AS (SELECT cut AS node, FALSE AS is_source, CAST(sum(gain) AS BIGINT) AS gain, 1 AS cost FROM gains GROUP BY cut
@@ -228,7 +235,7 @@ UNION ALL SELECT s.node, TRUE, (SELECT CAST(sum(n - 1) AS BIGINT) FROM sizes WHE
 SELECT node, is_source, gain, CAST(cost AS BIGINT) AS cost, gain / cost::DOUBLE AS ratio FROM t""")
 def isolation_gains(spark, sf_dir):
     _, arcs, live, start = worlds_of(spark, sf_dir, 8)
-    return blocking.isolation(live, start, arcs, 8).withColumn("cost", F.col("cost").cast("long"))
+    return blocking.isolation(live, start, arcs).withColumn("cost", F.col("cost").cast("long"))
 
 
 def picks_sql(theta: int, k: int) -> str:
@@ -247,13 +254,13 @@ l{i + 1} AS MATERIALIZED (SELECT * FROM l{i} WHERE src NOT IN (SELECT node FROM
 @query("ag_plan", picks_sql(THETA, 4) + " " + " UNION ALL ".join(f"SELECT {i} AS rank, node, gain FROM p{i} WHERE gain > 0" for i in range(1, 5)))
 def ag_plan(spark, sf_dir):
     _, _, live, start = worlds_of(spark, sf_dir)
-    return blocking.advanced_greedy(live, start, THETA, 4)
+    return blocking.advanced_greedy(live, start, 4)
 
 
 @query("gr_plan")
 def gr_plan(spark, sf_dir):
     _, _, live, start = worlds_of(spark, sf_dir)
-    return blocking.greedy_replace(live, start, THETA, 3)
+    return blocking.greedy_replace(live, start, 3)
 
 
 def coverage_sql(theta: int, k: int) -> str:
@@ -268,14 +275,14 @@ d{i + 1} AS MATERIALIZED (SELECT * FROM d{i} p WHERE NOT EXISTS (SELECT 1 FROM d
 @query("coverage_plan", coverage_sql(THETA, 4))
 def coverage_plan(spark, sf_dir):
     _, _, live, start = worlds_of(spark, sf_dir)
-    return blocking.max_coverage(live, start, THETA, 4)
+    return blocking.max_coverage(live, start, 4)
 
 
 @query("cross_validated_pick", _first_pick_sql(16) + """, h AS (SELECT cut, coalesce(sum(gain) FILTER (WHERE sample < 8), 0) AS a, coalesce(sum(gain) FILTER (WHERE sample >= 8), 0) AS b FROM gains GROUP BY cut),
 short AS (SELECT * FROM h ORDER BY a DESC, cut LIMIT 10) SELECT 1 AS rank, cut AS node, CAST(b AS DOUBLE) AS gain FROM short ORDER BY b DESC, cut LIMIT 1""")
 def cross_validated_pick(spark, sf_dir):
     _, _, live, start = worlds_of(spark, sf_dir, 16)
-    return blocking.advanced_greedy(live, start, 16, 1, score=blocking.cross_validated(10))
+    return blocking.scored_pick(live, start, 16, blocking.cross_validated(10))
 
 
 @query("control_variate_gains", _first_pick_sql(16) + """, near AS (SELECT a.dst AS node, a.p AS q FROM arcs a JOIN start ON a.src = start.node),
@@ -298,7 +305,7 @@ def cost_aware_plan(spark, sf_dir):
     edges = edges_of(spark, sf_dir)
     arcs = checkpoint(diffusion.scaled(diffusion.edge_probabilities(edges, "wc"), 200.0))
     start = checkpoint(graph.top(graph.degrees(edges), 1, F.col("deg"), F.col("node")).select("node"))
-    return blocking.cost_aware_plan(checkpoint(diffusion.live_arcs(arcs, 8, seed=SEED)), start, arcs, 8, 16)
+    return blocking.cost_aware_plan(checkpoint(diffusion.worlds_from(arcs, start, 8, seed=SEED)[1]), start, arcs, 16)
 
 
 _SAVED = """WITH RECURSIVE """ + f"{EDGES}, {START}, {WC}, {live_sql(THETA)}, order_of AS (SELECT node, row_number() OVER (ORDER BY deg DESC, node) AS r FROM deg WHERE node NOT IN (SELECT node FROM start))," + f"""
@@ -319,7 +326,7 @@ def saved_fraction(spark, sf_dir):
 def swap_plan(spark, sf_dir):
     edges, _, live, start = worlds_of(spark, sf_dir)
     first = blocking.degree_blocker(edges, start, 2).withColumn("rank", F.row_number().over(W.orderBy(F.col("deg").desc(), "node")))
-    return blocking.best_swaps(live, start, THETA, first)
+    return blocking.best_swaps(live, start, first)
 
 
 @query("removal_plan", picks_sql(8, 2) + " " + " UNION ALL ".join(f"SELECT {i} AS rank, node, CAST((SELECT sum(n) FROM z{i}) - gain AS BIGINT) AS spread FROM p{i}" for i in (1, 2)))
@@ -333,7 +340,7 @@ def world_cuts(spark, sf_dir):
     edges, _, live, start = worlds_of(spark, sf_dir)
     far = graph.reach(edges, start).where("dist > 2").join(graph.degrees(edges), "node")
     targets = [r["node"] for r in graph.top(far, 20, F.col("deg").desc(), F.col("node")).collect()]
-    return blocking.world_cuts(live, start, THETA, targets)
+    return blocking.world_cuts(live, start, targets)
 
 
 # Epidemics and source detection: 2 outbreaks from each of the 6 largest hubs, with their infected seen at a time.
@@ -737,8 +744,10 @@ def commit_exposed(spark, sf_dir):
 
 @query("competing_campaigns")
 def competing_campaigns(spark, sf_dir):
-    edges, _, live, start = worlds_of(spark, sf_dir, 8)
-    good = blocking.degree_blocker(edges, start, 3).select("node")
+    edges = edges_of(spark, sf_dir)
+    arcs, start = diffusion.edge_probabilities(edges, "wc"), checkpoint(hub(edges))
+    good = checkpoint(blocking.degree_blocker(edges, start, 3).select("node"))
+    live = checkpoint(diffusion.worlds_from(arcs, start.union(good), 8, seed=SEED)[1])
     out = diffusion.competing(live, start, good, 8, delay=1)
     return out.groupBy("sample", "campaign").agg(F.count("*").alias("n"), F.max("round").alias("rounds"))
 

@@ -113,9 +113,9 @@ def test_cost_aware_plan_sees_a_cut(spark):
     live = spark.createDataFrame([(0, 0, 1), (0, 0, 2), (0, 1, 3), (0, 2, 3), *((0, 3, k) for k in range(4, 12))], "sample int, src long, dst long")
     arcs = live.select("src", "dst", F.lit(1.0).alias("p"))
     seeds = spark.createDataFrame([(0,)], "node long")
-    assert rows(blocking.cost_aware_plan(live, seeds, arcs, 1, 1), "move", "node", "ratio") == [(1, 3, 9.0)]
+    assert rows(blocking.cost_aware_plan(live, seeds, arcs, 1), "move", "node", "ratio") == [(1, 3, 9.0)]
     hidden = spark.createDataFrame([(0, 0, 1), (0, 0, 2), *((0, a, k) for a in (1, 2) for k in range(4, 12))], "sample int, src long, dst long")
-    got = rows(blocking.cost_aware_plan(hidden, seeds, hidden.select("src", "dst", F.lit(1.0).alias("p")), 1, 2), "move", "node", "ratio")
+    got = rows(blocking.cost_aware_plan(hidden, seeds, hidden.select("src", "dst", F.lit(1.0).alias("p")), 2), "move", "node", "ratio")
     assert got == [(1, 1, 5.0), (1, 2, 5.0)]
 
 
