@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from diffspark.functions.lineage import checkpoint
-from diffspark.operators import diffusion, lazy, sequential
+from diffspark.operators import adaptive, diffusion, exact, lazy, sequential
 from diffspark.plans.queries import _EPROC, _SEQ, GRID, SEED, THETA, _first_pick_sql, edges_of, evidence_of, hub, picks_sql, worlds_of
 from diffspark.plans.registry import query
 from diffspark.streaming.control import RULES, control, control_summary
@@ -95,3 +97,53 @@ def stream_control_summary(spark, sf_dir):
     truth = cascades.select("cascade", (F.col("kappa") > 1).alias("harmful"))
     parts = [control_summary(treated.where(F.col("rule") == rule), truth, act).select(F.lit(rule).alias("rule"), "*") for rule in RULES]
     return reduce(DataFrame.unionByName, parts)
+
+
+@query("contain_adaptive")
+def contain_adaptive(spark, sf_dir):
+    """Each cascade's size with and without containment that plans anew each round from its alarm on, and the nodes that it blocks."""
+    arcs, cascades, act, _, evidence = evidence_of(spark, sf_dir)
+    process = checkpoint(sequential.eprocess(evidence, len(GRID), GRID))
+    alarm = checkpoint(sequential.alarms(process, "log_e", math.log(5)))
+    kappa = checkpoint(process.join(alarm, "cascade").where(F.col("round") == F.col("alarm_round")).select("cascade", F.col("kappa_hat").alias("kappa")))
+    # Evidence of a round may come after the last activation: such a cascade has nothing left to contain.
+    alarm = checkpoint(alarm.join(act.select("cascade", F.col("round").alias("alarm_round")).distinct(), ["cascade", "alarm_round"], "left_semi"))
+    out = adaptive.adaptive_containment(arcs, cascades.select("cascade", "kappa"), act, alarm, kappa, 4, samples=8, held_out=8, seed=SEED)
+    size = lambda df, name: df.groupBy("cascade").agg(F.count("*").alias(name))
+    return size(act, "harm_counterfactual").join(size(out.activations, "harm"), "cascade", "left").join(size(out.blocked, "n_blocked"), "cascade", "left").join(alarm, "cascade", "left").na.fill(0, ["harm", "n_blocked"])
+
+
+# An order and its lines as a ring: from the order to its first line, from line to line, and from the last line back.
+_RING = """lines AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i, l_quantity / 100.0::DOUBLE AS p FROM lineitem),
+ways AS MATERIALIZED (SELECT g, i, exp(sum(ln(p)) OVER (PARTITION BY g ORDER BY i)) AS a,
+  exp(coalesce(sum(ln(p)) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)) * last_value(p) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS b FROM lines)"""
+
+
+def rings(spark, sf_dir) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("graph_id"), (F.col("l_quantity") / 100.0).alias("p"), F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).cast("long").alias("i"))
+    packed = lines.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct((F.col("i") - 1).alias("u"), F.col("i").alias("v"), "p"))).alias("edges"))
+    back = F.element_at("edges", -1)
+    closed = F.array_append("edges", F.struct(back["v"].alias("u"), F.lit(0).cast("long").alias("v"), back["p"].alias("p")))
+    return packed.select("graph_id", closed.alias("edges"), F.array(F.lit(0).cast("long")).alias("seeds"), F.array().cast("array<bigint>").alias("blocked"))
+
+
+@query("exact_spread_rings", f"WITH {_RING} SELECT g AS graph_id, round(sum(a + b - a * b), 9) AS spread FROM ways GROUP BY g")
+def exact_spread_rings(spark, sf_dir):
+    """Exact spread from each order round the ring of its lines, by the frontier's states."""
+    return exact.frontier_spread(rings(spark, sf_dir)).withColumn("spread", F.round("spread", 9))
+
+
+@query("blocking_sets_rings", f"""WITH {_RING},
+sums AS MATERIALIZED (SELECT g, i, coalesce(sum(a) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead, coalesce(sum(b) OVER (PARTITION BY g ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS behind, count(*) OVER (PARTITION BY g) AS n FROM ways),
+pairs AS MATERIALIZED (SELECT x.g, x.i AS lo, y.i AS hi, round(x.ahead + y.behind, 12) AS spread FROM sums x JOIN sums y ON y.g = x.g AND (x.i < y.i OR x.n = 1 AND x.i = y.i)),
+best AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY spread, lo, hi) AS r FROM pairs),
+one AS (SELECT g, i, row_number() OVER (PARTITION BY g ORDER BY round(ahead + behind, 12), i) AS r FROM sums),
+two AS (SELECT p.*, row_number() OVER (PARTITION BY p.g ORDER BY p.spread, CASE WHEN p.lo = o.i THEN p.hi ELSE p.lo END) AS r FROM pairs p JOIN one o ON o.g = p.g AND o.r = 1 AND (p.lo = o.i OR p.hi = o.i))
+SELECT b.g AS graph_id, CASE WHEN b.lo = b.hi THEN b.lo::VARCHAR ELSE b.lo || ',' || b.hi END AS optimal, round(b.spread, 9) AS optimal_spread, CASE WHEN t.lo = t.hi THEN t.lo::VARCHAR ELSE t.lo || ',' || t.hi END AS greedy, round(t.spread, 9) AS greedy_spread
+FROM best b JOIN two t ON t.g = b.g AND t.r = 1 WHERE b.r = 1""")
+def blocking_sets_rings(spark, sf_dir):
+    """The two lines of each order whose blocking leaves least of its exact spread, and the two that exact greedy takes."""
+    graphs = checkpoint(rings(spark, sf_dir))
+    told = lambda df, name: df.select("graph_id", F.array_join(F.col("blocked").cast("array<string>"), ",").alias(name), F.round("spread", 9).alias(f"{name}_spread"))
+    greedy = exact.greedy_sets(graphs, 2)
+    return told(exact.optimal_sets(graphs, 2, bound=greedy), "optimal").join(told(greedy, "greedy"), "graph_id")
