@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from diffspark.functions.lineage import checkpoint, counted
@@ -24,10 +25,10 @@ def placed(arcs: DataFrame, on: list[str]) -> DataFrame:
     return arcs.repartition(n, *on).persist()
 
 
-def explore(arcs: DataFrame, starts: DataFrame, *, keys: list[str] | None = None, coin: Column | None = None, mask: DataFrame | None = None, outside: DataFrame | None = None, max_depth: int | None = None, met: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def explore(arcs: DataFrame, starts: DataFrame, *, keys: list[str] | None = None, coin: Column | None = None, mask: DataFrame | None = None, outside: DataFrame | None = None, max_depth: int | None = None, most: int | None = None, met: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """What ``starts(*keys, node)`` reach along ``arcs(*keys, src, dst)``, all keys at once: (keys, node, dist, parent), and with ``met`` the arcs that leave reached nodes (keys, src, dst).
 
-    ``parent`` is the least node of the round before with an arc to the node, null for starts. ``coin``, over the keys, ``src``, ``dst``, other columns of the arcs and of ``starts``, says which arcs are live; it is asked only where a frontier meets an arc. ``mask(*some keys, node)`` restricts what may be reached, ``outside(*some keys, node)`` what may not; starts needn't be in the one or out of the other.
+    ``parent`` is the least node of the round before with an arc to the node, null for starts. ``coin``, over the keys, ``src``, ``dst``, other columns of the arcs and of ``starts``, says which arcs are live; it is asked only where a frontier meets an arc. ``mask(*some keys, node)`` restricts what may be reached, ``outside(*some keys, node)`` what may not; starts needn't be in the one or out of the other. A key that has reached ``most`` nodes goes no further.
 
     One round extends every key's frontier by a join, leaves out what was reached, and ends when no frontier is left: jobs grow with the depth, not with the number of keys. The arcs are dealt out once for all rounds. Each round is checkpointed.
     """
@@ -40,6 +41,11 @@ def explore(arcs: DataFrame, starts: DataFrame, *, keys: list[str] | None = None
     done, total, parts, depth = front, size, [], 0
     while size and (max_depth is None or depth < max_depth):
         small = front.select(*keys, F.col("node").alias("src"), *carried)
+        if most is not None:
+            if not keys and total >= most:
+                break
+            if keys:
+                small = small.join(done.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") < most).select(*keys), keys, "left_semi")
         step = (F.broadcast(small) if size <= SENT else small).join(arcs, [*shared, "src"])
         if coin is not None:
             step = step.where(coin)
@@ -62,6 +68,16 @@ def explore(arcs: DataFrame, starts: DataFrame, *, keys: list[str] | None = None
     return done.select(*on, "dist", "parent"), found
 
 
+def ball(edges: DataFrame, starts: DataFrame, size: int, *, keys: list[str] | None = None) -> DataFrame:
+    """The ``size`` nodes nearest to the starts of each key, of the last level those of lowest id: keys, node, dist. A key's search ends with the level that fills its ball."""
+    keys = keys or []
+    found = explore(edges, starts.select(*keys, "node"), keys=keys, most=size)[0].drop("parent")
+    if not keys:
+        return top(found, size, F.col("dist"), F.col("node"))
+    order = W.partitionBy(*keys).orderBy("dist", "node")
+    return found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= size).drop("_place")
+
+
 def reach(arcs: DataFrame, starts: DataFrame, *, keys: list[str] | None = None, max_depth: int | None = None, mask: DataFrame | None = None) -> DataFrame:
     """Hop distances from ``starts(*keys, node)`` along ``arcs(*keys, src, dst)``, all keys at once: keys, node, dist (see ``explore``)."""
     keys = keys or []

@@ -96,6 +96,28 @@ def detection_summary(episodes: DataFrame, by: list[str] | None = None) -> DataF
     )
 
 
+def detection_report(episodes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """All of ``detection_summary``, over ``episodes`` with also weighted_harm_at_alarm, kappa and kappa_hat (null without an alarm): and the mean weighted harm at alarm, the share of benign harm that is lost, the mean error of kappa_hat over detected harmful cascades, and the mean final and free harm of harmful ones."""
+    harmful, benign = F.col("harmful"), ~F.col("harmful")
+    mean = lambda c: F.avg(F.when(harmful, c))
+    loss, free = F.sum(F.when(benign, F.col("harm_counterfactual") - F.col("harm_final"))), F.sum(F.when(benign, F.col("harm_counterfactual")))
+    more = episodes.groupBy(*(by or [])).agg(
+        F.count_if(benign).alias("n_benign"), F.count_if(harmful).alias("n_harmful"), mean(F.when(F.col("alarm_round").isNotNull(), F.col("weighted_harm_at_alarm"))).alias("weighted_harm_at_alarm"),
+        F.when(free > 0, loss / free).alias("benign_loss_frac"), mean(F.abs(F.col("kappa_hat") - F.col("kappa"))).alias("kappa_mae"), mean(F.col("harm_final")).alias("harm_final"), mean(F.col("harm_counterfactual")).alias("harm_counterfactual"),
+    )
+    base = detection_summary(episodes, by)
+    return base.join(more, by) if by else base.crossJoin(more)  # one row each
+
+
+def policy_verdict(spreads: DataFrame, a: str, b: str, on: list[str], *, none: str = "none") -> DataFrame:
+    """Policy ``a`` against ``b`` on the same worlds of ``spreads(*on, policy, spread)``: one row with n, each one's saved share against ``none``, gain (mean spread of b less a), its standard error, gain in per cent of the free spread, z, and the verdict: the winner beyond two standard errors, or tie."""
+    wide = pivoted(spreads, on, "policy", [none, a, b], "spread", F.first).na.fill(0)
+    d = F.col(b) - F.col(a)
+    out = wide.agg(F.count("*").alias("n"), *((1 - F.sum(x) / F.sum(none)).alias(f"{x}_saved") for x in (a, b)), F.avg(d).alias("gain"), (F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("se"), (100 * F.sum(d) / F.sum(none)).alias("pct"))
+    out = out.withColumn("z", F.when(F.col("se") > 0, F.col("gain") / F.col("se")))
+    return out.withColumn("verdict", F.when(F.col("z") > 2, f"{a} wins").when(F.col("z") < -2, f"{b} wins").otherwise("tie"))
+
+
 def latest(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     """The latest row of each key."""
     order = W.partitionBy(*keys).orderBy(F.col(by).desc())

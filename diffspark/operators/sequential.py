@@ -91,6 +91,16 @@ def alarms(statistic: DataFrame, column: str, threshold: float, *, strict: bool
     return statistic.where(over).groupBy("cascade").agg(F.min("round").alias("alarm_round"))
 
 
+def never(cascades: DataFrame) -> DataFrame:
+    """No cascade has an alarm: cascade, alarm_round."""
+    return cascades.select("cascade", F.lit(0).alias("alarm_round")).limit(0)
+
+
+def immediate(cascades: DataFrame) -> DataFrame:
+    """Each cascade has its alarm in its first round of evidence: cascade, alarm_round."""
+    return cascades.select("cascade").distinct().withColumn("alarm_round", F.lit(1))
+
+
 def calibrated_threshold(statistic: DataFrame, column: str, alpha: float) -> DataFrame:
     """One row: threshold, the ceil((m + 1)(1 - alpha))-th smallest of the m cascades' largest values (the largest at most)."""
     best = statistic.groupBy("cascade").agg(F.max(column).alias("v"))

@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from diffspark.functions.lineage import checkpoint
-from diffspark.operators import adaptive, diffusion, exact, lazy, sequential
-from diffspark.plans.queries import _EPROC, _SEQ, GRID, SEED, THETA, _first_pick_sql, edges_of, evidence_of, hub, picks_sql, worlds_of
+from diffspark.operators import adaptive, blocking, diffusion, exact, graph, intervals, lazy, metrics, sequential
+from diffspark.plans.queries import _EPROC, _SEQ, CASCADES, EDGES, GRID, SEED, START, THETA, WC, _first_pick_sql, edges_of, evidence_of, hops_sql, hub, live_sql, picks_sql, running_cascades, spread_of, worlds_of
 from diffspark.plans.registry import query
 from diffspark.streaming.control import RULES, control, control_summary
 
@@ -147,3 +147,81 @@ def blocking_sets_rings(spark, sf_dir):
     told = lambda df, name: df.select("graph_id", F.array_join(F.col("blocked").cast("array<string>"), ",").alias(name), F.round("spread", 9).alias(f"{name}_spread"))
     greedy = exact.greedy_sets(graphs, 2)
     return told(exact.optimal_sets(graphs, 2, bound=greedy), "optimal").join(told(greedy, "greedy"), "graph_id")
+
+
+@query("bfs_ball", f"WITH RECURSIVE {EDGES}, {START}, {hops_sql('walk', 'start')} SELECT node, dist FROM walk ORDER BY dist, node LIMIT 300")
+def bfs_ball(spark, sf_dir):
+    """The 300 nodes nearest to the hub."""
+    edges = edges_of(spark, sf_dir)
+    return graph.ball(edges, hub(edges), 300)
+
+
+@query("open_orders", """WITH spans AS (SELECT o_orderkey, any_value(o_orderdate) AS a, max(l_shipdate) AS z FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey),
+events AS (SELECT a AS t, FALSE AS after, 1 AS d FROM spans WHERE a <= z UNION ALL SELECT z, TRUE, -1 FROM spans WHERE a <= z),
+sums AS (SELECT t, after, sum(d) AS d FROM events GROUP BY t, after)
+SELECT CAST(epoch(t) AS BIGINT) AS second, after, CAST(sum(d) OVER (ORDER BY t, after) AS BIGINT) AS open FROM sums""")
+def open_orders(spark, sf_dir):
+    """How many orders are open, from their dates to their last shipments, at each time."""
+    last = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("shipped"))
+    spans = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate").join(last, "o_orderkey")
+    return intervals.open_counts(spans, "o_orderdate", "shipped").select(F.unix_timestamp("time").alias("second"), "after", "open")
+
+
+@query("detection_report", f"""{_SEQ}, {_EPROC}, alarm AS (SELECT cascade, min(round) AS alarm_round FROM ep WHERE log_e >= ln(5) GROUP BY cascade),
+om AS (SELECT src AS node, sum(p) AS m FROM arcs GROUP BY src), fin AS (SELECT cascade, count(*) AS h FROM act GROUP BY cascade),
+hit AS (SELECT a.cascade, count(*) AS h, sum(CASE WHEN a.round > 0 THEN 1 + c.kappa * coalesce(o.m, 0) ELSE 0 END) AS w FROM act a JOIN alarm m ON m.cascade = a.cascade JOIN cascades c ON c.cascade = a.cascade LEFT JOIN om o ON o.node = a.node WHERE a.round <= m.alarm_round GROUP BY a.cascade),
+eps AS (SELECT c.cascade, c.kappa > 1 AS bad, c.kappa, e.kappa_hat, m.alarm_round, t.h AS h, t.w AS w, coalesce(t.h, f.h)::DOUBLE AS hf, f.h::DOUBLE AS hc FROM cascades c JOIN fin f ON f.cascade = c.cascade LEFT JOIN alarm m ON m.cascade = c.cascade LEFT JOIN hit t ON t.cascade = c.cascade LEFT JOIN ep e ON e.cascade = c.cascade AND e.round = m.alarm_round),
+r AS (SELECT avg(CASE WHEN NOT bad THEN CASE WHEN alarm_round IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END END) AS fa, count(*) FILTER (WHERE NOT bad) AS nb, count(*) FILTER (WHERE bad) AS nh, avg(CASE WHEN bad THEN CASE WHEN alarm_round IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END END) AS det,
+  avg(alarm_round) FILTER (WHERE bad) AS delay, avg(h) FILTER (WHERE bad) AS haa, avg(w) FILTER (WHERE bad) AS hwa, 1 - sum(hf) FILTER (WHERE bad) / sum(hc) FILTER (WHERE bad) AS saved, avg(hc - hf) FILTER (WHERE NOT bad) AS bl, sum(hc - hf) FILTER (WHERE NOT bad) / sum(hc) FILTER (WHERE NOT bad) AS blf,
+  avg(abs(kappa_hat - kappa)) FILTER (WHERE bad) AS mae, avg(hf) FILTER (WHERE bad) AS hf, avg(hc) FILTER (WHERE bad) AS hc FROM eps)
+SELECT nb AS n_benign, nh AS n_harmful, round(fa, 6) AS false_alarms, round(sqrt(fa * (1 - fa) / nb), 6) AS false_alarms_se, round(det, 6) AS detected, round(delay, 6) AS delay, round(haa, 6) AS harm_at_alarm, round(hwa, 4) AS weighted_harm_at_alarm,
+  round(saved, 6) AS saved, round(bl, 6) AS benign_loss, round(blf, 6) AS benign_loss_frac, round(mae, 4) AS kappa_mae, round(hf, 6) AS harm_final, round(hc, 6) AS harm_counterfactual FROM r""")
+def detection_report(spark, sf_dir):
+    """Every figure of detection if a cascade stops at its alarm."""
+    arcs, cascades, act, _, ev = evidence_of(spark, sf_dir)
+    process = checkpoint(sequential.eprocess(ev, len(GRID), GRID))
+    alarm = checkpoint(sequential.alarms(process, "log_e", math.log(5)))
+    at = sequential.harm_at_alarm(arcs, act, alarm, cascades.select("cascade", "kappa")).select("cascade", F.col("harm").alias("harm_at_alarm"), F.col("weighted_harm").alias("weighted_harm_at_alarm"))
+    told = process.select("cascade", F.col("round").alias("alarm_round"), "kappa_hat").join(alarm, ["cascade", "alarm_round"])
+    end = act.groupBy("cascade").agg(F.count("*").alias("harm_counterfactual"))
+    eps = cascades.join(end, "cascade").join(told, "cascade", "left").join(at, "cascade", "left")
+    eps = eps.select((F.col("kappa") > 1).alias("harmful"), "kappa", "kappa_hat", "alarm_round", "harm_at_alarm", "weighted_harm_at_alarm", F.coalesce("harm_at_alarm", "harm_counterfactual").alias("harm_final"), "harm_counterfactual")
+    out = metrics.detection_report(checkpoint(eps))
+    fours = ("weighted_harm_at_alarm", "kappa_mae")
+    return out.select(*(F.col(c) if c.startswith("n_") else F.round(c, 4 if c in fours else 6).alias(c) for c in out.columns))
+
+
+@query("policy_verdict", f"""WITH RECURSIVE {EDGES}, {START}, {WC}, {live_sql(THETA)},
+free AS (SELECT s.sample, start.node FROM start, (SELECT unnest(range({THETA})) AS sample) s UNION SELECT l.sample, l.dst FROM free r JOIN live l ON l.sample = r.sample AND l.src = r.node),
+by_reach AS (SELECT r.node FROM free r JOIN deg d ON d.node = r.node WHERE r.node NOT IN (SELECT node FROM start) GROUP BY r.node, d.deg ORDER BY count(*) * (1 + d.deg) DESC, r.node LIMIT 5),
+by_degree AS (SELECT node FROM deg WHERE node NOT IN (SELECT node FROM start) ORDER BY deg DESC, node LIMIT 5),
+plans AS (SELECT 'reach' AS policy, node FROM by_reach UNION ALL SELECT 'degree', node FROM by_degree),
+held AS (SELECT p.policy, s.sample, start.node FROM start, (SELECT unnest(range({THETA})) AS sample) s, (SELECT unnest(['none', 'reach', 'degree']) AS policy) p
+  UNION SELECT r.policy, r.sample, l.dst FROM held r JOIN live l ON l.sample = r.sample AND l.src = r.node WHERE NOT EXISTS (SELECT 1 FROM plans x WHERE x.policy = r.policy AND x.node = l.dst)),
+sizes AS (SELECT sample, count(*) FILTER (WHERE policy = 'none') AS n, count(*) FILTER (WHERE policy = 'reach') AS a, count(*) FILTER (WHERE policy = 'degree') AS b FROM held GROUP BY sample),
+v AS (SELECT count(*) AS n, 1 - sum(a) / sum(n)::DOUBLE AS sa, 1 - sum(b) / sum(n)::DOUBLE AS sb, avg(b - a) AS gain, stddev_samp(b - a) / sqrt(count(*)) AS se, 100 * sum(b - a) / sum(n)::DOUBLE AS pct FROM sizes)
+SELECT n, round(sa, 6) AS reach_saved, round(sb, 6) AS degree_saved, round(gain, 6) AS gain, round(se, 6) AS se, round(pct, 6) AS pct, round(CASE WHEN se > 0 THEN gain / se END, 4) AS z, CASE WHEN se > 0 AND gain / se > 2 THEN 'reach wins' WHEN se > 0 AND gain / se < -2 THEN 'degree wins' ELSE 'tie' END AS verdict FROM v""")
+def policy_verdict(spark, sf_dir):
+    """Five nodes by reach and degree against the five of largest degree, world by world."""
+    edges, _, start, reached, live = spread_of(spark, sf_dir)
+    plans = {"reach": blocking.reach_blocker(edges, reached, start, 5), "degree": blocking.degree_blocker(edges, start, 5)}
+    none = reached.groupBy("sample").agg(F.count("*").alias("spread")).withColumn("policy", F.lit("none"))
+    shut = checkpoint(reduce(DataFrame.unionByName, (p.select(F.lit(name).alias("policy"), "node") for name, p in plans.items())))
+    starts = start.select("node", F.explode(F.sequence(F.lit(0), F.lit(THETA - 1))).alias("sample")).select("sample", "node", F.explode(F.array(*(F.lit(p) for p in plans))).alias("policy"))
+    held = graph.explore(live, starts, keys=["policy", "sample"], outside=shut)[0].groupBy("policy", "sample").agg(F.count("*").alias("spread"))
+    out = metrics.policy_verdict(held.unionByName(none), "reach", "degree", ["sample"])
+    return out.select("n", *(F.round(c, 4 if c == "z" else 6).alias(c) for c in ("reach_saved", "degree_saved", "gain", "se", "pct", "z")), "verdict")
+
+
+@query("trivial_alarms", f"WITH RECURSIVE {EDGES}, {WC}, {CASCADES} SELECT 'immediate' AS detector, cascade, 1 AS alarm_round FROM cascades")
+def trivial_alarms(spark, sf_dir):
+    """The two detectors that look at nothing: one never fires, the other fires at once."""
+    cascades = running_cascades(spark, sf_dir)[1]
+    both = {"never": sequential.never(cascades), "immediate": sequential.immediate(cascades)}
+    return reduce(DataFrame.unionByName, (d.select(F.lit(name).alias("detector"), "cascade", "alarm_round") for name, d in both.items()))
+
+
+@query("union_of_worlds", f"WITH RECURSIVE {EDGES}, {START}, {WC}, {live_sql(THETA)}, reach AS (SELECT s.sample, start.node FROM start, (SELECT unnest(range({THETA})) AS sample) s UNION SELECT l.sample, l.dst FROM reach r JOIN live l ON l.sample = r.sample AND l.src = r.node) SELECT l.src, l.dst, count(*) AS worlds FROM live l JOIN reach r ON r.sample = l.sample AND r.node = l.src GROUP BY l.src, l.dst")
+def union_of_worlds(spark, sf_dir):
+    """The arcs that are live in any world that the hub's cascades meet, with the number of these worlds."""
+    return worlds_of(spark, sf_dir)[2].groupBy("src", "dst").agg(F.count("*").alias("worlds"))
