@@ -64,7 +64,7 @@ def explore(arcs: DataFrame, starts: DataFrame, *, keys: list[str] | None = None
         if depth % 8 == 0:
             done = checkpoint(done)
     arcs.unpersist()
-    found = reduce(DataFrame.unionByName, parts) if parts else arcs.limit(0).crossJoin(own.limit(0).drop("node")).select(*keys, "src", "dst") if met else None
+    found = reduce(DataFrame.unionByName, parts) if parts else own.limit(0).select(*keys, F.col("node").alias("src"), F.col("node").alias("dst")) if met else None
     return done.select(*on, "dist", "parent"), found
 
 
