@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from diffspark.llm._common import checkpoint
 
+#: Edges, at most, of a graph whose least neighbours are sent to all tasks.
+SENT = 100_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """The smallest node that each node of ``edges(a, b)`` can reach: node, component.
@@ -14,12 +17,13 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rewriting: every round each node links its larger neighbours, then its smaller ones and itself, to the least node around it, until every edge is a node and its component's least. Rounds grow as the logarithm of the longest path. Each is two grouped minima and joins over edges, and is checkpointed; no component is gathered anywhere, and a node of many neighbours is one key of a join that Spark can split.
     """
     now = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    few = now.count() <= SENT  # edges never become more
 
     def star(pairs: DataFrame, small: bool) -> DataFrame:
         """pairs(u, v), u > v. small: over each u's smaller neighbours; else over every node's neighbours, moving the larger ones."""
         around = pairs if small else pairs.union(pairs.select("v", "u"))
         least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        joined = around.join(least, "u")
+        joined = around.join(F.broadcast(least) if few else least, "u")
         if small:
             moved = joined.select(F.col("v").alias("x"), "m").union(least.select("u", "m"))
         else:

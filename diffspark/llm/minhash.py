@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from diffspark.llm._common import checkpoint, words
+from diffspark.llm._common import checkpoint, trim, words
+from diffspark.llm._packed import slices
 from diffspark.llm.components import components
 
 #: Coordinates of a signature, and how many two signatures must share. At the threshold of 0.75, fewer agree by chance in one pair of 10**9 or less.
@@ -92,6 +91,7 @@ def signatures(docs: DataFrame, *, doc_id: str, text: str, n: int, coordinates:
                 sig.append(signature(s, keys) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(body, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], ["id", "n_shingles", "set_a", "set_b", "body", "signature"])
         _hashes.clear()
+        trim()
 
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "id long, n_shingles long, set_a long, set_b long, body long, signature array<int>")
@@ -128,6 +128,7 @@ def verified(pairs: DataFrame, texts: DataFrame, *, n: int, percent: int) -> Dat
                     keep.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in names], names)
         _hashes.clear()
+        trim()
 
     full = pairs.join(texts.select(F.col("rep").alias("b"), F.col("tag").alias("tb"), F.col("z").alias("zb")), ["b", "tb"])
     full = full.join(texts.select(F.col("rep").alias("a"), F.col("tag").alias("ta"), F.col("z").alias("za")), ["a", "ta"])
@@ -145,6 +146,7 @@ def tokens_of(rows: DataFrame, n: int) -> DataFrame:
                 row = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays([part.column("rep").take(row), part.column("tag").take(row), pa.array(np.concatenate(sets).view("i8"))], ["rep", "tag", "shingle"])
         _hashes.clear()
+        trim()
 
     return rows.select("rep", "tag", "z").mapInArrow(run, "rep long, tag long, shingle long")
 
@@ -152,7 +154,7 @@ def tokens_of(rows: DataFrame, n: int) -> DataFrame:
 def across(nodes: DataFrame, texts: DataFrame, *, n: int, percent: int) -> DataFrame:
     """Every pair of ``nodes(rep, tag, component, stray, size)`` from two components, one of them a stray at least, that may be alike: a, ta, b, tb.
 
-    An exact prefix join over the nodes' full shingle sets. Each set is ordered from the shingles that fewest nodes have to those that most have; those of one component alone come before all, as they can't be common to such a pair. If two sets are alike, then at the first shingle that they share, in this order, each must still have enough shingles to reach the overlap that the threshold asks for; so a shingle is posted only as far as that holds for a partner of some size (``prefix_sides``), and two sets meet under it only if their sizes allow it. Pages of one template with some text of their own have too few left by the first shingle that they share, unless they are alike, and aren't posted under it at all.
+    An exact prefix join over the nodes' full shingle sets. Each set is ordered from the shingles that fewest nodes have to those that most have; those of one component alone come before all, as they can't be common to such a pair. If two sets are alike, then at the first shingle that they share, in this order, each must still have enough shingles to reach the overlap that the threshold asks for; so a shingle is posted only as far as that holds for a partner of some size, and the smaller of two sets is found by fewer of its shingles than the larger (``prefix_sides``). Pages of one template with some text of their own have too few left by the first shingle that they share, unless they are alike, and aren't posted under it at all.
     """
     tokens = checkpoint(tokens_of(texts.join(nodes.select("rep", "tag"), ["rep", "tag"]), n))
     owners = tokens.join(nodes.select("rep", "tag", "component"), ["rep", "tag"])
@@ -161,29 +163,20 @@ def across(nodes: DataFrame, texts: DataFrame, *, n: int, percent: int) -> DataF
     left = tokens.join(counts, "shingle").withColumn("left", F.row_number().over(order))
     posts = checkpoint(left.join(nodes, ["rep", "tag"]).where(100 * F.col("left") >= percent * F.col("size")).select("shingle", "rep", "tag", "component", "stray", "size", "left"))
     smaller, larger = prefix_sides(posts, percent)
+    # A stray meets all as the smaller set, and strays alone are met by the others: one join, in which no two of a list's largest component meet.
+    x = smaller.withColumn("role", F.when(F.col("stray"), 0).otherwise(1)).alias("x")
+    y = larger.withColumn("role", F.explode(F.when(F.col("stray"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).alias("y")
     enough = F.least("x.left", "y.left") * (100 + percent) >= percent * (F.col("x.size") + F.col("y.size"))
-    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.lesser") == F.col("y.lesser")) & (F.col("x.greater") == F.col("y.greater"))
-    met &= (F.col("x.component") != F.col("y.component")) & (F.col("x.size") <= F.col("y.size")) & enough
-    sides = ((smaller.where("stray"), larger), (smaller.where("not stray"), larger.where("stray")))
-    return reduce(DataFrame.union, (x.alias("x").join(y.alias("y"), met).select(*ordered("x", "y")) for x, y in sides)).distinct()
-
-
-def size_bucket(size: Column) -> Column:
-    """Sizes in steps of a twentieth."""
-    return F.floor(F.log(size) / math.log(1.05)).cast("int")
+    met = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.role") == F.col("y.role")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.size") <= F.col("y.size")) & enough
+    return x.join(y, met).select(*ordered("x", "y")).distinct()
 
 
 def prefix_sides(posts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``posts(shingle, size, left)`` as the smaller and as the larger set of a pair, in the buckets of sizes (lesser, greater) under which they are to meet.
+    """Of ``posts(shingle, size, left)`` those under which a set can be the smaller one of a pair, and those under which it can be the larger one.
 
-    With ``left`` shingles to come, itself included, a set of ``size`` can reach the threshold with sets of at most left * (100 + percent) / percent - size shingles. As the smaller of a pair it has a partner of its own size at least, which few of its shingles allow; as the larger one, a partner of percent / 100 of its size.
+    ``left`` shingles to come, itself included, must hold an overlap of percent / (100 + percent) of both sizes together. The smaller of a pair has a partner of its own size at least, which few of its shingles allow; the larger one a partner of percent / 100 of its size.
     """
-    most = F.floor(F.col("left") * (100 + percent) / percent) - F.col("size")
-    own = size_bucket(F.col("size"))
-    smaller = posts.where((100 + percent) * F.col("left") >= 2 * percent * F.col("size")).withColumn("lesser", own).withColumn("greater", F.explode(F.sequence(own, F.greatest(own, size_bucket(most)))))
-    low = size_bucket(F.ceil(percent * F.col("size") / 100))
-    larger = posts.withColumn("greater", own).withColumn("lesser", F.explode(F.sequence(low, F.greatest(low, size_bucket(F.least(F.col("size"), most))))))
-    return smaller, larger
+    return posts.where((100 + percent) * F.col("left") >= 2 * percent * F.col("size")), posts.where(100 * F.col("left") >= percent * F.col("size"))
 
 
 def ordered(x: str, y: str) -> list:
@@ -218,9 +211,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([body_hash(x) for x in texts], pa.int64()), pa.array([pack.compress((x or "").encode()) for x in texts], pa.binary())], ["rep", "body", "z"])
+        trim()
 
     rows = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).where("rep is not null").mapInArrow(packed, "rep long, body long, z binary")
     texts = checkpoint(rows.join(wanted, "rep").where("tag = 0 or tag = body").select("rep", "tag", "z").dropDuplicates(["rep", "tag"]))

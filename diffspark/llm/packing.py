@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from diffspark.llm._common import checkpoint
+from diffspark.llm._common import checkpoint, trim
 from diffspark.llm._packed import slices
 
 CAPACITY = 4096
@@ -127,6 +127,7 @@ def tokenize(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str =
             out = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), ["doc_id", *names, *(["ids"] if with_ids else [])])
         encode.forget()
+        trim()
 
     kind = dict(docs.select(F.col(doc_id).alias("doc_id")).dtypes)["doc_id"]
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names) + (", ids array<int>" if with_ids else ""))
