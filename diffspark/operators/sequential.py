@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -115,14 +115,21 @@ def features(activations: DataFrame, last_round: int) -> DataFrame:
     return early.groupBy("cascade").agg(F.max("size").alias("size"), F.max("round").alias("rounds"), F.avg("new").alias("mean_new"), F.max("new").alias("max_new"), F.max_by("new", "round").alias("last_new"))
 
 
-def fit_logistic(rows: DataFrame, columns: list[str], label: str = "harmful"):
-    """L2 logistic regression on standardised features; the penalty is that of C = 1, that is 1 / rows."""
+def fit_logistic(rows: DataFrame, columns: list[str], label: str = "harmful") -> Column:
+    """The probability of ``label``, over ``columns``, by L2 logistic regression on standardised features; the penalty is that of C = 1, that is 1 / rows.
+
+    It is a column, not the fitted model: that one holds its training summary and with it the session, which can't be sent to tasks once the session has observed a query.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     data = rows.withColumn("label", F.col(label).cast("double"))
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), LogisticRegression(regParam=1.0 / max(data.count(), 1))]).fit(data)
+    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), LogisticRegression(regParam=1.0 / max(data.count(), 1))]).fit(data).stages[-1]
+    margin = F.lit(float(model.intercept))
+    for c, weight in zip(columns, model.coefficients.toArray().tolist(), strict=True):
+        margin = margin + weight * F.col(c)
+    return 1 / (1 + F.exp(-margin))
 
 
 def throttle_by_weight(rows: DataFrame, fraction: float, *, weight: str = "weight", mass: str = "mass") -> DataFrame:

@@ -722,12 +722,10 @@ def early_features(spark, sf_dir):
 
 @query("logistic_early")
 def logistic_early(spark, sf_dir):
-    from pyspark.ml.functions import vector_to_array
-
     _, cascades, act = running_cascades(spark, sf_dir)
     rows = sequential.features(act, 3).join(cascades.select("cascade", (F.col("kappa") > 1).alias("harmful")), "cascade")
-    model = sequential.fit_logistic(rows, ["size", "rounds", "mean_new", "max_new", "last_new"])
-    return model.transform(rows).select("cascade", "harmful", F.round(vector_to_array("probability")[1], 6).alias("posterior"))
+    posterior = sequential.fit_logistic(rows, ["size", "rounds", "mean_new", "max_new", "last_new"])
+    return rows.select("cascade", "harmful", F.round(posterior, 6).alias("posterior"))
 
 
 @query("commit_exposed", f"""WITH RECURSIVE {EDGES}, {WC}, {CASCADES}, early AS (SELECT cascade, node, round FROM act WHERE round <= 1),

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from diffspark.functions.lineage import counted
 from diffspark.functions.rng import uniform
 from diffspark.operators import blocking, detect, diffusion, graph, metrics, sequential
 from diffspark.sources import graphs
@@ -205,3 +206,18 @@ def test_report_shapes(spark):
     assert (got["n"], got["mean"], got["win_rate"]) == (2, -0.5, 0.75)
     assert rows(metrics.latest(r, ["method"], "i"), "method", "v") == [("a", 4.0), ("b", 4.0)]
     assert rows(metrics.pivoted(r, ["i"], "method", ["a", "b"], "v"), "i", "a", "b") == [(1, 2.0, 3.0), (2, 4.0, 4.0)]
+
+
+def test_logistic_in_a_session_that_has_observed(spark):
+    counted(spark.range(3).toDF("id"))  # such a session can't be sent to tasks, nor can what holds it
+    data = [(1.0, 0), (2.0, 0), (3.0, 1), (4.0, 0), (6.0, 1), (9.0, 1)]
+    r = spark.createDataFrame([(x, bool(y)) for x, y in data], "x double, harmful boolean")
+    p = {t["x"]: t["p"] for t in r.withColumn("p", sequential.fit_logistic(r, ["x"])).collect()}
+    w = math.log(p[2.0] / (1 - p[2.0])) - math.log(p[1.0] / (1 - p[1.0]))
+    n, mean = len(data), sum(x for x, _ in data) / len(data)
+    variance = sum((x - mean) ** 2 for x, _ in data) / (n - 1)
+    # At the optimum both derivatives of the mean loss and its penalty of 1 / n are 0.
+    assert sum(p[x] - y for x, y in data) / n == pytest.approx(0, abs=1e-4)
+    assert sum((p[x] - y) * x for x, y in data) / n + w * variance / n == pytest.approx(0, abs=1e-4)
+    one = spark.createDataFrame([(1.0, True), (2.0, True)], "x double, harmful boolean")
+    assert rows(one.withColumn("p", sequential.fit_logistic(one, ["x"])), "p") == [(1.0,), (1.0,)]
