@@ -6,14 +6,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from diffspark.llm._common import SPACE
-from diffspark.llm.samples import first_by_hash, labelled
+from diffspark.llm._common import SPACE, checkpoint
 
 SYMBOLS = "#*$%&|<>"
+#: Bins of anomalies from 0 to 1.
+BINS = 1 << 16
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _UPPER = bytes(range(65, 91))
 _DIGIT = bytes(range(48, 58))
@@ -91,43 +94,58 @@ class Forest:
         return 2.0 ** (-total / len(self.feature) / max(path_norm(self.rows), 1e-9))
 
 
-def isolation_forest(x: np.ndarray, *, low: np.ndarray | None = None, high: np.ndarray | None = None, trees: int = 100, rows: int = 256, seed: int = 7) -> Forest:
-    """Trees over random subsets of ``rows`` rows, split at a random place of a random feature.
+def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, height: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A tree over the rows ``x``, split at a random place of a random feature: feature, split, depth by node.
 
     Half of the splits, at random, lie between the least and largest value of the node's rows. Half cut off a part of the node's box that holds none of them, the whole box reaching from ``low`` to ``high``; the wider a feature's empty part, the likelier it is taken. So a row that differs in a feature that all of ``x`` share is set apart early.
     """
-    rng = np.random.default_rng(seed)
-    low, high = x.min(0) if low is None else low, x.max(0) if high is None else high
     width = np.tile(np.maximum(high - low, 1e-12), 2)
-    rows = min(rows, len(x))
-    height = max(1, int(np.ceil(np.log2(max(rows, 2)))))
     nodes = 2 ** (height + 1) - 1
-    feature, split, depth = np.full((trees, nodes), -1), np.zeros((trees, nodes)), np.zeros((trees, nodes))
-    for t in range(trees):
-        stack = [(0, 0, x[rng.choice(len(x), rows, replace=False)], low, high)]
-        while stack:
-            k, level, part, a, b = stack.pop()
-            if level == height or not len(part):
-                depth[t, k] = level + path_norm(len(part))
-                continue
-            near, far = part.min(0), part.max(0)
-            empty = np.concatenate([near - a, b - far]) / width
-            empty[empty < 1e-9] = 0
-            wide = np.flatnonzero(far > near)
-            if empty.sum() > 0 and (rng.random() < 0.5 or not len(wide)):
-                side, f = divmod(int(rng.choice(len(empty), p=empty / empty.sum())), len(a))
-                s = max(rng.uniform(far[f], b[f]), np.nextafter(far[f], np.inf)) if side else rng.uniform(a[f], near[f])
-            elif len(wide) and len(part) > 1:
-                f = int(rng.choice(wide))
-                s = rng.uniform(near[f], far[f])
-            else:
-                depth[t, k] = level + path_norm(len(part))
-                continue
-            feature[t, k], split[t, k] = f, s
-            cut_b, cut_a = b.copy(), a.copy()
-            cut_b[f] = cut_a[f] = s
-            stack += [(2 * k + 1, level + 1, part[part[:, f] < s], a, cut_b), (2 * k + 2, level + 1, part[part[:, f] >= s], cut_a, b)]
-    return Forest(feature, split, depth, height, rows)
+    feature, split, depth = np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes)
+    stack = [(0, 0, x, low, high)]
+    while stack:
+        k, level, part, a, b = stack.pop()
+        if level == height or not len(part):
+            depth[k] = level + path_norm(len(part))
+            continue
+        near, far = part.min(0), part.max(0)
+        empty = np.concatenate([near - a, b - far]) / width
+        empty[empty < 1e-9] = 0
+        wide = np.flatnonzero(far > near)
+        if empty.sum() > 0 and (rng.random() < 0.5 or not len(wide)):
+            side, f = divmod(int(rng.choice(len(empty), p=empty / empty.sum())), len(a))
+            s = max(rng.uniform(far[f], b[f]), np.nextafter(far[f], np.inf)) if side else rng.uniform(a[f], near[f])
+        elif len(wide) and len(part) > 1:
+            f = int(rng.choice(wide))
+            s = rng.uniform(near[f], far[f])
+        else:
+            depth[k] = level + path_norm(len(part))
+            continue
+        feature[k], split[k] = f, s
+        cut_b, cut_a = b.copy(), a.copy()
+        cut_b[f] = cut_a[f] = s
+        stack += [(2 * k + 1, level + 1, part[part[:, f] < s], a, cut_b), (2 * k + 2, level + 1, part[part[:, f] >= s], cut_a, b)]
+    return feature, split, depth
+
+
+def isolation_forest(grown: DataFrame, n: int, low: np.ndarray, high: np.ndarray, *, trees: int, rows: int, seed: int) -> Forest:
+    """A forest over the ``n`` rows of ``grown(hash, features)``: each tree draws its own ``rows`` of them all (the subsampling that makes an isolation forest), by hash, and is grown in a task of its own."""
+    rows = min(rows, n)
+    height = max(1, int(np.ceil(np.log2(max(rows, 2)))))
+    drawn = lambda t: F.shiftrightunsigned(F.xxhash64("hash", t, F.lit(seed)), 33)
+    # So many that fewer than ``rows`` are drawn in no tree, but for one in 10**20; the first of them are taken.
+    most = int(min(1.0, (rows + 10 * rows**0.5) / n) * 2**31)
+    some = grown.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: drawn(t) < most))).withColumn("draw", drawn(F.col("tree")))
+    order = W.partitionBy("tree").orderBy("draw", "hash")
+    some = some.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= rows)
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["draw", "hash"])
+        t = int(part["tree"].iloc[0])
+        return pd.DataFrame([(t, *(c.tolist() for c in grow(np.stack(part["features"].to_numpy()), low, high, height, np.random.default_rng([seed, t]))))], columns=["tree", "feature", "split", "depth"])
+
+    got = some.select("tree", "draw", "hash", "features").groupBy("tree").applyInPandas(one, "tree int, feature array<int>, split array<double>, depth array<double>").orderBy("tree").collect()
+    return Forest(*(np.array([r[c] for r in got]) for c in ("feature", "split", "depth")), height, rows)
 
 
 def rule_statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,34 +161,58 @@ def rule_statistics(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in BASE) + ", features array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", among: Column | None = None, per_class: int = 2000, keep_good: float = 0.99, trees: int = 100, rows: int = 256) -> Forest:
-    """A forest over at most ``per_class`` documents labelled good (of quality 1; over any documents where there is no label), and the threshold of anomaly. ``among`` restricts the documents that are learnt from.
+def scored(rows: DataFrame, forest: Forest, *keep: str) -> DataFrame:
+    """The columns ``keep`` of ``rows``, and the anomaly of its features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.array(b.column("features").to_pylist()).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(forest.score(x))], [*keep, "anomaly"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*keep, "features").mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in keep) + "anomaly double")
+
+
+def threshold(judged: DataFrame, n_good: int, n_bad: int, keep_good: float) -> float:
+    """Of the anomalies of ``judged(good, anomaly)`` the one that best tells good rows from bad ones (share of bad above less share of good above, the least of equal ones), but at least the one below which a share ``keep_good`` of the good rows lies.
+
+    Exact over all rows: equal anomalies are counted first, and summed up within ``BINS`` equal bins, to which the sums of the bins before are added.
+    """
+    cuts = judged.groupBy("anomaly").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")).withColumn("bin", F.floor(F.col("anomaly") * BINS))
+    before = W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    offsets = cuts.groupBy("bin").agg(F.sum("g").alias("_g"), F.sum("b").alias("_b")).select("bin", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_g", "_b")))
+    within = W.partitionBy("bin").orderBy("anomaly").rowsBetween(W.unboundedPreceding, 0)
+    sums = cuts.join(offsets, "bin").select("anomaly", (F.sum("g").over(within) + F.col("_g")).alias("g"), (F.sum("b").over(within) + F.col("_b")).alias("b"))
+    place = min(n_good - 1, int(np.ceil(keep_good * n_good)))
+    gain = (n_bad - F.col("b")) * n_good - (n_good - F.col("g")) * n_bad
+    least, best = sums.agg(F.min(F.when(F.col("g") > place, F.col("anomaly"))), F.max(F.struct(gain.alias("gain"), (-F.col("anomaly")).alias("cut")))["cut"]).first()
+    return max(least, -best) if n_bad else least
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", among: Column | None = None, keep_good: float = 0.99, trees: int = 100, rows: int = 256, seed: int = 7) -> Forest:
+    """A forest over all documents labelled good (of quality 1; over all documents where none is), and the threshold of anomaly. ``among`` restricts the documents that are learnt from.
 
-    One half of the labelled rows grows the trees and bounds their box, the other calibrates: the threshold is the score that best tells its good rows from its bad ones (share of bad above less share of good above), but at least the score below which a share ``keep_good`` of its good rows lies.
+    One half of the labelled rows, by hash, grows the trees and bounds their box; the other calibrates the ``threshold``. Where a half would be empty, all rows do both. Rows that have more than one label count with the larger one; rows of one id that differ count each, null ids have no label.
     """
     own = docs if among is None else docs.where(among)
-    sample = labelled(own, labels, "quality", doc_id=doc_id, text=text, per_class=per_class)
-    stats = rule_statistics(sample.select("id", "text"), doc_id="id").select(F.col("doc_id").alias("id"), "features")
-    got = sorted((r["id"], r["label"], r["features"]) for r in stats.join(F.broadcast(sample.select("id", "label")), "id").collect())
-    x, y = np.array([g[2] for g in got]).reshape(-1, FEATURES), np.array([g[1] for g in got])
-    good, bad = x[y == 1], x[y == 0]
-    if not len(good):
-        keys = first_by_hash(own.select(F.col(doc_id).alias("id")).where("id is not null"), per_class, F.col("id")).distinct()
-        some = own.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(keys), "id").dropDuplicates(["id"])
-        good = np.array([r["features"] for r in rule_statistics(some, doc_id="id").orderBy("doc_id").collect()]).reshape(-1, FEATURES)
-        if not len(good):
-            return isolation_forest(np.zeros((1, FEATURES)), trees=1, rows=1)
-    grown, judged = (good[::2], good[1::2]) if len(good) > 1 else (good, good)
-    box = np.concatenate([grown, bad[::2]])
-    forest = isolation_forest(grown, low=box.min(0), high=box.max(0), trees=trees, rows=rows)
-    sg = np.sort(forest.score(judged))
-    least = sg[min(len(sg) - 1, int(np.ceil(keep_good * len(sg))))]
-    forest.threshold = float(least)
-    if len(bad) > 1:
-        sb = np.sort(forest.score(bad[1::2]))
-        cuts = np.concatenate([sg, sb])
-        gain = (1 - np.searchsorted(sb, cuts, "right") / len(sb)) - (1 - np.searchsorted(sg, cuts, "right") / len(sg))
-        forest.threshold = float(max(least, cuts[np.argmax(gain)]))
+    stats = rule_statistics(own, doc_id=doc_id, text=text).select(F.col("doc_id").alias("id"), "features")
+    told = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("id")).agg((F.max("quality") == 1).alias("good"))
+    hashed = lambda d: d.distinct().withColumn("hash", F.xxhash64("id", "features")).withColumn("half", F.pmod(F.xxhash64("hash", F.lit("half")), F.lit(2)).cast("int"))
+    known = checkpoint(hashed(stats.join(told, "id")))
+    if known.where("good").isEmpty():
+        known = checkpoint(known.union(hashed(stats.withColumn("good", F.lit(True))).select(known.columns)))
+    ends = [f(F.col("features")[k]).alias(f"{name}{k}") for name, f in (("low", F.min), ("high", F.max)) for k in range(FEATURES)]
+    sizes = {(r["good"], r["half"]): r for r in known.groupBy("good", "half").agg(F.count("*").alias("n"), *ends).collect()}
+    halves = {(good, half): [h for h in (0, 1) if (good, h) in sizes and (h == half or (good, 1 - h) not in sizes)] for good in (True, False) for half in (0, 1)}
+    n = {k: sum(sizes[k[0], h]["n"] for h in v) for k, v in halves.items()}
+    if not n[True, 0]:
+        return Forest(np.full((1, 3), -1), np.zeros((1, 3)), np.zeros((1, 3)), 1, 1)
+    box = [sizes[good, h] for good in (True, False) for h in halves[good, 0]]
+    low, high = (f([[r[f"{name}{k}"] for k in range(FEATURES)] for r in box]) for name, f in (("low", lambda x: np.min(x, 0)), ("high", lambda x: np.max(x, 0))))
+    grown = known.where(F.col("good") & F.col("half").isin(halves[True, 0]))
+    forest = isolation_forest(grown.select("hash", "features"), n[True, 0], low, high, trees=trees, rows=rows, seed=seed)
+    judged = known.where(F.when(F.col("good"), F.col("half").isin(halves[True, 1])).otherwise(F.col("half").isin(halves[False, 1])))
+    forest.threshold = threshold(scored(judged, forest, "good"), n[True, 1], n[False, 1], keep_good)
     return forest
 
 
@@ -182,12 +224,6 @@ def quality(docs: DataFrame, forest: Forest, *, doc_id: str = "doc_id", text: st
     Defined cases: a null or empty text has no words and fails; repeated rows and null ids give a row each; an empty table gives an empty table; other columns are not read.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.array(b.column("features").to_pylist()).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *BASE)), pa.array(forest.score(x))], ["doc_id", *BASE, "anomaly"])
-
-    stats = rule_statistics(docs, doc_id=doc_id, text=text)
-    out = stats.mapInArrow(run, f"doc_id {dict(stats.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in BASE) + ", anomaly double")
+    out = scored(rule_statistics(docs, doc_id=doc_id, text=text), forest, "doc_id", *BASE)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("anomaly") <= forest.threshold))

@@ -565,6 +565,21 @@ def test_quality_catches_what_the_base_rules_pass(spark):
     assert quality.quality(odd.limit(0), quality.fit(odd.limit(0), y.limit(0))).isEmpty()
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    """Each of over 2,000 labelled rows counts: the threshold is that of all rows of the calibrating half, and the trees draw from all rows of the other."""
+    rng = random.Random(19)
+    rows = [(i, words(rng, rng.randint(5, 15)) + (" |" if i % 9 == 0 else "")) for i in range(6000)]
+    d, y = docs(spark, rows), spark.createDataFrame([(i, int(i % 9 > 0), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    forest = quality.fit(d, y, trees=20)
+    stats = quality.rule_statistics(d).withColumn("hash", F.xxhash64("doc_id", "features"))
+    got = quality.scored(stats.withColumn("half", F.pmod(F.xxhash64("hash", F.lit("half")), F.lit(2))), forest, "doc_id", "half").where("half = 1").collect()
+    good, bad = (sorted(r["anomaly"] for r in got if (r["doc_id"] % 9 > 0) == g) for g in (True, False))
+    assert len(good) > 2500 and len(bad) > 250
+    cuts = sorted({*good, *bad})
+    gain = [(sum(b > c for b in bad)) * len(good) - sum(g > c for g in good) * len(bad) for c in cuts]
+    assert forest.threshold == max(good[min(len(good) - 1, math.ceil(0.99 * len(good)))], cuts[gain.index(max(gain))])
+
+
 def test_imatch(spark, odd):
     rng = random.Random(11)
     texts = [(i * 7, words(rng, 90, 1500)) for i in range(300)] + [(5000, "tail"), (5001, "tail")]
