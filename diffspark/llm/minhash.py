@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from diffspark.llm._common import checkpoint, trim, words
+from diffspark.llm._common import checkpoint, gathered, trim, words
 from diffspark.llm._packed import slices
 from diffspark.llm.components import components
 
@@ -161,7 +161,7 @@ def across(nodes: DataFrame, texts: DataFrame, *, n: int, percent: int) -> DataF
     counts = owners.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle", "holders")
     order = W.partitionBy("rep", "tag").orderBy(F.col("holders").desc(), "shingle")
     left = tokens.join(counts, "shingle").withColumn("left", F.row_number().over(order))
-    posts = checkpoint(left.join(nodes, ["rep", "tag"]).where(100 * F.col("left") >= percent * F.col("size")).select("shingle", "rep", "tag", "component", "stray", "size", "left"))
+    posts = gathered(left.join(nodes, ["rep", "tag"]).where(100 * F.col("left") >= percent * F.col("size")).select("shingle", "rep", "tag", "component", "stray", "size", "left"))
     smaller, larger = prefix_sides(posts, percent)
     # A stray meets all as the smaller set, and strays alone are met by the others: one join, in which no two of a list's largest component meet.
     x = smaller.withColumn("role", F.when(F.col("stray"), 0).otherwise(1)).alias("x")
@@ -200,14 +200,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     sigs = checkpoint(signatures(docs, doc_id=doc_id, text=text, n=n, coordinates=coordinates, seed=seed))
     own = sigs.where("n_shingles > 0 and id is not null")
-    several = checkpoint(own.groupBy("id").agg(F.min("set_b").alias("low"), F.max("set_b").alias("high")).where("low < high").select("id"))
+    several = gathered(own.groupBy("id").agg(F.min("set_b").alias("low"), F.max("set_b").alias("high")).where("low < high").select("id"))
     classes = own.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "body")).alias("least"), F.first("signature").alias("signature"), F.first("n_shingles").alias("size"))
     classes = classes.select("set_a", "set_b", F.col("least.id").alias("rep"), "least.body", "signature", "size").join(several.select(F.col("id").alias("rep"), F.lit(True).alias("_several")), "rep", "left")
-    sets = checkpoint(classes.withColumn("tag", F.when(F.col("_several"), F.col("body")).otherwise(0)).select("rep", "tag", "set_a", "set_b", "signature", "size"))
-    posts = checkpoint(prefixes(sets, coordinates, least))
+    sets = gathered(classes.withColumn("tag", F.when(F.col("_several"), F.col("body")).otherwise(0)).select("rep", "tag", "set_a", "set_b", "signature", "size"))
+    posts = gathered(prefixes(sets, coordinates, least))
     wanted = posts.select("rep", "tag").distinct()
     # Rows of one id are one document: their classes are linked with it.
-    same_id = checkpoint(own.join(several, "id").join(sets, ["set_a", "set_b"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct())
+    same_id = gathered(own.join(several, "id").join(sets, ["set_a", "set_b"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct())
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         member = member.select("list", "rep", "tag", F.coalesce("component", "rep").alias("component"), F.coalesce("ties", F.lit(0)).alias("ties"))
         parts = member.groupBy("list", "component").agg(F.count("*").alias("k"))
         largest = parts.groupBy("list").agg(F.max(F.struct("k", "component"))["component"].alias("largest"), F.count("*").alias("parts")).where("parts > 1").select("list", "largest")
-        return checkpoint(member.join(largest, "list").select("list", "rep", "tag", "component", "ties", (F.col("component") == F.col("largest")).alias("main")))
+        return gathered(member.join(largest, "list").select("list", "rep", "tag", "component", "ties", (F.col("component") == F.col("largest")).alias("main")))
 
     def with_hubs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
         """Each node with the hubs of most of its lists, ``HUBS`` at most; what they leave apart is joined by ``across``."""
@@ -246,18 +246,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     pair = ["a", "ta", "b", "tb"]
     leaders = posts.groupBy("list").agg(F.min(F.struct("rep", "tag")).alias("hub")).select("list", "hub.*")
-    tried = checkpoint(with_hubs(posts, leaders))
-    links = checkpoint(alike(tried))
+    tried = gathered(with_hubs(posts, leaders))
+    links = gathered(alike(tried))
     open_lists = members(links)
     for _ in range(hub_rounds):
         hubs = open_lists.where("main").groupBy("list").agg(F.max(F.struct("ties", (-F.col("rep")).alias("rep"), "tag")).alias("hub")).select("list", (-F.col("hub.rep")).alias("rep"), "hub.tag")
-        pairs = checkpoint(with_hubs(open_lists.where("not main"), hubs).join(tried, pair, "left_anti"))
-        links, tried = checkpoint(links.union(alike(pairs))), tried.union(pairs)
+        pairs = gathered(with_hubs(open_lists.where("not main"), hubs).join(tried, pair, "left_anti"))
+        links, tried = gathered(links.union(alike(pairs))), tried.union(pairs)
         open_lists = members(links)
     nodes = open_lists.groupBy("rep", "tag").agg(F.min("component").alias("component"), F.max(~F.col("main")).alias("stray")).join(sets.select("rep", "tag", "size"), ["rep", "tag"])
-    cross = across(checkpoint(nodes), texts, n=n, percent=percent)
-    more = checkpoint(verified(cross.join(tried, pair, "left_anti"), texts, n=n, percent=percent))
-    found = checkpoint(components(links.union(more).select("a", "b").union(same_id)))
+    cross = across(gathered(nodes), texts, n=n, percent=percent)
+    more = gathered(verified(cross.join(tried, pair, "left_anti"), texts, n=n, percent=percent))
+    found = gathered(components(links.union(more).select("a", "b").union(same_id)))
     reps = sets.select("set_a", "set_b", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     out = sigs.join(reps, ["set_a", "set_b"], "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")))
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
