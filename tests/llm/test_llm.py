@@ -565,6 +565,34 @@ def test_quality_catches_what_the_base_rules_pass(spark):
     assert quality.quality(odd.limit(0), quality.fit(odd.limit(0), y.limit(0))).isEmpty()
 
 
+def test_small_tables_leave_few_shuffle_files(spark):
+    """Dealt out over many partitions, a small graph is worked on by few tasks: each task of a shuffle leaves files, however few its rows are."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300, 2)] + [(i, i + 2) for i in range(1, 40, 2)], "a long, b long")
+    groups = spark.sparkContext.statusTracker()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("few", "components of a small graph")
+    try:
+        got = {r["node"]: r["component"] for r in components(edges.repartition(50)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setJobGroup("rest", "other jobs")
+    # The pairs (0, 1), (2, 3), ... are chained by their odd ends up to 41.
+    assert got == {i: 0 if i <= 41 else i - i % 2 for i in range(300)}
+    stages = {k for j in groups.getJobIdsForGroup("few") for k in groups.getJobInfo(j).stageIds}
+    wide = [x for k in stages if (x := groups.getStageInfo(k)) and x.numTasks >= 50]
+    assert len(wide) < len(stages) / 2
+
+
+def test_components_of_no_edges(spark):
+    """An empty table may have no partitions at all."""
+    none = spark.createDataFrame([], "a long, b long")
+    assert components(none).isEmpty() and components(none.repartition(50)).isEmpty()
+    assert components(none.join(none, ["a", "b"])).isEmpty()
+
+
 def test_quality_learns_from_all_labelled_rows(spark):
     """Each of over 2,000 labelled rows counts: the threshold is that of all rows of the calibrating half, and the trees draw from all rows of the other."""
     rng = random.Random(19)
