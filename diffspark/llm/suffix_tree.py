@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from diffspark.llm._common import checkpoint, partitions, remainder, words
 from diffspark.llm._packed import dealt, ids_of, slices, unpack_all
+from diffspark.llm.word_tree import word_tree_sums
 
 #: Tokens that a context reaches back at most, and bits of a token's number: a context and the token after it fill one 64-bit number.
 DEPTH, BITS = 2, 16
@@ -284,10 +285,12 @@ def rare_sums(rows: DataFrame, alphabet: Alphabet) -> DataFrame:
     return dealt_out.repartitionById(n, F.col("bucket")).mapInArrow(total, "key long, known long, base double, score double")
 
 
-def suffix_tree_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out: int = 10, symbol_share: float = 5e-4, least_share: float = 1e-5, gain: float = 20.0) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", held_out: int = 10, depth: int = 3, symbol_share: float | None = None, least_share: float = 1e-5, gain: float = 20.0) -> DataFrame:
     """Score every whole text by a probabilistic suffix tree learnt from the documents whose id's crc32 modulo ``held_out`` is not 0.
 
-    Tokens are lower-cased words, then one end. The tree's symbols are the tokens that make up ``symbol_share`` of all in training, and one symbol for all others; it predicts a symbol from the longest kept context of up to ``DEPTH`` symbols before it (see ``kept_contexts``, ``build_tree``). A token among the others then has its share of their count, less a discount (that of Good and Turing, n1 / (n1 + 2 n2) from the tokens found once and twice); what that frees is the probability of the unknown token, which stands for every token not found in training, as in the base model. So log P(text) is a sum over the tree, which is small (both shares bound it) and sent to all tasks, and a sum over rare tokens, which are joined with their counts by word.
+    Tokens are lower-cased words, then one end. The tree is that of all words, with contexts of up to ``depth`` of them, and grows with the corpus (see ``word_tree_sums``).
+
+    With ``symbol_share`` a small tree is learnt instead: its symbols are the tokens that make up that share of all in training, and one symbol for all others; it predicts a symbol from the longest kept context of up to ``DEPTH`` symbols before it (see ``kept_contexts``, ``build_tree``). A token among the others then has its share of their count, less a discount (that of Good and Turing, n1 / (n1 + 2 n2) from the tokens found once and twice); what that frees is the probability of the unknown token, which stands for every token not found in training, as in the base model. So log P(text) is a sum over the tree, which is small (both shares bound it) and sent to all tasks, and a sum over rare tokens, which are joined with their counts by word.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score (the unigram model with 0.1 added to each count), score (both log10).
 
@@ -295,6 +298,16 @@ def suffix_tree_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     """
     rows = keyed(docs, doc_id=doc_id, text=text, held_out=held_out)
     learnt = rows.select("key", "text", "train")
+    if symbol_share is None:
+        # Rows that share a key are alike: one sum for all of them, and as many rows.
+        sums, tokens = word_tree_sums(learnt, depth=depth, gain=gain)
+        own = rows.groupBy("key").agg(F.first("id").alias("id"), F.count("*").alias("rows")).join(sums, "key")
+        each = own.select("id", *(F.round(F.col(c) / F.col("rows")).cast("long").alias(c) for c in ("n", "known")), *((F.col(c) / F.col("rows")).alias(c) for c in ("base", "score")), F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
+        some = F.lit(tokens > 0)
+        return each.select(
+            F.col("id").alias("doc_id"), (remainder(F.col("id"), held_out) == 0).alias("held_out"), F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+            F.when(some, F.col("base")).otherwise(0.0).alias("base_score"), F.when(some, F.col("score")).otherwise(0.0).alias("score"),
+        )
     counted = word_counts(learnt, symbol_share).collect()
     tokens, types, once, twice = (sum(r[c] for r in counted) for c in ("tokens", "types", "once", "twice"))
     top = sorted(((bytes(w), c) for r in counted for w, c in zip(r["words"], r["counts"], strict=True) if c >= symbol_share * tokens or bytes(w) == END), key=lambda x: (-x[1], x[0]))

@@ -449,6 +449,50 @@ def test_suffix_tree_against_brute_force(spark, share):
         assert got[i]["score"] == pytest.approx(score(w), rel=1e-6)
 
 
+def brute_words(train, depth, gain):
+    """The tree of all words in plain dictionaries: log10 probability of a list of tokens."""
+    after = collections.defaultdict(collections.Counter)
+    for t in train:
+        s = [b"\n"] * depth + t
+        for i in range(depth, len(s)):
+            for k in range(depth + 1):
+                after[tuple(s[i - k : i])][s[i]] += 1
+    c = after[()]
+    n, once, twice = sum(c.values()), sum(k == 1 for k in c.values()), sum(k == 2 for k in c.values())
+    discount = min(0.9, max(0.1, once / max(once + 2 * twice, 1)))
+    total = {x: sum(own.values()) for x, own in after.items()}
+    kept = {x for x, own in after.items() if x and sum(k * math.log(k * total[x[1:]] / (total[x] * after[x[1:]][y])) for y, k in own.items()) >= gain}
+
+    def p(x, y):
+        while x and x not in kept:
+            x = x[1:]
+        if not x:
+            return (c[y] - discount if c[y] else discount * len(c)) / n
+        return (after[x][y] + len(after[x]) * p(x[1:], y)) / (total[x] + len(after[x]))
+
+    def score(t):
+        s = [b"\n"] * depth + t
+        return sum(math.log10(p(tuple(s[i : i + depth]), s[i + depth])) for i in range(len(t)))
+
+    return score, kept
+
+
+@pytest.mark.parametrize(("depth", "gain"), [(1, 2.0), (3, 2.0), (3, 5.0), (4, 0.5)])
+def test_suffix_tree_of_all_words(spark, depth, gain):
+    """Words far below any share of the tokens are contexts and are told by them, three words back and more; the most frequent word is dealt out over several buckets."""
+    rng = random.Random(16)
+    few = lambda k: [f"c{k}x{rng.randrange(3)} the d{k}" for _ in range(3)]
+    texts = [(i, " ".join(few(i % 40) + words(rng, rng.randint(0, 40), 300).split() + ["the " + w for w in words(rng, 9, 60).split()]) + (f" own{i}" if i % 3 else "")) for i in range(240)]
+    got = table(suffix_tree_scores(docs(spark, texts).repartition(5), depth=depth, gain=gain))
+    tokens = {i: t.encode().split() + [b"\n"] for i, t in texts}
+    score, kept = brute_words([w for i, w in tokens.items() if zlib.crc32(str(i).encode()) % 10], depth, gain)
+    assert max(map(len, kept)) == depth
+    n = sum(len(w) for w in tokens.values())
+    assert any(sum(w.count(x[-1]) for w in tokens.values()) < 0.003 * n for x in kept)
+    for i, w in tokens.items():
+        assert got[i]["score"] == pytest.approx(score(w), rel=1e-9)
+
+
 @pytest.mark.parametrize("common", ["", "the "])
 def test_suffix_tree_of_few_long_texts(spark, common):
     """The end is rare among the tokens of long texts, and counts all the same."""
