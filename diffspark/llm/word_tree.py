@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,14 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from diffspark.llm._common import checkpoint, partitions, trim, words
-from diffspark.llm._packed import bucket, dealt, ids_of, slices, unpack_all
+from diffspark.llm._packed import bucket, dealt, ids_of, mix, slices, unpack_all
 
 #: The token that ends a text; no word holds a line feed.
 END = b"\n"
 #: Buckets, at most, that the positions after one word are dealt out to.
 SPLITS = 32
-#: Positions, about, that a task works on at a time.
-PIECE = 300_000
+#: Positions, about, that a task works on at a time, and twice as many at most but for those after one context of full length.
+PIECE = 200_000
 _whole = np.dtype([("doc", "<i8"), ("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 _part = np.dtype([("doc", "<i8"), ("score", "<f8")])
 
@@ -55,6 +54,41 @@ def expand(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def squeeze_small(columns: list[np.ndarray], *others: np.ndarray) -> bytes:
+    """``squeeze`` of others, and of columns of numbers from 0 to 2^53, most of them small: a byte for each tells those below 128, and the highest two bits and the place of the highest one of others, whose lower bits come apart. So a frequent number takes about as many bits as its share tells, and ``squeeze`` would spend some on bytes that say little."""
+    out = []
+    for c in columns:
+        large = np.flatnonzero(c > 127)
+        lead, rest = c.astype("u1"), c[large].astype("i8")
+        bits = np.frexp(rest.astype("f8"))[1].astype("i8") - 2
+        lead[large] = 116 + 2 * bits + (rest >> bits & 1)
+        out.append(lead)
+        while len(rest):
+            out.append((rest & (1 << bits) - 1 & 255).astype("u1"))
+            more = np.flatnonzero(bits > 8)
+            rest, bits = (rest & (1 << bits) - 1)[more] >> 8, bits[more] - 8
+        out.append(np.zeros(0, "u1"))
+    return squeeze(*out, *others)
+
+
+def expand_small(data: bytes, n: int) -> list[np.ndarray]:
+    """The ``n`` columns that ``squeeze_small`` has coded, of 4 bytes where that holds them, and the others."""
+    parts, out = iter(expand(data)), []
+    for _ in range(n):
+        lead = next(parts).view("u1")
+        large = np.flatnonzero(lead > 127)
+        at, bits = lead[large].astype("i8"), (lead[large].astype("i8") - 116) >> 1
+        value, place, shift = (2 | at & 1) << bits, np.arange(len(large)), 0
+        while len(part := next(parts)):
+            value[place] |= part.view("u1").astype("i8") << shift
+            more = np.flatnonzero(bits > 8)
+            place, bits, shift = place[more], bits[more] - 8, shift + 8
+        column = lead.astype("i4" if value.max(initial=0) < 1 << 31 else "i8")
+        column[large] = value
+        out.append(column)
+    return [*out, *parts]
+
+
 def squeeze_words(own: list[bytes]) -> bytes:
     """No word holds a white-space byte but the end, which is stored as the empty word."""
     return zstandard.ZstdCompressor(level=1).compress(b"\n".join(b"" if w == END else w for w in own))
@@ -82,9 +116,13 @@ class Root:
         """Whether a word is so rare that no context that holds it can have ``gain`` nats: one found m times has m * log(tokens / m) at most, which grows with m up to tokens / e."""
         return (count == 0) | (count * np.e <= self.tokens) & (count * np.log(max(self.tokens, 1) / np.maximum(count, 1)) < 0.999 * gain)
 
+    def last(self, count: np.ndarray, gain: float) -> np.ndarray:
+        """Whether no context that goes on before this word can have ``gain`` nats: one found m times, that without its first token W times, has m * log(W / m) at most, so W / e at most, and W is at most the word's count."""
+        return count < 0.999 * np.e * gain
+
 
 def encoded(rows: DataFrame, n: int) -> DataFrame:
-    """The texts of ``rows(key, text, train)`` in batches: batch, bucket (null), data (keys, train, sizes, and a number for each token, the end after each text), words (the batch's words by their number, one list for each of ``n`` buckets of words), counts (theirs in training texts)."""
+    """The texts of ``rows(key, text, train)`` in batches: batch, bucket (null), data (a number for each token, the end after each text; keys, train, sizes), words (the batch's words, one list for each of ``n`` buckets of words; the r-th of bucket k has number r * n + k, and is no rarer in the batch than the next), counts (theirs in training texts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for k, b in enumerate(slices(batches)):
@@ -100,16 +138,15 @@ def encoded(rows: DataFrame, n: int) -> DataFrame:
             train = b.column(2).to_numpy(zero_copy_only=False).astype("i1")
             listed = list(codes)
             at = np.fromiter((xxhash.xxh64_intdigest(w) % n for w in listed), "i8", len(listed))
-            order = np.argsort(at, kind="stable")
-            number = np.empty(len(order), "i8")
-            number[order] = np.arange(len(order))
-            code = number[code]
-            count = np.bincount(code, np.repeat(train, size), len(order)).astype("i8")
+            order = np.lexsort((-np.bincount(code, minlength=len(listed)), at))
+            count = np.bincount(code, np.repeat(train, size), len(order)).astype("i8")[order]
             ends = np.searchsorted(at[order], np.arange(n + 1))
+            number = np.empty(len(order), "i8")
+            number[order] = (np.arange(len(order)) - ends[at[order]]) * n + at[order]
             some = np.flatnonzero(np.diff(ends)).tolist()
             lists = [squeeze_words([listed[i] for i in order[ends[j] : ends[j + 1]]]) for j in some]
             counts = [squeeze(count[ends[j] : ends[j + 1]]) for j in some]
-            data = squeeze(ids_of(b.column(0)), train, size, code.astype("<i4"))
+            data = squeeze_small([number[code]], ids_of(b.column(0)), train, size)
             yield pa.RecordBatch.from_arrays([pa.array([first + k]), pa.array([data], pa.binary()), pa.array([some], pa.list_(pa.int32())), pa.array([lists], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.binary()))], ["batch", "data", "buckets", "words", "counts"])
         trim()
 
@@ -117,7 +154,7 @@ def encoded(rows: DataFrame, n: int) -> DataFrame:
 
 
 def numbered_words(batches: DataFrame, n: int) -> DataFrame:
-    """For each batch and bucket of words, what the batch asks about its own: batch, bucket, data (a number from 1 for each word, the same in all batches and small for frequent words, and its count in all training texts); and a row of sums for each bucket: tokens, types, once, twice (words found so often)."""
+    """For each batch and bucket of words, what the batch asks about its own: batch, bucket, data (each word's rank by count within the bucket, and its count in all training texts); and a row of sums for each bucket: tokens, types, once, twice (words found so often)."""
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[bytes, int] = {}
         asked, at = [], 0
@@ -129,10 +166,10 @@ def numbered_words(batches: DataFrame, n: int) -> DataFrame:
         total = np.zeros(len(codes), "i8")
         for _, own, c in asked:
             total[own] += c
-        number = np.empty(len(codes), "i8")
-        number[np.argsort(-total, kind="stable")] = np.arange(len(codes)) * n + at + 1
+        rank = np.empty(len(codes), "i8")
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(codes))
         for batch, own, _ in asked:
-            yield answer([batch], [at], [squeeze(number[own], total[own])], [None] * 4)
+            yield answer([batch], [at], [squeeze_small([rank[own], total[own]])], [None] * 4)
         yield answer([None], [at], [None], [int(x) for x in (total.sum(), (total > 0).sum(), (total == 1).sum(), (total == 2).sum())])
         trim()
 
@@ -150,10 +187,15 @@ def positions(batches: DataFrame, numbers: DataFrame, root: Root, depth: int, ga
     Positions after a frequent word go to several buckets, by the word before that. Each of these is told all words that follow the frequent one in the batch, with their counts, so it knows as much of the frequent word as a single bucket would.
     """
     def deal(batch: int, data: bytes, own: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes | None, bytes | None, bytes | None]]:
-        keys, train, size, code = expand(data)
-        found = [expand(x) for _, x in sorted(own)]
-        ident, count = (np.concatenate([f[j] for f in found]) for j in (0, 1))
+        code, keys, train, size = expand_small(data, 1)
+        found = {k: expand_small(x, 2) for k, x in sorted(own)}
+        # A number from 1 for each word, the same in all batches and small for frequent words.
+        ident = np.concatenate([rank.astype("i8") * n + k + 1 for k, (rank, _) in found.items()])
         ident = ident.astype("<i4" if ident.max() < 1 << 31 else "<i8")
+        count = np.concatenate([c for _, c in found.values()]).astype("i8")
+        first = np.zeros(n, "i8")
+        first[[*found]] = np.cumsum([0, *(len(c) for _, c in found.values())])[:-1]
+        code = first[code % n] + code // n
         row = np.repeat(np.arange(len(keys)), size)
         base, share, c, idle = root.base(count), np.log10(root.share(count)), count[code], root.idle(count, gain)
         # A text begins after ends alone.
@@ -174,15 +216,16 @@ def positions(batches: DataFrame, numbers: DataFrame, root: Root, depth: int, ga
         far = np.flatnonzero((s > 1) & (train[row] > 0))
         pair, times = np.unique(before[0][far].astype("i8") << 32 | code[far], return_counts=True)
         often = np.flatnonzero(split > 1)
-        first, ends = np.searchsorted(pair, often << 32), np.searchsorted(pair, (often + 1) << 32)
+        begins, ends = np.searchsorted(pair, often << 32), np.searchsorted(pair, (often + 1) << 32)
         told: dict[int, list[np.ndarray]] = {}
-        for w, a, b in zip(often.tolist(), first.tolist(), ends.tolist(), strict=True):
+        for w, a, b in zip(often.tolist(), begins.tolist(), ends.tolist(), strict=True):
             for k in set(bucket(int(ident[w]) * SPLITS + np.arange(split[w]), n).tolist()) if b > a else ():
                 told.setdefault(k, []).append(np.arange(a, b))
-        numbers = [np.where(idle, 0, ident)[x] for x in before]
+        last, numbers = root.last(count, gain), [np.where(idle, 0, ident)[x] for x in before]
         for j in range(1, depth):
-            numbers[j][numbers[j - 1] == 0] = 0
-        order = np.argsort(at, kind="stable")
+            numbers[j][(numbers[j - 1] == 0) | last[before[j - 1]]] = 0
+        # By the word before, in the texts' order after each.
+        order = np.argsort(at << 32 | before[0], kind="stable")
         ends = np.searchsorted(at[order], np.arange(n + 1))
         for k in sorted({*np.flatnonzero(np.diff(ends)).tolist(), *told}):
             here = order[ends[k] : ends[k + 1]]
@@ -192,8 +235,12 @@ def positions(batches: DataFrame, numbers: DataFrame, root: Root, depth: int, ga
             said = np.unique(np.concatenate([code[here], tails]))
             said = said[np.argsort(ident[said])]
             docs, doc = np.unique(row[here], return_inverse=True)
-            data = squeeze(count[said], np.diff(keys[docs], prepend=0), train[docs], np.diff(doc, prepend=0).astype("<i4"), *(x[here] for x in numbers), ident[code[here]])
-            yield k, data, squeeze(ident[heads], ident[tails], times[more]), None
+            start = np.flatnonzero(np.diff(before[0][here], prepend=-1))
+            step = np.diff(doc, prepend=0)
+            step[start] = doc[start]
+            sizes = np.diff(start, append=len(here))
+            data = squeeze_small([step, sizes, *(x[here] for x in numbers[1:]), ident[code[here]]], numbers[0][here[start]], count[said], np.diff(keys[docs], prepend=0), train[docs])
+            yield k, data, squeeze_small([ident[tails], times[more]], ident[heads]), None
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[int, bytes] = {}
@@ -234,25 +281,68 @@ def level_shares(context: np.ndarray, word: np.ndarray, weight: np.ndarray, coun
     return n[back], total[own][back], share[back]
 
 
+def token_shares(before: list[np.ndarray], w: np.ndarray, train: np.ndarray, told: dict[int, tuple[np.ndarray, ...]], count: np.ndarray, root: Root, gain: float, *, piece: int = PIECE, level: int = 0) -> np.ndarray:
+    """The tree's share of each token ``w`` after those ``before`` it, nearest first; ``count`` holds each token's. ``told``: counts by length of the context less one (its words, the token after it, how often); positions after a word that has some, or a longer context where any has, don't count themselves.
+
+    More than twice ``piece`` positions are cut by ``level`` + 2 words before them, after what follows each ``level`` + 1 words has been counted for all parts. So only positions after one context of full length can be more at a time.
+    """
+    own = train & ~np.isin(before[0], np.unique(told[0][0])) if not level else train
+    if len(w) > 2 * piece and level + 1 < len(before):
+        on, names = np.flatnonzero(own), [str(i) for i in range(level + 2)]
+        table = pa.table([pa.array(x[on]) for x in (*before[: level + 1], w)], names).group_by(names, use_threads=False).aggregate([([], "count_all")])
+        found = [table[c].to_numpy() for c in (*names, "count_all")]
+        told = told | {level: tuple(found) if level else tuple(np.concatenate([x, y]) for x, y in zip(told[0], found, strict=True))}
+        key, pieces, out = before[0].astype("u8"), 1 + len(w) // piece, np.empty(len(w))
+        for x in before[1 : level + 2]:
+            key = mix(key) + x.astype("u8")
+        of = bucket(key, pieces).astype("u4")
+        del key, table, own, found, on
+        for r in range(pieces):
+            here = np.flatnonzero(of == r)
+            out[here] = token_shares([x[here] for x in before], w[here], train[here], told, count, root, gain, piece=piece, level=level + 1)
+        return out
+    size, none = len(w), np.zeros(len(w), bool)
+    every = np.concatenate([w, *(t[-2] for t in told.values())]).astype("i8")
+    context, live, k, total = np.zeros(len(every), "i8"), np.arange(len(every)), count[every], np.full(len(every), float(root.tokens))
+    out = root.share(k)
+    share = out
+    for i, x in enumerate(before):
+        x = np.concatenate([x, *(t[i] if i <= j else np.zeros(len(t[-1]), "i8") for j, t in told.items())])
+        weight = np.concatenate([none if i < level else own, *(t[-1] if i == j else np.zeros(len(t[-1]), "i8") for j, t in told.items())])
+        on = np.flatnonzero(x[live] > 0)
+        live = live[on]
+        context = dense(context[on], x[live])
+        k, total, share = level_shares(context, every[live], weight[live], k[on], total[on], share[on], gain)
+        out[live] = share
+        if not i:
+            own = train
+    return out[:size]
+
+
 def contextual(dealt_out: DataFrame, root: Root, depth: int, gain: float, n: int) -> DataFrame:
     """What each bucket's tokens add to their texts' scores, by bucket of the text: bucket, sums, score."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, docs, trains, told, symbols = [], [], [], [], [[] for _ in range(depth + 1)]
         n_docs = 0
         for p in parts:
-            for data, more, sums, at in zip(*(p.column(j).to_pylist() for j in (1, 2, 3, 0)), strict=True):
+            for i in range(p.num_rows):
+                at, data, more, sums = (p.column(j)[i].as_py() for j in range(4))
                 if sums is not None:
                     yield answer(at, sums, None)
                     continue
-                count, keys, train, doc, *own = expand(data)
-                told.append(expand(more))
-                counts.append((np.unique(np.concatenate([own[-1], told[-1][1]])), count))
-                doc = np.cumsum(doc, dtype="i4")
+                step, sizes, *own, heads, count, keys, train = expand_small(data, depth + 2)
+                b, times, a = expand_small(more, 2)
+                told.append((a, b, times))
+                counts.append((np.unique(np.concatenate([own[-1], b])), count))
+                start = np.cumsum(sizes) - sizes
+                doc = np.cumsum(step, dtype="i4")
+                doc -= np.repeat(doc[start] - step[start].astype("i4"), sizes)
                 trains.append(train[doc] > 0)
                 docs.append((doc + np.int32(n_docs), np.cumsum(keys)))
                 n_docs += len(keys)
-                for s, x in zip(symbols, own, strict=True):
+                for s, x in zip(symbols, (np.repeat(heads, sizes), *own), strict=True):
                     s.append(x)
+            del p
         if not docs:
             return
         before = []
@@ -260,17 +350,18 @@ def contextual(dealt_out: DataFrame, root: Root, depth: int, gain: float, n: int
             before.append(np.concatenate(symbols.pop(0)))
         word = before.pop()
         train = np.concatenate(trains)
-        a, b, times = (np.concatenate([t[j] for t in told]) for j in range(3))
+        told = [np.concatenate([t[j] for t in told]) for j in range(3)]
         names, at = np.unique(np.concatenate([x for x, _ in counts]), return_index=True)
         count = np.concatenate([x for _, x in counts])[at]
-        del trains, told, counts
+        del trains, counts
         # What follows a word is worked out alone, some words at a time.
         pieces = 1 + len(word) // PIECE
-        of, of_told = (x // n % pieces for x in (before[0], a))
+        of, of_told = (x // n % pieces for x in (before[0], told[0]))
         out = np.empty(len(word))
         for r in range(pieces):
             here, there = np.flatnonzero(of == r), np.flatnonzero(of_told == r)
-            out[here] = shares([x[here].astype("i8") for x in before], np.searchsorted(names, word[here]), train[here], a[there].astype("i8"), np.searchsorted(names, b[there]), times[there], count)
+            a, b, times = (x[there] for x in told)
+            out[here] = token_shares([x[here] for x in before], np.searchsorted(names, word[here]), train[here], {0: (a, np.searchsorted(names, b), times)}, count, root, gain)
             trim()
         del before, word, train, of
         doc, keys = np.concatenate([d for d, _ in docs]), np.concatenate([x for _, x in docs])
@@ -281,23 +372,6 @@ def contextual(dealt_out: DataFrame, root: Root, depth: int, gain: float, n: int
             yield answer(at, None, x)
         trim()
 
-    def shares(before: list[np.ndarray], w: np.ndarray, train: np.ndarray, a: np.ndarray, b: np.ndarray, times: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """The tree's share of each token ``w`` after those ``before`` it. After a split word, its own positions don't count: all buckets of it are told the counts of all."""
-        size, train = len(w), train.astype("f8")
-        every = np.concatenate([w, b])
-        c = count[every]
-        context = np.unique(np.concatenate([before[0], a]), return_inverse=True)[1]
-        weight = np.concatenate([train * ~np.isin(before[0], np.unique(a)), times])
-        k, total, share = (x[:size] for x in level_shares(context, every, weight, c, np.full(len(every), float(root.tokens)), root.share(c), gain))
-        out, context, live = share.copy(), context[:size], np.arange(size)
-        for x in before[1:]:
-            on = np.flatnonzero(x[live] > 0)
-            live = live[on]
-            context = dense(context[on], x[live])
-            k, total, share = level_shares(context, w[live], train[live], k[on], total[on], share[on], gain)
-            out[live] = share
-        return out
-
     def answer(at: int, sums: bytes | None, score: bytes | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([sums], pa.binary()), pa.array([score], pa.binary())], ["bucket", "sums", "score"])
 

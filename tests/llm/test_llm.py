@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -23,6 +24,7 @@ from diffspark.llm.packing import Encoder, best_fill, pack, plan_windows
 from diffspark.llm.suffix_dedup import _runs as suffix_runs
 from diffspark.llm.suffix_dedup import common_prefixes, later, previous_factors, suffix_dedup, suffix_repeats, text_runs
 from diffspark.llm.suffix_tree import suffix_tree_scores
+from diffspark.llm.word_tree import Root, expand_small, squeeze, squeeze_small, token_shares
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size string, _row int"
@@ -493,6 +495,52 @@ def test_suffix_tree_of_all_words(spark, depth, gain):
         assert got[i]["score"] == pytest.approx(score(w), rel=1e-9)
 
 
+def positions_after(rng, size, kinds):
+    """Positions after a few words, most of them after word 1, half of these after 2 1."""
+    before = [1 + np.minimum(rng.geometric(0.5, size) - 1, kinds).astype("i4") for _ in range(3)]
+    w = (before[0] + before[1] * rng.integers(0, 2, size) + rng.integers(0, kinds, size)).astype("i8")
+    train = rng.random(size) < 0.9
+    return before, w, train, np.bincount(w, train).astype("i8")
+
+
+@pytest.mark.parametrize("piece", [3, 60, 700])
+def test_suffix_tree_cuts_what_follows_a_word(piece):
+    """However its positions are cut, and whether or not others have told what follows the word 4, a bucket gives the same shares."""
+    before, w, train, count = positions_after(np.random.default_rng(3), 4000, 9)
+    before[1][before[0] == 5] = 0
+    before[2][before[1] == 0] = 0
+    root = Root(int(count.sum()), len(count), 0.5)
+    none = {0: tuple(np.zeros(0, "i8") for _ in range(3))}
+    four = np.flatnonzero((before[0] == 4) & train)
+    told = {0: (before[0][four].astype("i8"), w[four], np.ones(len(four), "i8"))}
+    want = token_shares(before, w, train, none, count, root, 3.0)
+    for t in (none, told):
+        assert token_shares(before, w, train, t, count, root, 3.0, piece=piece) == pytest.approx(want, rel=1e-12)
+
+
+def test_suffix_tree_memory_of_a_frequent_word():
+    """What a task holds beside its positions doesn't grow with those after one word."""
+    before, w, train, count = positions_after(np.random.default_rng(4), 400_000, 200)
+    before[0][:] = 7
+    before[1] = np.random.default_rng(5).integers(1, 5000, len(w)).astype("i4")
+    root = Root(int(count.sum()), len(count), 0.5)
+    tracemalloc.start()
+    token_shares(before, w, train, {0: tuple(np.zeros(0, "i8") for _ in range(3))}, count, root, 20.0, piece=20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(w)  # some 200 bytes a position, if all are worked on together
+
+
+def test_suffix_tree_numbers_come_back():
+    rng = np.random.default_rng(1)
+    for most in (1, 127, 128, 256, 70_000, 2**31, 2**31 + 1, 2**53):
+        a = np.append(rng.integers(0, most, 300), most - 1)
+        got = expand_small(squeeze_small([a, a[:0], a // 3], -a), 3)
+        assert all((x == y).all() and len(x) == len(y) for x, y in zip(got, (a, a[:0], a // 3, -a), strict=True))
+    zipf = np.minimum(1 / rng.random(200_000), 3e6).astype("i8") * 51
+    assert len(squeeze_small([zipf])) < 0.9 * len(squeeze(zipf))
+
+
 @pytest.mark.parametrize("common", ["", "the "])
 def test_suffix_tree_of_few_long_texts(spark, common):
     """The end is rare among the tokens of long texts, and counts all the same."""
