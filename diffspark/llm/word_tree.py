@@ -239,7 +239,7 @@ def positions(batches: DataFrame, numbers: DataFrame, root: Root, depth: int, ga
             step = np.diff(doc, prepend=0)
             step[start] = doc[start]
             sizes = np.diff(start, append=len(here))
-            data = squeeze_small([step, sizes, *(x[here] for x in numbers[1:]), ident[code[here]]], numbers[0][here[start]], count[said], np.diff(keys[docs], prepend=0), train[docs])
+            data = squeeze_small([step, sizes, *(x[here] for x in numbers[1:]), ident[code[here]], count[said]], numbers[0][here[start]], np.diff(keys[docs], prepend=0), train[docs])
             yield k, data, squeeze_small([ident[tails], times[more]], ident[heads]), None
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +281,13 @@ def level_shares(context: np.ndarray, word: np.ndarray, weight: np.ndarray, coun
     return n[back], total[own][back], share[back]
 
 
+def tally(columns: list[np.ndarray], times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct rows of the columns, and the sums of ``times`` over each."""
+    names = [str(i) for i in range(len(columns))]
+    table = pa.table([pa.array(x) for x in (*columns, times)], [*names, "n"]).group_by(names, use_threads=False).aggregate([("n", "sum")])
+    return tuple(table[c].to_numpy() for c in (*names, "n_sum"))
+
+
 def token_shares(before: list[np.ndarray], w: np.ndarray, train: np.ndarray, told: dict[int, tuple[np.ndarray, ...]], count: np.ndarray, root: Root, gain: float, *, piece: int = PIECE, level: int = 0) -> np.ndarray:
     """The tree's share of each token ``w`` after those ``before`` it, nearest first; ``count`` holds each token's. ``told``: counts by length of the context less one (its words, the token after it, how often); positions after a word that has some, or a longer context where any has, don't count themselves.
 
@@ -288,15 +295,13 @@ def token_shares(before: list[np.ndarray], w: np.ndarray, train: np.ndarray, tol
     """
     own = train & ~np.isin(before[0], np.unique(told[0][0])) if not level else train
     if len(w) > 2 * piece and level + 1 < len(before):
-        on, names = np.flatnonzero(own), [str(i) for i in range(level + 2)]
-        table = pa.table([pa.array(x[on]) for x in (*before[: level + 1], w)], names).group_by(names, use_threads=False).aggregate([([], "count_all")])
-        found = [table[c].to_numpy() for c in (*names, "count_all")]
-        told = told | {level: tuple(found) if level else tuple(np.concatenate([x, y]) for x, y in zip(told[0], found, strict=True))}
+        found = tally([x[own] for x in (*before[: level + 1], w)], np.ones(np.count_nonzero(own), "i1"))
+        told = told | {level: found if level else tuple(np.concatenate([x, y]) for x, y in zip(told[0], found, strict=True))}
         key, pieces, out = before[0].astype("u8"), 1 + len(w) // piece, np.empty(len(w))
         for x in before[1 : level + 2]:
             key = mix(key) + x.astype("u8")
         of = bucket(key, pieces).astype("u4")
-        del key, table, own, found, on
+        del key, own, found
         for r in range(pieces):
             here = np.flatnonzero(of == r)
             out[here] = token_shares([x[here] for x in before], w[here], train[here], told, count, root, gain, piece=piece, level=level + 1)
@@ -330,7 +335,7 @@ def contextual(dealt_out: DataFrame, root: Root, depth: int, gain: float, n: int
                 if sums is not None:
                     yield answer(at, sums, None)
                     continue
-                step, sizes, *own, heads, count, keys, train = expand_small(data, depth + 2)
+                step, sizes, *own, count, heads, keys, train = expand_small(data, depth + 3)
                 b, times, a = expand_small(more, 2)
                 told.append((a, b, times))
                 counts.append((np.unique(np.concatenate([own[-1], b])), count))
@@ -350,9 +355,9 @@ def contextual(dealt_out: DataFrame, root: Root, depth: int, gain: float, n: int
             before.append(np.concatenate(symbols.pop(0)))
         word = before.pop()
         train = np.concatenate(trains)
-        told = [np.concatenate([t[j] for t in told]) for j in range(3)]
+        told = tally([np.concatenate([t[j] for t in told]) for j in (0, 1)], np.concatenate([t[2] for t in told]))
         names, at = np.unique(np.concatenate([x for x, _ in counts]), return_index=True)
-        count = np.concatenate([x for _, x in counts])[at]
+        count = np.concatenate([x for _, x in counts])[at].astype("i8")
         del trains, counts
         # What follows a word is worked out alone, some words at a time.
         pieces = 1 + len(word) // PIECE
@@ -362,8 +367,9 @@ def contextual(dealt_out: DataFrame, root: Root, depth: int, gain: float, n: int
             here, there = np.flatnonzero(of == r), np.flatnonzero(of_told == r)
             a, b, times = (x[there] for x in told)
             out[here] = token_shares([x[here] for x in before], np.searchsorted(names, word[here]), train[here], {0: (a, np.searchsorted(names, b), times)}, count, root, gain)
-            trim()
-        del before, word, train, of
+            if not r % 4 or len(here) > 2 * PIECE:
+                trim()
+        del before, word, train, of, told, names, count
         doc, keys = np.concatenate([d for d, _ in docs]), np.concatenate([x for _, x in docs])
         some, back = np.unique(keys, return_inverse=True)
         rows = np.empty(len(some), _part)
