@@ -64,8 +64,8 @@ def advanced_greedy(live: DataFrame, seeds: DataFrame, k: int, *, refresh_every:
 
 
 def scored_pick(live: DataFrame, seeds: DataFrame, samples: int, score: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
-    """The best node by ``score`` of its gains in each world: rank, node, gain."""
-    best = top(score(block_gains(live, seeds), samples).where("gain > 0"), 1, F.col("gain").desc(), F.col("node"))
+    """The best node by ``score`` of its gains in each world, whatever the score: rank, node, gain."""
+    best = top(score(block_gains(live, seeds), samples), 1, F.col("gain").desc(), F.col("node"))
     return best.select(F.lit(1).alias("rank"), "node", F.col("gain").cast("double").alias("gain"))
 
 

@@ -132,6 +132,11 @@ def test_cross_validated_pick(spark):
     assert rows(blocking.cross_validated(2)(gains, 4), "node", "gain") == [(1, 2.0), (2, 10.0)]
 
 
+def test_pick_of_no_score_is_a_pick(spark):
+    live = spark.createDataFrame([(0, 0, 1), (1, 0, 2), (1, 2, 3)], "sample int, src long, dst long")
+    assert rows(blocking.scored_pick(live, spark.createDataFrame([(0,)], "node long"), 2, blocking.cross_validated(1)), "rank", "node", "gain") == [(1, 1, 0.0)]
+
+
 def test_degree_plan_takes_the_largest_inactive(spark):
     rng = random.Random(4)
     pairs = list({tuple(sorted(rng.sample(range(25), 2))) for _ in range(60)})
