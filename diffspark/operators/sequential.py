@@ -148,11 +148,16 @@ def exposure_mass(arcs: DataFrame, frontier: DataFrame, kappa: float = 1.0) -> D
 
 
 def e_benjamini_hochberg(evalues: DataFrame, alpha: float, *, m_total: int | None = None, weight: str | None = None) -> DataFrame:
-    """Rejected cascades of ``evalues(cascade, e[, weight])``: the k largest weighted values, k the largest with the k-th value at least m / (k alpha). m is the number of candidates unless ``m_total`` says otherwise; weights are normalised to mean 1."""
+    """Rejected cascades of ``evalues(cascade, e[, weight])``: the k largest weighted values, k the largest with the k-th value at least m / (k alpha). m is the number of candidates unless ``m_total`` says otherwise; weights are normalised to mean 1.
+
+    A column ``log_e`` beside ``e``, if there is one, orders the values without weights: it tells apart those too large for a double.
+    """
     w = F.lit(1.0)
     if weight is not None:
         w = F.col(weight) / F.lit(evalues.agg(F.avg(weight)).first()[0] or 1.0)
-    rows = checkpoint(numbered(evalues.select("cascade", (F.col("e") * w).alias("we")), F.col("we").desc(), F.col("cascade")).withColumn("k", F.col("number") + 1))
+    by = F.col("log_e") if weight is None and "log_e" in evalues.columns else F.col("e") * w
+    rows = evalues.select("cascade", (F.col("e") * w).alias("we"), by.alias("_by"))
+    rows = checkpoint(numbered(rows, F.col("_by").desc(), F.col("cascade")).withColumn("k", F.col("number") + 1))
     m = rows.count() if m_total is None else m_total
     most = rows.where(F.col("we") >= m / (F.col("k") * alpha)).agg(F.max("k")).first()[0] or 0
     return rows.where(F.col("k") <= most).select("cascade", "we", "k")

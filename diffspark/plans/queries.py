@@ -696,7 +696,7 @@ def weighted_e_bh(spark, sf_dir):
 
 @query("e_bh", f"{_SEQ}, {_EPROC}, e AS (SELECT cascade, max(round(log_e, 4)) AS le FROM ep GROUP BY cascade), r AS (SELECT cascade, le, row_number() OVER (ORDER BY le DESC, cascade) AS k, count(*) OVER () AS m FROM e), z AS (SELECT *, max(CASE WHEN exp(le) >= m / (k * 0.5::DOUBLE) THEN k END) OVER () AS most FROM r) SELECT cascade, k FROM z WHERE k <= most")
 def e_bh(spark, sf_dir):
-    best = eprocess_of(spark, sf_dir).groupBy("cascade").agg(F.exp(F.max(F.round("log_e", 4))).alias("e"))
+    best = eprocess_of(spark, sf_dir).groupBy("cascade").agg(F.max(F.round("log_e", 4)).alias("log_e")).withColumn("e", F.exp("log_e"))
     return sequential.e_benjamini_hochberg(best, 0.5).select("cascade", "k")
 
 

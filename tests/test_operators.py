@@ -178,6 +178,11 @@ def test_e_benjamini_hochberg(spark):
     assert sequential.e_benjamini_hochberg(e.limit(0), 0.1).isEmpty()
 
 
+def test_e_benjamini_hochberg_ranks_values_beyond_doubles(spark):
+    e = spark.createDataFrame([(1, 800.0), (2, 1200.0), (3, 900.0), (4, -1.0)], "cascade long, log_e double").withColumn("e", F.exp("log_e"))
+    assert rows(sequential.e_benjamini_hochberg(e, 0.5), "k", "cascade") == [(1, 2), (2, 3), (3, 1)]
+
+
 def test_throttle_takes_the_fewest(spark):
     r = spark.createDataFrame([(1, 1, 5.0, 0.4), (1, 2, 3.0, 0.4), (1, 3, 1.0, 0.2)], "cascade long, node long, weight double, mass double")
     assert rows(sequential.throttle_by_weight(r, 0.5), "node") == [(1,), (2,)]
