@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffspark.functions.lineage import checkpoint
+from diffspark.functions.lineage import checkpoint, counted
+from diffspark.operators.graph import SENT
 from diffspark.operators.sequential import e_benjamini_hochberg
 
 RULES = ("per_cascade", "ebh", "weighted_ebh")
@@ -43,9 +46,46 @@ def advanced(state: DataFrame, news: DataFrame, turn: int, rule: str, alpha: flo
     return checkpoint(rows.join(picked, "cascade", "left").select("cascade", "log_e", "weight", "round", F.coalesce("treated", F.when(F.col("_hit"), F.lit(turn))).cast("int").alias("treated")))
 
 
-def control(evidence: DataFrame, rule: str, *, alpha: float = 0.1, budget: int | None = None) -> DataFrame:
-    """The treated cascades of ``evidence(cascade, round, log_e, weight)`` and their rounds, by one decision over all cascades a round: cascade, round."""
-    evidence = checkpoint(evidence.select("cascade", "round", "log_e", "weight"))
+def _in_one_task(rule: str, alpha: float, budget: int | None):
+    """``control`` of evidence that one task holds, round by round in arrays."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(pdf["cascade"].to_numpy(), return_inverse=True)
+        log_e, treated = np.full(len(names), np.nan), np.zeros(len(names), "i8")
+        when, values, weights = (pdf[c].to_numpy() for c in ("round", "log_e", "weight"))
+        for turn in np.unique(when):
+            new = when == turn
+            weight = np.zeros(len(names))
+            log_e[at[new]], weight[at[new]] = values[new], weights[new]
+            pool = np.flatnonzero(~np.isnan(log_e) & (treated == 0))
+            if rule == "per_cascade":
+                hit = pool[log_e[pool] >= -math.log(alpha)]
+            else:
+                e = np.exp(np.minimum(log_e[pool], 700.0))
+                if rule == "weighted_ebh" and len(pool):
+                    e = e * ((weight[pool] + 1e-9) / np.mean(weight[pool] + 1e-9))
+                order = np.lexsort((pool, -e))
+                passed = np.flatnonzero(e[order] >= len(pool) / (np.arange(1, len(pool) + 1) * alpha))
+                hit = pool[order[: passed[-1] + 1]] if len(passed) else pool[:0]
+            if budget is not None:
+                hit = hit[np.lexsort((hit, -log_e[hit]))][: max(budget - int((treated > 0).sum()), 0)]
+            treated[hit] = turn
+        done = treated > 0
+        return pd.DataFrame({"cascade": names[done], "round": treated[done]})
+
+    return run
+
+
+def control(evidence: DataFrame, rule: str, *, alpha: float = 0.1, budget: int | None = None, most_rows: int = SENT) -> DataFrame:
+    """The treated cascades of ``evidence(cascade, round, log_e, weight)`` and their rounds, by one decision over all cascades a round: cascade, round.
+
+    Rounds follow one another. Evidence of up to ``most_rows`` rows is gone through by one task; of more, each round is a few jobs over all cascades (``advanced``).
+    """
+    if rule not in RULES:
+        raise ValueError(f"rule is one of {', '.join(RULES)}")
+    evidence, n = counted(evidence.select("cascade", "round", "log_e", "weight"))
+    if n <= most_rows:
+        return evidence.groupBy().applyInPandas(_in_one_task(rule, alpha, budget), "cascade long, round int")
     state = evidence.sparkSession.createDataFrame([], STATE)
     for turn in sorted(r["round"] for r in evidence.select("round").distinct().collect()):
         state = advanced(state, evidence.where(F.col("round") == turn), turn, rule, alpha, budget)

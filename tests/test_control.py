@@ -50,6 +50,24 @@ def test_control_against_plain_python(spark, rule, budget):
     assert got == brute(data, rule, 0.2, budget) and got
 
 
+@pytest.mark.parametrize(("rule", "budget"), [("weighted_ebh", None), ("per_cascade", 2)])
+def test_control_by_rounds_against_plain_python(spark, rule, budget):
+    data = evidence(random.Random(7), rounds=3)
+    got = rows(control(spark.createDataFrame(data, SCHEMA), rule, alpha=0.2, budget=budget, most_rows=0), "cascade", "round")
+    assert got == brute(data, rule, 0.2, budget) and got
+
+
+def test_control_of_few_rows_needs_no_job_for_each_round(spark):
+    """60 rounds, as long cascades have: the jobs don't grow with them."""
+    data = [(c, t, 0.01 * c * t - 1, 1.0) for c in range(3) for t in range(1, 61)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("control-of-few", "")
+    got = rows(control(spark.createDataFrame(data, SCHEMA), "ebh", alpha=0.2), "cascade", "round")
+    jobs = len(tracker.getJobIdsForGroup("control-of-few"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == brute(data, "ebh", 0.2, None) and jobs < 20
+
+
 def test_control_without_evidence(spark):
     assert control(spark.createDataFrame([], SCHEMA), "ebh").isEmpty()
     with pytest.raises(ValueError):
