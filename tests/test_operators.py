@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from diffspark.functions.lineage import counted
+from diffspark.functions.lineage import checkpoint, counted
 from diffspark.functions.rng import uniform
 from diffspark.operators import blocking, detect, diffusion, graph, metrics, sequential
 from diffspark.sources import graphs
@@ -160,6 +160,33 @@ def test_round_evidence(spark):
     assert got["llr"] == pytest.approx(math.log(3) + math.log(0.4))
 
 
+def test_evidence_is_that_of_the_exposure_table(spark):
+    rng = random.Random(3)
+    arcs = diffusion.edge_probabilities(graphs.both_ways(spark.createDataFrame([(rng.randrange(30), rng.randrange(30)) for _ in range(90)], "src long, dst long")), "wc")
+    act = diffusion.episodes(arcs, spark.createDataFrame([(0, 1, 1.0), (1, 2, 3.0)], "cascade long, node long, kappa double"))
+    grid = sequential.factor_grid(1.5, 6.0, 0.6)
+    want = rows(sequential.round_evidence(sequential.exposures(arcs, act, grid)), "cascade", "round", "k_idx", "llr")
+    got = rows(sequential.evidence(arcs, act, grid), "cascade", "round", "k_idx", "llr")
+    assert [r[:3] for r in got] == [r[:3] for r in want] and len(got) > 8
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want])
+
+
+def test_traversals_read_few_buckets_of_stored_arcs(spark, monkeypatch):
+    edges = checkpoint(path(spark, 6))
+    want = rows(graph.reach(edges, nodes(spark, 3)), "node", "dist")
+    cascades = spark.createDataFrame([(0, 3, 2.0)], "cascade long, node long, kappa double")
+    arcs = diffusion.edge_probabilities(edges, "wc")
+    act = rows(diffusion.episodes(arcs, cascades), "node", "round")
+    monkeypatch.setattr(graph, "STORED", 0)
+    monkeypatch.setattr(graph, "A_BUCKET", 1)
+    dealt = graph.Dealt(edges, ["src"])
+    assert dealt.buckets == 11
+    near = dealt.around(nodes(spark, 3).withColumnRenamed("node", "src"), 1)
+    assert near.count() < 10 and rows(near.where("src = 3"), "src", "dst") == [(3, 2), (3, 4)]
+    assert rows(graph.reach(edges, nodes(spark, 3)), "node", "dist") == want
+    assert rows(diffusion.episodes(arcs, cascades), "node", "round") == act
+
+
 def test_cusum_closed_form(spark):
     rng = random.Random(1)
     x = [rng.gauss(0, 1) for _ in range(40)]
