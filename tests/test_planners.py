@@ -3,13 +3,14 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from diffspark.operators import blocking, containment, detect, metrics, sequential
-from diffspark.operators.message_passing import message_passing
+from diffspark.operators.message_passing import candidate_scores, message_passing
 from diffspark.sources import graphs
 
 
@@ -108,6 +109,24 @@ def test_message_passing_on_one_arc(spark):
     assert got == pytest.approx(dict.fromkeys((0, 1), math.log(p_i) + math.log(other_i)))
 
 
+def test_message_passing_memory_does_not_grow_with_candidates():
+    rng = np.random.default_rng(1)
+    pairs = np.unique(rng.integers(0, 400, (4000, 2)), axis=0)
+    pairs = np.unique(np.vstack([pairs, pairs[:, ::-1]]), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    _, ends = np.unique(pairs, return_inverse=True)
+    src, dst = ends.reshape(pairs.shape).T
+    seen = (np.arange(src.max() + 1) % 2).astype(int)
+    peaks, scores = [], []
+    for cells in (len(src), len(src) * len(seen)):
+        tracemalloc.start()
+        scores.append(candidate_scores(src, dst, seen, lam=0.1, mu=0.1, steps=3, cells=cells)[1])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert scores[0] == pytest.approx(scores[1]) and len(scores[0]) == 200
+    assert peaks[0] < 20 * 8 * len(src) and peaks[1] > 20 * peaks[0]
+
+
 def test_cost_aware_plan_sees_a_cut(spark):
     # The seed reaches 12 nodes over two ways: no single node saves more than itself, both ways together save all.
     live = spark.createDataFrame([(0, 0, 1), (0, 0, 2), (0, 1, 3), (0, 2, 3), *((0, 3, k) for k in range(4, 12))], "sample int, src long, dst long")
