@@ -12,11 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from diffspark.functions.lineage import checkpoint
+from diffspark.functions.lineage import checkpoint, counted
 from diffspark.functions.rng import uniform
-from diffspark.operators.diffusion import cascade_reach
-from diffspark.operators.dominators import dominators, plans
-from diffspark.operators.graph import degrees, pagerank, reach, top
+from diffspark.operators.dominators import ancestors, dominators, plans, undominated, without_nodes
+from diffspark.operators.graph import degrees, explore, pagerank, reach, top
 
 
 def random_blocker(edges: DataFrame, seeds: DataFrame, k: int, *, seed: int = 7) -> DataFrame:
@@ -174,31 +173,30 @@ def isolation(live: DataFrame, seeds: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def greedy_by_removal(live: DataFrame, seeds: DataFrame, samples: int, k: int) -> DataFrame:
-    """Greedy by running every candidate: all (candidate, world) pairs advance together without the candidate: rank, node, spread after (sum over worlds, seeds included)."""
-    plan = []
+    """Greedy by what is reached without each candidate: rank, node, spread after (sum over worlds, seeds included).
+
+    Removing a node changes what is reached in the worlds that reach it alone, and there below it alone in a spanning tree. So all (candidate, world) pairs advance together, each over its own subtree (``removal_losses``).
+    """
+    plan, keys = [], ["sample"]
+    starts = checkpoint(seeds.select("node", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample")))
     for rank in range(1, k + 1):
         gone = live.sparkSession.createDataFrame([(p[1],) for p in plan], "node long")
-        met = cascade_reach(live, seeds, samples, blocked=gone)
-        pool = met.select(F.col("node").alias("candidate")).distinct().join(seeds.select(F.col("node").alias("candidate")), "candidate", "left_anti")
-        arcs = live.join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        starts = pool.crossJoin(F.broadcast(seeds)).select("candidate", "node", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample"))
-        runs = reach_without(arcs, starts)
-        best = runs.groupBy("candidate").agg(F.count("*").alias("spread")).orderBy("spread", "candidate").first()
+        arcs = checkpoint(without_nodes(live, gone)) if plan else live
+        tree, total = counted(explore(arcs, starts, keys=keys)[0])
+        losses = removal_losses(tree, arcs, keys).join(seeds, "node", "left_anti")
+        best = losses.groupBy("node").agg(F.sum("lost").alias("lost")).orderBy(F.col("lost").desc(), "node").first()
         if best is None:
             break
-        plan.append((rank, best["candidate"], best["spread"]))
+        plan.append((rank, best["node"], total - best["lost"]))
     return live.sparkSession.createDataFrame(plan, "rank int, node long, spread long")
 
 
-def reach_without(arcs: DataFrame, starts: DataFrame) -> DataFrame:
-    """Reach of ``starts(candidate, sample, node)`` in each world without the candidate."""
-    done = front = checkpoint(starts.select("candidate", "sample", "node").distinct())
-    while True:
-        step = front.withColumnRenamed("node", "src").join(arcs, ["sample", "src"]).where("dst <> candidate").select("candidate", "sample", F.col("dst").alias("node")).distinct()
-        front = checkpoint(step.join(done, ["candidate", "sample", "node"], "left_anti"))
-        if front.isEmpty():
-            return done
-        done = checkpoint(done.unionByName(front))
+def removal_losses(tree: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
+    """How many nodes of a world's spanning ``tree(*keys, node, parent)`` are not reached any more without each of its nodes, itself included: keys, node, lost. Those below a node are walked from arcs that come from elsewhere; rows are as many as the trees' depths together."""
+    own = checkpoint(live.select(*keys, "src", "dst").join(tree.select(*keys, F.col("node").alias("src")), [*keys, "src"], "left_semi"))
+    pairs = checkpoint(ancestors(tree, keys))
+    lost = pairs.join(undominated(pairs, own, keys), [*keys, "cut", "node"], "left_anti").select(*keys, F.col("cut").alias("node"))
+    return lost.unionByName(tree.select(*keys, "node")).groupBy(*keys, "node").agg(F.count("*").alias("lost"))
 
 
 def best_swaps(live: DataFrame, seeds: DataFrame, plan: DataFrame, *, least: float = 0.002, passes: int = 20) -> DataFrame:

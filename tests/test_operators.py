@@ -124,6 +124,27 @@ def test_planners_agree_on_a_small_world(spark):
     assert slow[1]["spread"] == slow[0]["spread"] - greedy[1]["gain"]
 
 
+def test_removal_losses_against_removal(spark):
+    rng, arcs = random.Random(4), {}
+    for w in (0, 1):
+        arcs[w] = sorted({(rng.randrange(9), rng.randrange(9)) for _ in range(16)})
+
+    def reached(w, gone):
+        met, todo = {0}, [0]
+        while todo:
+            u = todo.pop()
+            new = {b for a, b in arcs[w] if a == u and b != gone} - met
+            met |= new
+            todo += new
+        return met
+
+    live = spark.createDataFrame([(w, a, b) for w in arcs for a, b in arcs[w]], "sample int, src long, dst long")
+    starts = spark.createDataFrame([(w, 0) for w in arcs], "sample int, node long")
+    tree = checkpoint(graph.explore(live, starts, keys=["sample"])[0])
+    got = [r for r in rows(blocking.removal_losses(tree, live, ["sample"]), "sample", "node", "lost") if r[1]]
+    assert got == [(w, v, len(reached(w, None)) - len(reached(w, v))) for w in arcs for v in sorted(reached(w, None) - {0})] and len(got) > 6
+
+
 def test_exact_spread(spark):
     def g(i, arcs, seeds, blocked):
         return (i, [{"u": a, "v": b, "p": p} for a, b, p in arcs], seeds, blocked)
