@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from diffspark.functions.lineage import checkpoint, counted
 from diffspark.functions.rng import uniform
 from diffspark.operators.dominators import ancestors, dominators, plans, undominated, without_nodes
+from diffspark.operators.exact import frontier_spread
 from diffspark.operators.graph import degrees, explore, pagerank, reach, top
 
 
@@ -220,19 +221,8 @@ def best_swaps(live: DataFrame, seeds: DataFrame, plan: DataFrame, *, least: flo
 
 
 def exact_spread(graphs: DataFrame) -> DataFrame:
-    """Expected number of nodes reached, seeds left out, of small graphs ``(graph_id, edges array<struct<u, v, p>>, seeds array, blocked array)`` with one coin for each edge: graph_id, spread.
-
-    The 2^m worlds of a graph are rows: each world's chance is a product over its edges, and its reach is spread by as many rounds of array folding as the graph has edges.
-    """
-    worlds = graphs.withColumn("world", F.explode(F.expr("sequence(0L, shiftleft(1L, size(edges)) - 1)")))
-    indexed = F.expr("transform(edges, (e, i) -> struct(e.u as u, e.v as v, e.p as p, (world & shiftleft(1L, i)) <> 0 as live))")
-    worlds = worlds.withColumn("es", indexed)
-    chance = F.expr("aggregate(es, 1D, (a, e) -> a * if(e.live, e.p, 1 - e.p))")
-    grow = """aggregate(es, array_except(seeds, blocked), (r, _e) -> aggregate(filter(es, e -> e.live), r, (q, e) ->
-        if(array_contains(q, e.u) and not array_contains(q, e.v) and not array_contains(blocked, e.v), array_append(q, e.v),
-        if(array_contains(q, e.v) and not array_contains(q, e.u) and not array_contains(blocked, e.u), array_append(q, e.u), q))))"""
-    size = F.size(F.expr(grow)) - F.size(F.array_except("seeds", "blocked"))
-    return worlds.groupBy("graph_id").agg(F.sum(chance * size).alias("spread"))
+    """Expected number of nodes reached, seeds left out, of small graphs ``(graph_id, edges array<struct<u, v, p>>, seeds array, blocked array)`` with one coin for each edge: graph_id, spread. Not by their 2^m worlds, but by ``exact.frontier_spread``."""
+    return frontier_spread(graphs)
 
 
 def min_vertex_cut(arcs: list[tuple[int, int]], seeds: list[int], target: int) -> list[int]:
